@@ -72,7 +72,7 @@ def _ones_before(bits: np.ndarray) -> np.ndarray:
     """For each depth, how many leaves before a place have bit 1 there: (64, n + 1)."""
     out = np.zeros((64, len(bits) + 1), np.int32)
     for depth in range(64):
-        np.cumsum((bits >> np.uint64(63 - depth)) & np.uint64(1), out=out[depth, 1:])
+        np.cumsum(((bits >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int32), out=out[depth, 1:])
     return out
 
 
