@@ -80,6 +80,9 @@ def _words(digests: pd.Series) -> np.ndarray:
 
 def _decide(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """One shard: historical digests (left), incoming distinct digests (right) → a decision for each distinct digest."""
+    # a shard without rows on one side comes without these columns
+    none = pd.DataFrame({"digest": [], "winner": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    left, right = (side if "digest" in side.columns else none for side in (left, right))
     past, now = _words(left["digest"]), _words(right["digest"])
     table = PerfectHash(past)
     order = table.lookup(past)
