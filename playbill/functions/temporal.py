@@ -23,7 +23,7 @@ def iso(year: Column, month: Column, day: Column) -> Column:
 
 def digits(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of a pattern as an int, null without a match."""
-    return F.expr("null").cast("int") if text is None else F.regexp_extract(text, pattern, group).try_cast("int")
+    return F.regexp_extract(text, pattern, group).try_cast("int")
 
 
 def rolled_date(day: Column, month: Column, asof: Column, days: int = 60) -> Column:

@@ -181,7 +181,7 @@ def is_multi_title(title: Column) -> Column:
 
 
 #: Parts of poster addresses that mean there is no poster.
-BAD_POSTERS = ("empty-poster", "no-poster", "placeholder", "default", "avatar", "logo", "blank")
+BAD_POSTERS = ("1920x1080", "1920%", "placeholder-2-i", "captura-de-ecra", "withoutlettering", "noltettering", "cdn.bndlyr.com")
 
 
 def bad_poster(url: Column, tokens: tuple[str, ...] = BAD_POSTERS) -> Column:
