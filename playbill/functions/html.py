@@ -42,7 +42,7 @@ def all_of(text: Column, pattern: str, group: int = 1) -> Column:
 def anchors(text: Column) -> Column:
     """G1: array of (href, text) in order."""
     pattern = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    return F.arrays_zip(all_of(text, pattern, 1).alias("href"), F.transform(all_of(text, pattern, 2), strip_tags).alias("text"))
+    return F.arrays_zip(all_of(text, pattern, 1).alias("href"), F.transform(all_of(text, pattern, 2), lambda t: strip_tags(t)).alias("text"))
 
 
 def script_json(text: Column, marker: str = "global.data = ") -> Column:

@@ -158,7 +158,7 @@ def slug_title(slug: Column) -> Column:
 
 def comma_parts(text: Column, most: int | None = None) -> Column:
     """trimmed parts that are not empty, the first `most` of them."""
-    parts = F.filter(F.transform(F.split(text, ","), F.btrim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.btrim(p)), lambda p: p != "")
     return F.slice(parts, 1, most) if most else parts
 
 
@@ -176,7 +176,7 @@ def overruns(query: Column, candidate: Column, least: float = 0.6) -> Column:
 
 def is_multi_title(title: Column) -> Column:
     """Several titles in one."""
-    parts = F.transform(F.split(title, r"\s*\+\s*"), F.btrim)
+    parts = F.transform(F.split(title, r"\s*\+\s*"), lambda p: F.btrim(p))
     return title.rlike(r"\s\|\s") | (title.contains(" + ") & (F.length(title) > 25) & F.forall(parts, lambda p: F.length(p) > 5))
 
 

@@ -1,7 +1,468 @@
-"""All registered queries of the listings engine and their SQL."""
+"""The engine's operators over the driver's tables: each query with the SQL that it is compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import html as H
+from .functions import temporal as T
+from .functions import text as X
+from .functions.truthy import first_truthy
+from .operators import enrich, merge, ordered
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "q02_null_aware_merge"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# DuckDB's form of F1
+_NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_NORM.format('substr(text, 1, 60)')} AS norm FROM documents")
+def q01_norm_key(spark, sf_dir):
+    """F1."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.norm_key(F.substring("text", 1, 60)).alias("norm"))
+
+
+@query(f"""
+    WITH p AS (SELECT {_NORM.format('p_name')} AS t, nullif(p_size % 7, 0) AS y, * FROM part),
+    k AS (SELECT *, CASE WHEN first_value(y) OVER (PARTITION BY t ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) IS NOT NULL
+                         THEN last_value(y IGNORE NULLS) OVER (PARTITION BY t ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS g FROM p)
+    SELECT t AS title_key, g AS group_year, min(p_partkey) AS rep, count(*) AS n,
+           arg_min(p_brand, p_partkey) FILTER (WHERE p_size % 5 <> 0) AS brand, arg_min(p_type, p_partkey) FILTER (WHERE p_size % 3 <> 0) AS type
+    FROM k GROUP BY t, g""")
+def q02_null_aware_merge(spark, sf_dir):
+    """Null-aware groups of parts; gaps are filled from later records."""
+    part = table(spark, sf_dir, "part").select(
+        X.norm_key(F.col("p_name")).alias("title_key"),
+        F.nullif(F.col("p_size") % 7, F.lit(0)).alias("year"),
+        "p_partkey",
+        F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).otherwise("").alias("brand"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("type"),
+    )
+    keyed = merge.null_aware_key(part, "title_key", "year", ["p_partkey"])
+    order = F.col("p_partkey")
+    return keyed.groupBy("title_key", "group_year").agg(F.min("p_partkey").alias("rep"), F.count("*").alias("n"), merge.fill("brand", "string", order), merge.fill("type", "string", order))
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, strftime(l_shipdate, '%Y-%m-%d') AS date, l_returnflag AS time, l_linestatus AS cinema, l_linenumber, l_partkey,
+                      row_number() OVER (PARTITION BY l_orderkey, l_shipdate, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey) AS n FROM lineitem)
+    SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY date, time, l_linenumber, l_partkey) AS pos, date, time, cinema, l_partkey::VARCHAR AS label
+    FROM s WHERE n = 1""")
+def q03_session_union(spark, sf_dir):
+    """Sessions of an order, the first of equal ones, by date and time."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.struct(F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_returnflag").alias("time"), F.col("l_linestatus").alias("cinema"), F.array(F.col("l_partkey").cast("string")).alias("labels")).alias("session"),
+    )
+    merged = merge.union_sessions(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"])
+    return merged.select("l_orderkey", F.posexplode("sessions").alias("p", "s")).select(
+        "l_orderkey", (F.col("p") + 1).cast("long").alias("pos"), "s.date", "s.time", "s.cinema", F.col("s.labels")[0].alias("label")
+    )
+
+
+def _nodes(spark, sf_dir, length):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("ord"), X.norm_key(F.substring("text", 1, length)).alias("k"), (F.col("n_chars") % 4).cast("int").alias("year"))
+
+
+_FUZZY = f"""
+    WITH n AS (SELECT doc_id, {_NORM.format('substr(text, 1, 24)')} AS k, (n_chars % 4)::INT AS y FROM documents)
+    SELECT a.doc_id AS i, b.doc_id AS j FROM n a JOIN n b ON a.doc_id < b.doc_id AND length(a.k) >= 8 AND length(b.k) >= 8
+        AND abs(length(a.k) - length(b.k)) <= 1 AND abs(a.y - b.y) <= 1
+    WHERE regexp_replace(a.k, '[0-9]', '#', 'g') <> regexp_replace(b.k, '[0-9]', '#', 'g') AND levenshtein(a.k, b.k) <= 1"""
+
+
+@query(_FUZZY)
+def q04_fuzzy_pairs(spark, sf_dir):
+    """Titles one edit apart, years at most one apart."""
+    return merge.fuzzy_links(_nodes(spark, sf_dir, 24))
+
+
+@query(f"""
+    WITH RECURSIVE links AS ({_FUZZY}),
+    -- nodes in order; a node leads if no earlier neighbour leads: settled one by one along chains of links
+    walk(j, owner, depth) AS (
+        SELECT i, i, 0 FROM links WHERE i NOT IN (SELECT j FROM links)
+        UNION
+        SELECT l.j, CASE WHEN l.j IN (SELECT j FROM links) THEN l.i ELSE l.j END, 1 FROM links l WHERE l.i NOT IN (SELECT j FROM links))
+    SELECT j, min(owner) AS owner FROM walk WHERE depth = 1 GROUP BY j""")
+def q05_fuzzy_first_owner(spark, sf_dir):
+    """C2, first round: nodes with an earlier neighbour that has none itself, and the least such neighbour."""
+    links = merge.fuzzy_links(_nodes(spark, sf_dir, 24))
+    heads = links.select("i").distinct().join(links.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+    return links.join(heads, "i").groupBy("j").agg(F.min("i").alias("owner"))
+
+
+@query()
+def q05_fuzzy_star_owner(spark, sf_dir):
+    """The owner of every absorbed document; tested against a sequential scan."""
+    return merge.star_owners(merge.fuzzy_links(_nodes(spark, sf_dir, 24)))
+
+
+@query("""
+    SELECT p.event_id, p.user_id, c.event_id AS prev_event_id, c.value AS prev_value
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts > c.ts""")
+def q06_asof_before(spark, sf_dir):
+    """Each purchase with the user's latest earlier click."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    left = events.where("event_type = 'purchase'").drop("event_type")
+    seen = ordered.asof_before(left, events.where("event_type = 'click'"), "user_id", "ts", ["event_id", "value"])
+    return seen.select("event_id", "user_id", "prev_event_id", "prev_value")
+
+
+@query("""
+    SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS)
+        OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events""")
+def q07_carry_forward(spark, sf_dir):
+    """The last error's value, carried forward."""
+    events = table(spark, sf_dir, "events")
+    value = F.when(F.col("event_type") == "error", F.col("value"))
+    return ordered.carry_forward(events, value, ["user_id"], ["ts", "event_id"], "last_error").select("event_id", "last_error")
+
+
+@query("""
+    SELECT event_id, lead(event_type) OVER w AS next_event_type, lead(event_id) OVER w AS next_event_id
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q08_lead_pair(spark, sf_dir):
+    """The next event."""
+    return ordered.with_next(table(spark, sf_dir, "events"), ["event_type", "event_id"], ["user_id"], ["ts", "event_id"]).select("event_id", "next_event_type", "next_event_id")
+
+
+_ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+_ANCHORS = f"""SELECT page_id, unnest(regexp_extract_all(html, '(?s){_ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '(?s){_ANCHOR}', 2)) AS label,
+    generate_subscripts(regexp_extract_all(html, '(?s){_ANCHOR}', 1), 1) AS pos FROM pages"""
+
+
+@query(f"SELECT page_id, pos::BIGINT AS pos, href, regexp_replace(label, '<[^>]+>', '', 'g') AS label FROM ({_ANCHORS})")
+def q09_page_anchors(spark, sf_dir):
+    """G1, F8: anchors with their position."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.anchors(F.col("html"))).alias("p", "a"))
+    return rows.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("a.href").alias("href"), F.col("a.text").alias("label"))
+
+
+@query("""
+    SELECT page_id, nullif(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '') AS title,
+           regexp_replace(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), '<[^>]+>', '', 'g') AS h1,
+           nullif(regexp_extract(html, '(?s)<html[^>]*lang="([^"]*)"', 1), '') AS lang FROM pages""")
+def q10_page_title(spark, sf_dir):
+    """Title, heading and language of a page."""
+    page = F.col("html")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", H.inner(page, r"<title[^>]*>(.*?)</title>").alias("title"), H.strip_tags(H.inner(page, r"<h1[^>]*>(.*?)</h1>")).alias("h1"), H.inner(page, r'<html[^>]*lang="([^"]*)"').alias("lang")
+    )
+
+
+@query(r"""
+    SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (
+        SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS t FROM pages)""")
+def q11_visible_text(spark, sf_dir):
+    """the text of a page without scripts, styles and tags."""
+    text = H.visible_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("digest"))
+
+
+@query(f"SELECT page_id, href, min(pos)::BIGINT AS pos FROM ({_ANCHORS}) GROUP BY page_id, href")
+def q12_ordered_distinct_links(spark, sf_dir):
+    """links of a page, the first of equal ones."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(H.anchors(F.col("html"))).alias("p", "a")).select("page_id", F.col("a.href").alias("href"), (F.col("p") + 1).cast("long").alias("pos"))
+    return ordered.first_seen(rows, ["page_id", "href"], ["pos"])
+
+
+@query("""
+    WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS path FROM pages)
+    SELECT min(page_id) AS page_id, path, string_split(path, '/')[-1] AS segment FROM p
+    WHERE string_split(path, '/')[-1] NOT IN ('full-view', 'by-event', 'filter', 'archive', 'pdf-agenda') GROUP BY path""")
+def q13_url_slug(spark, sf_dir):
+    """Paths without query and fragment, navigation pages left out, the first page of each."""
+    path = X.path_only(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"), X.last_segment(path).alias("segment"))
+    pages = pages.where(~F.col("segment").isin("full-view", "by-event", "filter", "archive", "pdf-agenda"))
+    return ordered.first_seen(pages, ["path"], ["page_id"])
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def q14_json_props(spark, sf_dir):
+    """A number from JSON."""
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
+@query("""
+    SELECT o_orderkey, count(*) AS n_lines, min(l_linenumber) AS first_line FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE o_orderdate >= DATE '1996-01-01' AND l_shipdate >= DATE '1996-06-01' GROUP BY o_orderkey""")
+def q15_future_filter(spark, sf_dir):
+    """Orders from a day on that still have lines from a later day on."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate >= DATE'1996-01-01'").select("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_shipdate >= DATE'1996-06-01'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.min("l_linenumber").alias("first_line"))
+    return orders.join(lines, "o_orderkey")
+
+
+@query("""
+    WITH s AS (SELECT c_mktsegment, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+    SELECT c_mktsegment, strftime(unnest(generate_series(a, b, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM s""")
+def q16_date_expand(spark, sf_dir):
+    """Every day between a segment's first and last order."""
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    ends = joined.groupBy("c_mktsegment").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    return ends.where("a <= b").select("c_mktsegment", F.explode(F.sequence("a", "b")).alias("day")).select("c_mktsegment", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query("""
+    SELECT o_orderkey, strftime(CASE WHEN date_diff('day', near, DATE '1998-11-15') > 60 THEN near + INTERVAL 1 YEAR ELSE near END, '%Y-%m-%d') AS day
+    FROM (SELECT o_orderkey, make_date(1998, month(o_orderdate), least(day(o_orderdate), 28)) AS near FROM orders)""")
+def q17_year_rollover(spark, sf_dir):
+    """the year of a day and month, given the day that counts as today."""
+    day = F.least(F.dayofmonth("o_orderdate"), F.lit(28))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.rolled_date(day, F.month("o_orderdate"), F.lit("1998-11-15").cast("date")).alias("day"))
+
+
+@query("""
+    SELECT event_id, strftime(timezone('Europe/Lisbon', timezone('UTC', ts)), '%Y-%m-%d %H:%M') AS civil,
+           strftime(timezone('Europe/Lisbon', timezone('UTC', ts + INTERVAL 180 DAY)) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS listed FROM events""")
+def q18_lisbon_time(spark, sf_dir):
+    """UTC to Lisbon, by the civil clock and as the listings have it (half a year on, in summer time)."""
+    stamp = F.col("ts").cast("timestamp")
+    written = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return table(spark, sf_dir, "events").select("event_id", written(T.lisbon_time(stamp, civil=True)).alias("civil"), written(T.lisbon_time(stamp + F.expr("interval 180 day"))).alias("listed"))
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderpriority FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS n
+        FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) WHERE n = 1""")
+def q19_ranked_pick(spark, sf_dir):
+    """The first urgent order of a customer, else the first high one."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
+    tiers = [F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "2-HIGH"]
+    return ordered.ranked_pick(orders, ["o_custkey"], tiers, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("""
+    WITH base AS (SELECT c_custkey, 1995 + (c_custkey % 4)::INT AS y FROM customer),
+    tries AS (SELECT c_custkey, y - k AS y, k AS pos FROM base, (VALUES (0), (1), (2)) t(k) UNION ALL SELECT c_custkey, NULL, 3 FROM base),
+    o AS (SELECT o_custkey, year(o_orderdate) AS oy, min(o_orderkey) AS o_orderkey FROM orders WHERE o_totalprice > 150000 GROUP BY 1, 2),
+    hits AS (SELECT c_custkey, pos, o_orderkey FROM tries JOIN o ON o_custkey = c_custkey AND (y IS NULL OR oy = y))
+    SELECT c_custkey, min(pos)::INT AS pos, arg_min(o_orderkey, pos::BIGINT * 1000000000 + o_orderkey) AS o_orderkey FROM hits GROUP BY c_custkey""")
+def q20_candidate_join(spark, sf_dir):
+    """Attempts (customer, year), two years back, then any year; the first that finds a large order."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", (1995 + F.col("c_custkey") % 4).cast("int").alias("y"))
+    tries = customers.select("c_custkey", F.posexplode(F.array(F.col("y"), F.col("y") - 1, F.col("y") - 2, F.lit(None).cast("int"))).alias("pos", "y"))
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 150000").groupBy("o_custkey", F.year("o_orderdate").alias("oy")).agg(F.min("o_orderkey").alias("o_orderkey"))
+    hits = tries.join(orders, (F.col("o_custkey") == F.col("c_custkey")) & F.coalesce(F.col("oy") == F.col("y"), F.lit(True))).select("c_custkey", "pos", "o_orderkey")
+    return ordered.ranked_pick(hits, ["c_custkey"], [F.lit(True)], ["pos", "o_orderkey"])
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_name WHEN n_name <> 'N/A' AND s_suppkey % 5 <> 0 THEN n_name ELSE r_name END AS label,
+           CASE WHEN s_nationkey <> 0 THEN s_nationkey WHEN n_regionkey <> 0 THEN n_regionkey END AS code
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def q21_precedence_fill(spark, sf_dir):
+    """2.H: the first value that is there: empty, N/A and zero are missing."""
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    own, other = F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).otherwise(""), F.when(F.col("s_suppkey") % 5 != 0, F.col("n_name")).otherwise("N/A")
+    return joined.select("s_suppkey", first_truthy(own, other, F.col("r_name"), sentinel="N/A").alias("label"), first_truthy("s_nationkey", "n_regionkey", kind="number").alias("code"))
+
+
+@query("SELECT page_id, (contains(lower(url), 'site1') OR contains(lower(url), 'logo') OR contains(lower(url), '/7')) AS blocked FROM pages")
+def q22_blocklist(spark, sf_dir):
+    """Addresses with any of several tokens."""
+    return table(spark, sf_dir, "pages").select("page_id", X.bad_poster(F.col("url"), ("site1", "logo", "/7")).alias("blocked"))
+
+
+@query("""
+    SELECT p_brand AS name, arg_min(coalesce(nullif(p_size % 3, 0)::VARCHAR, 'none'), p_partkey) AS slug, min(p_partkey) AS first_key FROM part GROUP BY p_brand""")
+def q23_director_dimension(spark, sf_dir):
+    """2.I: the first row of each name, its null kept."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.nullif(F.col("p_size") % 3, F.lit(0)).cast("string").alias("slug"), F.col("p_partkey").alias("first_key"))
+    return ordered.first_seen(part, ["name"], ["first_key"]).select("name", F.coalesce("slug", F.lit("none")).alias("slug"), "first_key")
+
+
+@query("""
+    WITH cur AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1998-07-01' AND o_custkey % 10 < 6),
+    prev AS (SELECT * FROM orders WHERE o_orderdate < DATE '1998-07-01'),
+    k AS (SELECT DISTINCT o_custkey FROM orders)
+    SELECT o_orderkey, o_custkey FROM cur
+    UNION ALL SELECT o_orderkey, o_custkey FROM prev WHERE o_custkey IN (SELECT o_custkey FROM k) AND o_custkey NOT IN (SELECT o_custkey FROM cur)""")
+def q24_source_fallback(spark, sf_dir):
+    """Customers without current orders keep their earlier ones."""
+    orders = table(spark, sf_dir, "orders")
+    current = orders.where("o_orderdate >= DATE'1998-07-01' AND o_custkey % 10 < 6").select("o_orderkey", "o_custkey")
+    previous = orders.where("o_orderdate < DATE'1998-07-01'").select("o_orderkey", "o_custkey")
+    return ordered.fall_back(current, previous, orders, "o_custkey")
+
+
+@query("""
+    WITH s AS (SELECT p_name, count(DISTINCT p_brand) > 1 AS series FROM part GROUP BY p_name)
+    SELECT p_name, CASE WHEN series THEN p_brand ELSE '' END AS group_title, count(*) AS n FROM part JOIN s USING (p_name) GROUP BY 1, 2""")
+def q25_series_detect(spark, sf_dir):
+    """Names with several brands are grouped by brand too."""
+    return ordered.series_keys(table(spark, sf_dir, "part").select("p_name", "p_brand"), "p_name", "p_brand").groupBy("p_name", "group_title").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT p_partkey, p_name FROM (
+        SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY length(p_name), p_partkey) AS n FROM part) WHERE n = 1""")
+def q26_shortest_title(spark, sf_dir):
+    """Of equal brand and type the shortest name."""
+    return merge.shortest_title_merge(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+@query("""
+    SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY q, k) AS pos, k AS ref FROM (
+        SELECT l_orderkey AS o_orderkey, l_partkey::VARCHAR AS k, max(l_quantity)::INT AS q FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2)""")
+def q27_map_order_refs(spark, sf_dir):
+    """Ids of a map by their values."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").groupBy("l_orderkey", F.col("l_partkey").cast("string").alias("k")).agg(F.max("l_quantity").cast("int").alias("q"))
+    maps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
+    return maps.select("o_orderkey", F.posexplode(ordered.map_order(F.col("m"))).alias("p", "ref")).select("o_orderkey", (F.col("p") + 1).cast("long").alias("pos"), "ref")
+
+
+@query("""
+    SELECT doc_id, unnest(t) AS item, unnest(list_transform(range(1, len(t) + 1), lambda k: y[least(k, len(y))])) AS value FROM (
+        SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS t, [1990 + (doc_id % 20)::INT, 2000 + (doc_id % 7)::INT] AS y FROM documents)""")
+def q28_parallel_pad(spark, sf_dir):
+    """Lists zipped, the last value repeated."""
+    years = F.array((1990 + F.col("doc_id") % 20).cast("int"), (2000 + F.col("doc_id") % 7).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(ordered.padded(F.split(F.substring("text", 1, 40), " "), years)).alias("x"))
+    return docs.select("doc_id", "x.item", "x.value")
+
+
+_PARTS = r"list_filter(list_transform(regexp_split_to_array(title, '\s*[|+]\s*'), lambda p: trim(p)), lambda p: p <> '')"
+
+
+@query(rf"""
+    WITH t AS (SELECT p_partkey, p_name || ' + ' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' | ' || p_type ELSE '' END AS title FROM part),
+    m AS (SELECT *, regexp_matches(title, '\s\|\s') OR (contains(title, ' + ') AND length(title) > 25
+          AND len(list_filter(list_transform(regexp_split_to_array(title, '\s*\+\s*'), lambda p: trim(p)), lambda p: length(p) <= 5)) = 0) AS multi FROM t)
+    SELECT p_partkey, unnest(CASE WHEN multi THEN {_PARTS} ELSE [title] END) AS part,
+           generate_subscripts(CASE WHEN multi THEN {_PARTS} ELSE [title] END, 1)::INT AS idx FROM m""")
+def q29_multi_title_split(spark, sf_dir):
+    """Joint titles become rows."""
+    joint = F.concat(F.col("p_name"), F.lit(" + "), F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" | "), F.col("p_type"))).otherwise(""))
+    part = table(spark, sf_dir, "part").select("p_partkey", joint.alias("title"))
+    pieces = F.filter(F.transform(F.split("title", r"\s*[|+]\s*"), lambda p: F.btrim(p)), lambda p: p != "")
+    rows = part.select("p_partkey", F.posexplode(F.when(X.is_multi_title(F.col("title")), pieces).otherwise(F.array("title"))).alias("p", "part"))
+    return rows.select("p_partkey", "part", (F.col("p") + 1).alias("idx"))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, substr(text, 1, 30) AS a, substr(text, 1, 12) AS q FROM documents),
+    k AS (SELECT *, {_NORM.format('a')} AS na, {_NORM.format('q')} AS nq FROM d)
+    SELECT doc_id, contains(strip_accents(lower(a)), regexp_split_to_array(trim(strip_accents(lower(q))), '\\s+')[-1]) AS agrees,
+           nq <> na AND starts_with(na, nq) AND length(nq) / length(na) < 0.6 AS overrun FROM k""")
+def q30_name_guards(spark, sf_dir):
+    """Last-name agreement and title overrun."""
+    long, short = F.substring("text", 1, 30), F.substring("text", 1, 12)
+    return table(spark, sf_dir, "documents").select("doc_id", X.last_word_in(long, short).alias("agrees"), X.overruns(short, long).alias("overrun"))
+
+
+@query("""
+    SELECT doc_id, g[1] AS g1, g[2] AS g2, g[3] AS g3 FROM (
+        SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1:3] AS g FROM documents)""")
+def q31_genre_topk(spark, sf_dir):
+    """the first three parts between commas."""
+    g = X.comma_parts(F.substring("text", 1, 200), 3)
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.try_element_at(g, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(value * 100 AS BIGINT))::BIGINT AS cents FROM events GROUP BY event_type")
+def q32_venue_summary(spark, sf_dir):
+    """K3: counts by venue."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.sum(cents).alias("cents"))
+
+
+@query("""
+    SELECT c_custkey, names FROM (SELECT c_custkey FROM customer) LEFT JOIN (
+        SELECT c_custkey, string_agg(n_name, ', ' ORDER BY pos) AS names FROM (
+            SELECT c_custkey, unnest([c_nationkey, (c_custkey % 30)::INT, 99]) AS id, unnest([0, 1, 2]) AS pos FROM customer) JOIN nation ON n_nationkey = id GROUP BY c_custkey) USING (c_custkey)""")
+def q33_dim_array_lookup(spark, sf_dir):
+    """D3: ids of an array as names."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.col("c_nationkey"), (F.col("c_custkey") % 30).cast("int"), F.lit(99)).alias("ids"))
+    return ordered.joined_list(customers, "ids", table(spark, sf_dir, "nation"), "n_nationkey", "n_name", ["c_custkey"])
+
+
+@query(r"""
+    SELECT doc_id, array_to_string(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1:3], ' ') AS lead FROM documents""")
+def q34_first_sentences(spark, sf_dir):
+    """the first three sentences."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.first_sentences(F.col("text")).alias("lead"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_size AS year, p_brand AS brand FROM part")
+def q35_payload_rows(spark, sf_dir):
+    """Records through the published JSON and back."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.col("p_brand").alias("brand"))
+    wrapped = part.select(F.concat(F.lit("window.DATA = "), F.to_json(F.struct(*part.columns)), F.lit(";")).alias("js"))
+    bare = F.regexp_replace(F.regexp_replace("js", r"^window\.DATA = ", ""), ";$", "")
+    return wrapped.select(F.from_json(bare, "p_partkey BIGINT, title STRING, year INT, brand STRING").alias("r")).select("r.*")
+
+
+@query(f"""
+    SELECT page_id, substr(regexp_replace(lower(url), '[^a-z0-9]', '_', 'g'), 1, 40) AS id, upper(substr(lang, 1, 1)) || substr(lang, 2) AS label,
+           trim(regexp_replace(regexp_replace(title, '\\s*[-|/–—][^-|/–—]*$', ''), '\\s*\\([^)]*\\)', '', 'g')) AS clean,
+           regexp_replace(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9 ]', '', 'g')), ' +', '-', 'g') AS slug
+    FROM (SELECT page_id, url, 'language ' || coalesce(regexp_extract(html, '(?s)<html[^>]*lang="([^"]*)"', 1), '') AS lang, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) || ' (x) - y' AS title FROM pages)""")
+def q36_title_slugs(spark, sf_dir):
+    """clean titles, slugs and ids."""
+    page = F.col("html")
+    title = F.concat(F.coalesce(H.inner(page, r"<title[^>]*>(.*?)</title>"), F.lit("")), F.lit(" (x) - y"))
+    lang = F.concat(F.lit("language "), F.coalesce(H.inner(page, r'<html[^>]*lang="([^"]*)"'), F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", X.id_slug(F.col("url")).alias("id"), X.capital_first(lang).alias("label"), X.clean_title(title).alias("clean"), X.title_slug(title).alias("slug"))
+
+
+@query("""
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_custkey % 60)::VARCHAR, 2, '0') AS hour,
+           ((o_orderkey % 4) * 60 + o_custkey % 60)::INT AS minutes FROM orders""")
+def q37_written_times(spark, sf_dir):
+    """Dates, clock times and lengths as venues write them."""
+    c = F.col
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    dated = T.slashed_date_time(F.concat(F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(", "), two(c("o_orderkey") % 24), F.lit("h"), two(c("o_custkey") % 60)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dated["date"].alias("day"), dated["time"].alias("hour"), T.minutes(F.concat((c("o_orderkey") % 4).cast("string"), F.lit("h"), two(c("o_custkey") % 60))).alias("minutes"))
+
+
+@query("""
+    SELECT event_id, user_id FROM (SELECT *, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM events) WHERE stop = 0""")
+def q38_until_marker(spark, sf_dir):
+    """What a user did before the first error."""
+    return ordered.until_marker(table(spark, sf_dir, "events"), F.col("event_type") == "error", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("""
+    SELECT p_size % 9 AS key, arg_max(p_brand, p_partkey) AS value FROM part GROUP BY 1""")
+def q39_last_wins(spark, sf_dir):
+    """Repeated keys of a lookup table: the last entry counts."""
+    part = table(spark, sf_dir, "part").select((F.col("p_size") % 9).alias("key"), F.col("p_brand").alias("value"), "p_partkey")
+    return ordered.last_wins(part, "key", "value", "p_partkey")
+
+
+@query("""
+    SELECT c_custkey, o.o_orderkey IS NOT NULL AS hit FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey""")
+def q40_cache_hits(spark, sf_dir):
+    """Hits and misses of a lookup by a null-safe key."""
+    movies = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("title"), F.lit(None).cast("int").alias("year"))
+    cache = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("title"), F.lit(None).cast("int").alias("year")).distinct()
+    hits, misses = enrich.cache_split(movies, cache)
+    return hits.select(F.col("title").cast("long").alias("c_custkey"), F.lit(True).alias("hit")).unionByName(misses.select(F.col("title").cast("long").alias("c_custkey"), F.lit(False).alias("hit")))
