@@ -17,6 +17,3 @@ OMDB = "query_title STRING, query_year INT, Response STRING, Title STRING, Year
 WIKI = "name STRING, photo STRING, bio STRING"
 ALIAS = "key STRING, value STRING, ordinal INT"
 ERROR = "cinema STRING, error STRING"
-
-#: What a published document holds.
-PUBLISHED = f"STRUCT<generated: STRING, movies: ARRAY<STRUCT<{', '.join(x.replace(' ', ': ', 1) for x in MOVIE.replace(SESSION, 'S').split(', ')[:-2]).replace('S>', SESSION + '>')}>>, directors: MAP<STRING, STRUCT<lbxd_slug: STRING, photo: STRING, bio: STRING>>, errors: ARRAY<STRUCT<cinema: STRING, error: STRING>>>"
