@@ -12,7 +12,7 @@ from . import batalha, cinemateca, culturgest, fernando, ideal, medeia, sao_jorg
 from .base import Source, as_movies
 
 _NIMAS = partial(medeia.parse, cinema="nimas", slug="cinema-medeia-nimas")
-_CAMPO = partial(medeia.parse, cinema="campo_alegre", slug="teatro-do-campo-alegre")
+_CAMPO = partial(medeia.parse, cinema="campo_alegre", slug="teatro-campo-alegre")
 
 
 def sources() -> list[Source]:
