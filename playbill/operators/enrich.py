@@ -80,9 +80,9 @@ def omdb_attempts(movies: DataFrame) -> DataFrame:
 def omdb_lookup(movies: DataFrame, catalogue: DataFrame, aliases: DataFrame) -> DataFrame:
     """KEY and the catalogue's columns of the first attempt that passes B18, B19 and B20."""
     asked = omdb_attempts(with_alias(movies, aliases, "alias_title"))
-    same = (asked["query_title"] == catalogue["query_title"]) & asked["query_year"].eqNullSafe(catalogue["query_year"])
-    columns = [c for c in catalogue.columns if not c.startswith("query_")]
-    found = asked.join(catalogue, same).select(*KEY, "director", "pos", asked["query_title"], asked["query_year"], *[catalogue[c].alias(f"om_{c}") for c in columns])
+    records = catalogue.withColumnsRenamed({c: c.replace("query_", "q_") if c.startswith("query_") else f"om_{c}" for c in catalogue.columns})
+    same = (F.col("query_title") == F.col("q_title")) & F.col("query_year").eqNullSafe(F.col("q_year"))
+    found = asked.join(records, same).drop("q_title", "q_year")
     agrees = ~truthy("director") | (truthy("om_Director") & (F.col("om_Director") != "N/A") & last_word_in(F.col("om_Director"), F.col("director")))
     off = F.abs(F.substring("om_Year", 1, 4).try_cast("int") - F.col("query_year"))
     passing = found.where("om_Response = 'True'").where(agrees & F.coalesce(off <= 2, F.lit(True)) & ~F.coalesce(overruns(F.col("query_title"), F.col("om_Title")), F.lit(False)))

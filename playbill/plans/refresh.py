@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as E
 from ..operators.merge import exact_merge, fuzzy_merge
+from ..scratch import written
 from ..sources import registry
 
 
@@ -48,13 +49,15 @@ def with_fallback(movies: DataFrame, previous: DataFrame) -> DataFrame:
 def merged(landing: DataFrame, previous: DataFrame, asof: Column, session_order: str = "append") -> DataFrame:
     """Stages 2 to 8."""
     movies = with_fallback(registry.extract(landing, asof), previous)
-    return fuzzy_merge(exact_merge(upcoming(clean(movies), asof)), session_order)
+    # both merges read their input several times: it is parsed once, and written
+    once = written(upcoming(clean(movies), asof), "upcoming")
+    return written(fuzzy_merge(written(exact_merge(once), "exact"), session_order), "merged")
 
 
 def refresh(landing: DataFrame, previous: DataFrame, snapshots: Snapshots, asof: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(movies, directors, errors), as they are published."""
     movies = merged(landing, previous, asof)
-    movies = E.enrich(movies, snapshots.lbxd, snapshots.omdb, snapshots.lbxd_aliases, snapshots.omdb_aliases)
+    movies = written(E.enrich(movies, snapshots.lbxd, snapshots.omdb, snapshots.lbxd_aliases, snapshots.omdb_aliases), "enriched")
     return movies, E.directors(movies, snapshots.wiki), registry.errors(landing)
 
 
