@@ -43,7 +43,7 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     h = np.zeros(len(data), np.uint16)
     value = _GEAR[data]
-    for back in range(16):
+    for back in range(min(16, len(data))):
         h[back:] += value[: len(value) - back] << np.uint16(back)
     ready = np.flatnonzero(h < 65536 // MEAN) + 1
     ready = ready[ready < len(data)]
@@ -143,11 +143,13 @@ def drop_repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """All documents, without their repeated passages; other columns as they were."""
     spans = repeats(docs, run_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut")).withColumnRenamed("doc_id", "_of")
     joined = docs.join(spans, docs["doc_id"] == spans["_of"], "left")
+    text, cut = docs["text"], spans["_cut"]
     # what stands between the cut spans
     kept = F.aggregate(
-        "_cut",
+        cut,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(F.concat(acc["out"], F.substr(docs["text"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"), s["end"].alias("at")),
-        lambda acc: F.concat(acc["out"], F.substr(docs["text"], (acc["at"] + 1).cast("int"))),
+        lambda acc, s: F.struct(F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"), s["end"].alias("at")),
+        lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))),
     )
-    return joined.withColumn("text", F.when(F.col("_cut").isNull(), docs["text"]).otherwise(kept)).select(*docs.columns)
+    cleaned = F.when(cut.isNull(), text).otherwise(kept)
+    return joined.select(*[cleaned.alias(c) if c == "text" else docs[c] for c in docs.columns])

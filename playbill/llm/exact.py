@@ -80,10 +80,7 @@ def _words(digests: pd.Series) -> np.ndarray:
 
 def _decide(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """One shard: historical digests (left), incoming distinct digests (right) → a decision for each distinct digest."""
-    # a shard without rows on one side comes without these columns
-    none = pd.DataFrame({"digest": [], "winner": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    left, right = (side if "digest" in side.columns else none for side in (left, right))
-    past, now = _words(left["digest"]), _words(right["digest"])
+    past, now = _words(left["digest"]), _words(right["new_digest"])
     table = PerfectHash(past)
     order = table.lookup(past)
     slots = np.empty_like(past)
@@ -94,11 +91,11 @@ def _decide(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame
     member[member] = (slots[at[member]] == now[member]).all(axis=1)
     hit = at[member]
     extra = np.zeros(len(past), np.int64)
-    extra[hit] = right["n"].to_numpy()[member]
+    extra[hit] = right["new_n"].to_numpy()[member]
     first = winner.copy()
-    first[hit] = np.minimum(winner[hit], right["winner"].to_numpy()[member])
+    first[hit] = np.minimum(winner[hit], right["new_winner"].to_numpy()[member])
     own = pd.DataFrame({"digest": list(map(bytes, slots.view(np.uint8).reshape(-1, 32))) if len(past) else [], "keep_id": first, "group_size": rows + extra})
-    new = right.loc[~member, ["digest", "winner", "n"]].rename(columns={"winner": "keep_id", "n": "group_size"})
+    new = right.loc[~member, ["new_digest", "new_winner", "new_n"]].set_axis(["digest", "keep_id", "group_size"], axis=1)
     return pd.concat([own, new], ignore_index=True)
 
 
@@ -109,13 +106,16 @@ NO_ID = 2**63 - 1
 def decisions(history: DataFrame, incoming: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) for each distinct digest of both; each input has doc_id and digest (32 bytes)."""
     reduce = lambda df: df.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("winner"), F.count("*").alias("n"))
-    past, now = reduce(history), reduce(incoming)
     total = history.count() + incoming.count()  # both are narrow written tables: a count of footers
     shards = max(1, -(-total // SHARD))
-    # the top 31 bits of the digest, scaled to the number of shards
-    shard = F.floor(F.conv(F.substring(F.hex("digest"), 1, 7), 16, 10).cast("long") * shards / F.lit(1 << 28)).cast("int")
+    # the leading 28 bits of the digest, scaled to the number of shards
+    shard = lambda d: F.floor(F.conv(F.substring(F.hex(d), 1, 7), 16, 10).cast("long") * shards / F.lit(1 << 28)).cast("int")
+    past = reduce(history).select("digest", "winner", "n", shard("digest").alias("shard"))
+    # both sides come from one table: the second gets names, and so columns, of its own
+    now = reduce(incoming).select(F.col("digest").alias("new_digest"), F.col("winner").alias("new_winner"), F.col("n").alias("new_n"))
+    now = now.withColumn("new_shard", shard("new_digest"))
     schema = "digest binary, keep_id long, group_size long"
-    return past.withColumn("shard", shard).groupBy("shard").cogroup(now.withColumn("shard", shard).groupBy("shard")).applyInPandas(_decide, schema)
+    return past.groupBy("shard").cogroup(now.groupBy("new_shard")).applyInPandas(_decide, schema)
 
 
 def exact_duplicates(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
@@ -134,7 +134,7 @@ def exact_duplicates(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     decided = decisions(rows.where(F.col("doc_id") < split), rows.where(F.coalesce(F.col("doc_id") >= split, F.lit(True))))
     keep = F.nullif("keep_id", F.lit(NO_ID))
     joined = rows.join(decided, "digest").withColumn("keep_id", keep)
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", F.when(F.col("doc_id").isNull(), F.col("keep_id").isNull()).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
