@@ -202,9 +202,10 @@ def _zeros() -> Iterator[int]:
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Rows of the benchmark, in blocks of at most `limit` bytes (or one row)."""
+    """Items of the benchmark, in blocks of at most `limit` bytes (or one item)."""
+    items = narrow(benchmark, item_id="long", text="string").dropna().groupBy("item_id").agg(F.max(F.struct(F.length("text"), "text")).alias("t"))
     block, size = [], 0
-    for row in benchmark.toLocalIterator():
+    for row in items.select("item_id", "t.text").orderBy("item_id").toLocalIterator():
         n = len(row["text"].encode(errors="surrogatepass"))
         if block and size + n > limit:
             yield block
@@ -226,11 +227,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage:
     spark = docs.sparkSession
     prepare(spark)
     docs = narrow(docs, doc_id="long", text="string")
-    items = narrow(benchmark, item_id="long", text="string").dropna().groupBy("item_id").agg(F.max(F.struct(F.length("text"), "text")).alias("t")).select("item_id", "t.text").orderBy("item_id")
     kind = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))
     schema = "doc_id long, item_id long, item_tokens int, covered_tokens int, coverage double, n_tiles int, tiles array<struct<item_at: int, doc_at: int, length: int>>"
     out = spark.createDataFrame([], schema)
-    for block in _blocks(items, block_bytes):
+    for block in _blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(block)  # at most block_bytes of text, or one row
 
         def run(batches, shared=shared):
@@ -249,7 +249,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that cover no item, all columns as they were."""
-    gone = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_leak"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that cover no item, all columns as they were.
+
+    A benchmark of one block filters the rows where they are; for a larger one the ids of all blocks' findings are joined.
+    """
+    blocks = _blocks(benchmark, block_bytes)
+    first, more = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if more is not None:
+        gone = overlaps(docs, benchmark, least, coverage, block_bytes).select(F.col("doc_id").alias("_leak")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["_leak"], "left_anti")
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(first)  # at most block_bytes of text, or one item
+
+    def run(batches):
+        seeds = Seeds(shared.value, least)
+        for rows in batches:
+            if rows.num_rows:
+                yield rows.filter(pa.array([not seeds.overlaps(t, coverage) for t in rows.column("text").to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)

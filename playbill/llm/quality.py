@@ -145,6 +145,12 @@ def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """The documents whose score is at least 0.5, all columns as they were."""
-    bad = score(docs, model).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The documents whose score is at least 0.5, all columns as they were; the rows stay where they are."""
+    if model is None:
+        return docs
+    prepare(docs.sparkSession)
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.filter(pa.array(model.score(features(rows.column("text"))) >= 0.5))
+
+    return map_batches(docs, batch, docs.schema)
