@@ -3,7 +3,9 @@
 A logistic model over the shape of a text (which bytes, which pairs of kinds of bytes, how much is repeated) is fitted by the
 non-negative unbiased risk: with the class prior p, the risk of the negatives is what the unlabelled texts have beyond p times
 the positives' share, and where an update would drive that estimate below zero it is turned round instead. The prior is
-estimated as the share of trusted positives in the audited rows; the negatives are not used in any other way.
+estimated from the positives and the unlabelled texts: above a score that nearly all positives pass, the share of unlabelled
+texts is at least p times the positives' share, so the least quotient of the two bounds it. The labelled negatives only give
+a first guess of the prior, with which those scores are made.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ _KIND[[10, 13]] = 4
 for _place, _mark in enumerate(".,|!*%$#&-:;\"'", start=6):
     _KIND[ord(_mark)] = min(_place, _KINDS - 1)
 _KIND[[b for b in range(33, 127) if _KIND[b] == 5]] = _KINDS - 1
-REPEATS = 6
+REPEATS = 9
 WIDTH = _KINDS + _KINDS * _KINDS + REPEATS
 
 
@@ -52,14 +54,14 @@ def features(column: pa.Array) -> np.ndarray:
         distinct = len(set(words))
         stuck = sum(a == b for a, b in zip(words, words[1:]))
         shift = len(set(zip(words, words[1:])))
-        out[row, -REPEATS:] = stuck / n, 1 - distinct / n, 1 - shift / max(1, n - 1), (n - distinct) / n if n > 50 else 0, (hi - lo) / n / 100, n < 20
+        out[row, -REPEATS:] = stuck / n, 1 - distinct / n, 1 - shift / max(1, n - 1), (n - distinct) / n if n > 50 else 0, (hi - lo) / n / 100, n < 20, stuck > n / 4, 2 * shift < n and n > 8, 4 * distinct < n and n > 50
     out[:, : WIDTH - REPEATS] = np.log1p(1000 * out[:, : WIDTH - REPEATS]) / 7
     return out
 
 
 @dataclass
 class QualityModel:
-    """A linear model on standardised features, and the class prior it was fitted with."""
+    """A linear model on standardised features, and the class prior that it was fitted with."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -81,6 +83,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     w = np.zeros(p.shape[1])
     m, v, t, rng = np.zeros_like(w), np.zeros_like(w), 0, np.random.default_rng(seed)
     batches = max(1, len(u) // 1000)
+    epochs = max(epochs, 200 // batches)  # small samples need as many steps
     average, taken = np.zeros_like(w), 0
     for epoch in range(epochs):
         for a, b in zip(np.array_split(rng.permutation(len(p)), batches), np.array_split(rng.permutation(len(u)), batches)):
@@ -102,6 +105,24 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return QualityModel(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, guess: float) -> float:
+    """The share of positives among the unlabelled: the least quotient of the shares above a score.
+
+    Each half is scored by a model of the other half. Small samples (under 50 of either) keep the guess.
+    """
+    if min(len(positive), len(unlabelled)) < 50:
+        return guess
+    p, u = [], []
+    for half in (0, 1):
+        model = fit(positive[half::2], unlabelled[half::2], guess)
+        p.append(model.score(positive[1 - half :: 2]))
+        u.append(model.score(unlabelled[1 - half :: 2]))
+    p, u = np.sort(np.concatenate(p)), np.sort(np.concatenate(u))
+    cut = np.quantile(p, np.linspace(0.0005, 0.2, 200))
+    above_p, above_u = 1 - np.searchsorted(p, cut, "right") / len(p), 1 - np.searchsorted(u, cut, "right") / len(u)
+    return float(np.clip(above_u / np.maximum(above_p, 1e-9), 0.05, 0.99).min())
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = TRAIN_POSITIVE, unlabelled: int = TRAIN_UNLABELLED) -> QualityModel | None:
     """Fit on bounded samples of the rows for which `usable` (a condition on doc_id) holds.
 
@@ -113,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = T
     trusted = sum(r["n"] for r in audit if r["quality"] == 1)
     if not trusted:
         return None
-    prior = min(0.99, trusted / total) if trusted < total else 0.9
+    guess = min(0.99, trusted / total) if trusted < total else 0.9
     docs = narrow(docs, doc_id="long", text="string").where(usable)
     chosen = stable_sample(labels.where("quality = 1"), "doc_id", positives, "positive").select("doc_id", F.lit(1).alias("y"))
     chosen = chosen.unionByName(stable_sample(docs, "doc_id", unlabelled, "unlabelled").select("doc_id", F.lit(0).alias("y")))
@@ -126,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = T
     got = map_batches(picked, measure, "doc_id long, y int, x binary").toPandas().sort_values(["y", "doc_id", "x"])
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), WIDTH).astype(np.float32)
     y = got["y"].to_numpy()
-    return fit(x[y == 1], x[y == 0], prior) if (y == 1).any() and (y == 0).any() else None
+    positive, other = x[y == 1], x[y == 0]
+    return fit(positive, other, estimate_prior(positive, other, guess)) if len(positive) and len(other) else None
 
 
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:

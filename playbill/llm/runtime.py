@@ -20,6 +20,15 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this process's scratch tables; to be called once their results are stored elsewhere."""
+    while _WRITTEN:
+        drop_table(spark, _WRITTEN.pop())
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: spark.checkpoint.dir; a local one only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +42,7 @@ def persist_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a frame to the shared folder and read it back, which cuts its lineage; survives the loss of executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/playbill_{name}_{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
