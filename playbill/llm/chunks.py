@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .runtime import map_batches, narrow, persist_table, prepare, text_bytes
 
 #: A cut is sought after so many bytes, stands every so many bytes on average after that, and is forced at the last figure.
-LEAST, MEAN, MOST = 12, 40, 1024
+LEAST, MEAN, MOST = 8, 32, 1024
 #: Words of a run of repeated chunks that make it a repeated passage.
-RUN_WORDS = 24
+RUN_WORDS = 18
 
 
 def _gear() -> np.ndarray:
@@ -46,13 +46,13 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for back in range(min(16, len(data))):
         h[back:] += value[: len(value) - back] << np.uint16(back)
     ready = np.flatnonzero(h < 65536 // MEAN) + 1
+    # windows that reach back into the text before are not this text's: drop what is within 16 bytes of a start
+    ready = ready[ready - starts[np.searchsorted(starts, ready - 1, side="right") - 1] >= 16]
     ready = ready[ready < len(data)]
     while (inside := (data[ready] & 0xC0) == 0x80).any():  # to the end of the character
         ready = ready + inside
         ready = ready[ready < len(data)]
-    # windows that reach back into the text before are not this text's: drop what is within 16 bytes of a start
-    which = np.searchsorted(starts, ready, side="right") - 1
-    ready = ready[ready - starts[which] >= 16].tolist()
+    ready = ready.tolist()
     out, k, n = [], 0, len(ready)
     for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
         at = lo
