@@ -127,7 +127,8 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     pieces, _ = persist_table(chunks(docs.where(F.col("doc_id").isNotNull())), "chunks")
     spread = pieces.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    spread = spread.where("first_doc_id < last").drop("last")
+    # written, so that the join deals both sides itself and a chunk of very many documents can be split among tasks
+    spread, _ = persist_table(spread.where("first_doc_id < last").drop("last"), "spread")
     again = pieces.join(spread, ["d1", "d2"]).where("doc_id > first_doc_id").select("doc_id", "seq", "start", "end", "words", "first_doc_id").distinct()
     # runs of neighbouring repeats of one document; as many rows as it has chunks at most
     by_doc = Window.partitionBy("doc_id").orderBy("seq", "start", "end")
