@@ -28,8 +28,8 @@ TRAIN_DOCS = 3000
 TRAIN_SEQUENCES, SEQUENCE = 4000, 48
 #: Marks kept for labelling tokens, at most (the commonest).
 MARKS = 4000
-#: Likelihood ratio that a mark needs.
-MARK_RATIO = 14.0
+#: Likelihood ratio that a mark needs: this much, and this much more for each natural logarithm of the toxic documents.
+MARK_RATIO = (6.0, 2.4)
 BUCKETS = 1 << 16
 _TOKEN = re.compile(r"[^\W_]+")
 #: Scores of distinct tokens that a worker keeps; beyond this it starts anew.
@@ -115,7 +115,7 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(self.level[0] + documents @ self.level[1:], -30, 30)))
 
 
-def fit_chain(sequences: list[list[str]], states: list[list[int]], epochs: int = 60, rate: float = 0.1, decay: float = 1e-4) -> Chain:
+def fit_chain(sequences: list[list[str]], states: list[list[int]], epochs: int = 25, rate: float = 0.2, decay: float = 1e-4) -> Chain:
     """Maximum conditional likelihood by Adam; all sequences are stepped through together."""
     words = sorted({w for s in sequences for w in s})
     place = {w: k for k, w in enumerate(words)}
@@ -209,7 +209,7 @@ def _marks(rows: DataFrame) -> set[str]:
     n = F.col("t") + F.col("c")
     # likelihood ratio against the same rate in both classes: few documents need few, but never one or two, witnesses
     ratio = 2 * (F.col("t") * F.log(F.col("t") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0))
-    return {r["stem"] for r in sums.where((F.col("t") > 0) & (lift > 3) & (ratio > MARK_RATIO)).orderBy(F.desc("t"), "stem").limit(MARKS).select("stem").collect()}
+    return {r["stem"] for r in sums.where((F.col("t") > 0) & (lift > 3) & (ratio > MARK_RATIO[0] + MARK_RATIO[1] * math.log(a))).orderBy(F.desc("t"), "stem").limit(MARKS).select("stem").collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, bound: int = TRAIN_DOCS) -> Chain | None:
@@ -245,14 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, bound: int = TRAIN
         return pa.record_batch([batch.column("y"), *(pa.array(c) for c in zip(*x))], names=["y", "top", "many"])
 
     seen = map_batches(rows.select("text", "y"), sum_up, "y int, top double, many double").toPandas().sort_values(["y", "top", "many"])
-    chain.level = _fit_level(seen[["top", "many"]].to_numpy(), seen["y"].to_numpy())
+    shares = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chain.level = _fit_level(seen[["top", "many"]].to_numpy(), seen["y"].to_numpy(), shares)
     return chain
 
 
-def _fit_level(x: np.ndarray, y: np.ndarray, rounds: int = 25, decay: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton's method, either class weighing the same."""
+def _fit_level(x: np.ndarray, y: np.ndarray, shares: dict[int, int], rounds: int = 25, decay: float = 1e-3) -> np.ndarray:
+    """Logistic regression by Newton's method; the classes weigh as they do among all labels."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    weigh = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weigh = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum())) / (shares[0] + shares[1])
     w = np.zeros(3)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
