@@ -31,8 +31,10 @@ def document(movies: DataFrame, directors: DataFrame, errors: DataFrame, generat
     people = directors.select(F.struct("name", F.concat(key, F.lit(":"), F.to_json(F.struct("lbxd_slug", "photo", "bio"), {"ignoreNullFields": "false"})).alias("js")).alias("d"))
     people = people.agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["js"]), ",\n").alias("directors"))
     failed = errors.agg(F.to_json(F.array_sort(F.collect_list(F.struct("cinema", "error")))).alias("errors"))
-    return films.crossJoin(people).crossJoin(failed).select(  # one row each
-        F.concat(F.lit(f'{PREFIX}{{"generated":"{generated}","movies":['), "movies", F.lit('],"directors":{'), "directors", F.lit('},"errors":'), "errors", F.lit("};")).alias("value")
+    one = films.selectExpr("'m' as k", "movies as v").union(people.selectExpr("'d' as k", "directors as v")).union(failed.selectExpr("'e' as k", "errors as v"))
+    part = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
+    return one.agg(
+        F.concat(F.lit(f'{PREFIX}{{"generated":"{generated}","movies":['), part("m"), F.lit('],"directors":{'), part("d"), F.lit('},"errors":'), part("e"), F.lit("};")).alias("value")
     )
 
 
@@ -67,5 +69,6 @@ def _movie_types() -> list[tuple[str, str]]:
 
 def metrics(movies: DataFrame, errors: DataFrame) -> DataFrame:
     """K3: movies, sessions, venues that failed."""
-    counted = movies.agg(F.count("*").alias("movies"), F.coalesce(F.sum(F.size("sessions")), F.lit(0)).alias("sessions"))
-    return counted.crossJoin(errors.agg(F.array_sort(F.collect_list("cinema")).alias("failed")))  # one row each
+    rows = movies.select(F.lit(1).alias("m"), F.size("sessions").alias("s"), F.lit(None).cast("string").alias("f"))
+    rows = rows.unionByName(errors.select(F.lit(0).alias("m"), F.lit(0).alias("s"), F.col("cinema").alias("f")))
+    return rows.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("movies"), F.coalesce(F.sum("s"), F.lit(0)).alias("sessions"), F.array_sort(F.collect_list("f")).alias("failed"))
