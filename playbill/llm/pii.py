@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -106,16 +107,19 @@ _PIECE = re.compile(rf"\bplus\b|(?:(double|triple)[ -])?\b({_NAME})\b|[0-9]+|.",
 
 # fixed values: how an at sign and a dot are said, and the top-level names that a bare "at" needs
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|chez)", r"(?:dot|punto|punkt|point)"
-_BRACKETED_AT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*|[ \t]*[_-]{_AT_WORD}[_-][ \t]*", re.IGNORECASE)
-_BRACKETED_DOT = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[\])}}>][ \t]*|(?<=\w)[_-]{_DOT_WORD}[_-](?=\w)", re.IGNORECASE)
+# a match begins where a run of blanks or of words does; saying so keeps long runs linear
+_BLANKS = r"(?:(?<![ \t])[ \t]++)?"
+_BRACKETED_AT = re.compile(rf"{_BLANKS}(?:[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>]|[_-]{_AT_WORD}[_-])[ \t]*", re.IGNORECASE)
+_BRACKETED_DOT = re.compile(rf"{_BLANKS}[\[({{<][ \t]*(?:{_DOT_WORD}|\.)[ \t]*[\])}}>][ \t]*|(?<=\w)[_-]{_DOT_WORD}[_-](?=\w)", re.IGNORECASE)
 _TOP = r"(?:com|org|net|edu|gov|io|info|biz|dev|app|ai|co|me|uk|us|de|fr|es|eu|it|nl|ch|at|ca|au|in|example|test)"
+# every chain of words is taken whole, with its host or without one
 _BARE = re.compile(
-    rf"(?P<local>[A-Za-z0-9%+-]+(?:(?:\.|[ \t]+{_DOT_WORD}[ \t]+)[A-Za-z0-9%+-]+)*)(?:[ \t]+{_AT_WORD}[ \t]+|[ \t]*@[ \t]*)"
-    rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|[ \t]+{_DOT_WORD}[ \t]+)[A-Za-z0-9-]+)*(?:\.|[ \t]+{_DOT_WORD}[ \t]+){_TOP})\b",
+    rf"(?P<local>[A-Za-z0-9%+-]++(?:(?:\.|[ \t]++{_DOT_WORD}[ \t]++(?!{_AT_WORD}[ \t]))[A-Za-z0-9%+-]++)*+)(?:(?:[ \t]++{_AT_WORD}[ \t]++|[ \t]*+@[ \t]*+)"
+    rf"(?P<host>[A-Za-z0-9-]++(?:(?:\.|[ \t]++{_DOT_WORD}[ \t]++)[A-Za-z0-9-]++)*(?:\.|[ \t]++{_DOT_WORD}[ \t]++){_TOP})\b)?",
     re.IGNORECASE,
 )
-_DOT_SAID = re.compile(rf"[ \t]+{_DOT_WORD}[ \t]+", re.IGNORECASE)
-_AT_SAID = re.compile(rf"[ \t]+{_AT_WORD}[ \t]+|[ \t]*@[ \t]*", re.IGNORECASE)
+_DOT_SAID = re.compile(rf"(?<![ \t])[ \t]++{_DOT_WORD}[ \t]++", re.IGNORECASE)
+_AT_SAID = re.compile(rf"(?<![ \t])(?:[ \t]++{_AT_WORD}[ \t]++|[ \t]*+@[ \t]*+)", re.IGNORECASE)
 _PLAIN = re.compile(r"[^ \t]+")
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])[ \t]+{_DOT_WORD}[ \t]+(?=[0-9])", re.IGNORECASE)
 _SIGN = re.compile(rf"[\[({{<_-][ \t]*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)[ \t]*[\])}}>_-]", re.IGNORECASE)
@@ -139,11 +143,10 @@ def _signs(text: str) -> tuple[bool, bool]:
     dot, at = not kinds.isdisjoint(_DOT_BYTES), "@" in text or not kinds.isdisjoint(_AT_BYTES)
     marks = (dot or at) and _SIGN.search(text) is not None or _BRACKETED_SIGN.search(text) is not None
     if not marks and at and (dot or _TOP_SIGN.search(text) is not None):
-        marks = any(_AT_SAID.search(m[0]) and not _PLAIN.fullmatch(m[0]) for m in _BARE.finditer(text))
+        marks = any(m["host"] and not _PLAIN.fullmatch(m[0]) for m in _BARE.finditer(text))
     return spelled, marks or dot and (spelled or _NUMBER_DOT.search(text) is not None)
 
 
-
 @dataclass
 class Tape:
     """A rewritten text; character k of it stands for the source characters from start[k] to end[k]."""
@@ -205,7 +208,7 @@ def plain_marks(tape: Tape) -> Tape:
         edits[m.start(), m.end()] = "."
     tape = tape.rewrite(_apart(edits))
     edits = {}
-    for m in _BARE.finditer(tape.text):
+    for m in filter(lambda m: m["host"], _BARE.finditer(tape.text)):
         for part in ("local", "host"):
             edits |= {(d.start(), d.end()): "." for d in _DOT_SAID.finditer(tape.text, *m.span(part))}
         if at := _AT_SAID.match(tape.text, m.end("local")):
@@ -241,9 +244,11 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if marks:
         tape = plain_marks(tape)
     added = set()
+    known = {kind: [s for s in base if s[0] == kind] for kind in KINDS}  # of one kind they are apart, so one of them can hold a span
     for kind, a, b in base_spans(tape.text):
         a, b = tape.start[a], tape.end[b - 1]
-        if not any(k == kind and s <= a and b <= e for k, s, e in base):
+        before = bisect_right(known[kind], a, key=lambda s: s[1])
+        if not before or b > known[kind][before - 1][2]:
             added.add((kind, a, b))
     return base, sorted([*base, *added], key=order)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,11 @@ def test_personal_data_query_columns(spark):
 def test_long_runs_are_linear():
     for text in ("1" * 200_000, "a." * 100_000, "1.2." * 50_000, "+1" * 100_000, "a@" * 100_000, "five " * 40_000, "(" * 100_000, "x at " * 40_000):
         pii.find(text)
+    n = 20_000
+    for text in ("a" * n + " at x .com", "a." * n + " at x.com", "x [at] y.com" + " " * n + "z", "a dot " * n + " at b.com", "q at " + "b." * n + "!", "w" + " " * n + "@ .com dot", "a@b.co " * n + "c [at] d.org"):
+        begun = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - begun < 5
 
 
 # -- quality --------------------------------------------------------------------------------------------------------
