@@ -1,11 +1,14 @@
 """Operator 7: SimHash near-duplicates, linked by a self-join of binary tries.
 
 A fingerprint is a path of 64 bits. Two fingerprints at most `budget` bits apart agree wholly in one of budget + 1 bands
-of bits, so there are budget + 1 tries, each over the bits rotated to start with another band. In the trie of a band where
+of bits, so there are budget + 1 tries, each over the bits arranged to start with another band. In the trie of a band where
 a pair agrees, the traversal of node pairs stays on the diagonal for that band's bits: those top levels are the shuffle
 key, and each subtree is then walked against itself, node pair by node pair. A pair of nodes carries the number of bits in
 which the paths differ so far and is dropped as soon as this exceeds the budget.
 
+With very many fingerprints a single band parts them too little. Of budget + 1 + k bands a pair agrees wholly in k + 1, so
+there is then a trie for every k + 1 bands: more tries, but with subtrees that stay small. The links are the same for any k.
+
 Only distinct fingerprints enter, so exact copies, however many, are one leaf. A subtree with more than `SUBTREE` leaves is
 dealt into parts, and each pair of parts is walked by its own task: the work of a hot subtree spreads and nothing is left
 out. A task returns a spanning forest of the links that it finds, which is enough for the classes.
@@ -14,11 +17,12 @@ out. A task returns a spanning forest of the links that it finds, which is enoug
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,6 +30,10 @@ from .runtime import map_batches, narrow, persist_table, prepare
 
 #: Leaves of a subtree that one task walks; more are dealt into parts.
 SUBTREE = 4096
+#: Leaves of a subtree on average, at most; beyond that the tries start with more bands.
+CROWD = 256
+#: Bands beyond budget + 1, at most: with a budget of 4, 70 tries that start with 32 bits, for 2**40 fingerprints.
+SPARE = 3
 #: Leaves that a task gathers before it walks them.
 WALK = 60_000
 #: Node pairs expanded at once.
@@ -147,28 +155,47 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _bands(budget: int) -> list[tuple[int, int]]:
-    """(rotation to the left, length) of each band."""
-    edges = np.linspace(0, 64, budget + 2).astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:])]
+def _tries(budget: int, leaves: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each trie: the bands (first bit, length) in its order, the shared ones in front, and how many bits those have."""
+    for spare in range(min(SPARE, 63 - budget) + 1):
+        edges = np.linspace(0, 64, budget + 2 + spare).astype(int).tolist()
+        bands = [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
+        tries = [([*front, *(x for x in bands if x not in front)], sum(n for _, n in front)) for front in combinations(bands, spare + 1)]
+        if leaves <= CROWD << min(length for _, length in tries):
+            break
+    return tries
+
 
+def _arranged(x: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of x in the order of the bands."""
+    out = np.zeros_like(x)
+    for at, n in bands:
+        out = (out << np.uint64(n)) | ((x << np.uint64(at)) >> np.uint64(64 - n))
+    return out
 
-def _rotate(x: np.ndarray, by: int) -> np.ndarray:
-    return x if not by else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+def _root(bands: list[tuple[int, int]], length: int) -> Column:
+    """The first `length` bits in the order of the bands, of the column fp."""
+    out, left = F.lit(0).cast("long"), length
+    for at, n in bands:
+        if not left:
+            break
+        left -= n
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftleft("fp", at), 64 - n), left))
+    return out
 
 
-def _join_walks(budget: int):
-    """mapInArrow body: rows sorted by task (band, root, p, q); side 0 belongs to part p, side 1 to part q."""
-    bands = _bands(budget)
+def _join_walks(budget: int, tries: list[tuple[list[tuple[int, int]], int]]):
+    """mapInArrow body: rows sorted by task (band, root, p, q); side 0 belongs to part p, side 1 to part q; band is the trie's number."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
         cols = {c: rows.column(c).to_numpy() for c in ("band", "root", "p", "q", "side", "fp", "rep")}
         fp, out_u, out_v = cols["fp"].view(np.uint64), [], []
-        for number, (turn, length) in enumerate(bands):
+        for number, (bands, length) in enumerate(tries):
             own = np.flatnonzero(cols["band"] == number)
             if not len(own):
                 continue
-            bits = _rotate(fp[own], turn)
+            bits = _arranged(fp[own], bands)
             order = np.lexsort((bits, *(cols[c][own] for c in ("side", "q", "p", "root"))))
             own, bits = own[order], bits[order]
             key = np.stack([cols[c][own] for c in ("root", "p", "q", "side")])
@@ -220,10 +247,8 @@ def links(leaves: DataFrame, budget: int = 4) -> DataFrame:
 
     `leaves`: fp (distinct), rep (long, not null).
     """
-    bands = _bands(budget)
-    # the first bits of each rotation, as Spark expressions
-    roots = [F.shiftrightunsigned(F.shiftleft("fp", turn), 64 - length) for turn, length in bands]
-    keyed = leaves.select("fp", "rep", F.posexplode(F.array(*roots)).alias("band", "root"))
+    tries = _tries(budget, leaves.count())
+    keyed = leaves.select("fp", "rep", F.posexplode(F.array(*[_root(*t) for t in tries])).alias("band", "root"))
     parts = keyed.groupBy("band", "root").count().where("count > 1").select("band", "root", F.ceil(F.col("count") / SUBTREE).cast("long").alias("parts"))
     dealt = keyed.join(parts, ["band", "root"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), "parts"))
     # part k meets every part: as side 0 of (k, q) for q >= k, as side 1 of (p, k) for p < k
@@ -233,7 +258,7 @@ def links(leaves: DataFrame, budget: int = 4) -> DataFrame:
     )
     tasks = dealt.select("band", "root", "fp", "rep", F.inline(meets))
     tasks = tasks.repartition("band", "root", "p", "q").sortWithinPartitions("band", "root", "p", "q")
-    return tasks.mapInArrow(_join_walks(budget), "u long, v long")
+    return tasks.mapInArrow(_join_walks(budget, tries), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:

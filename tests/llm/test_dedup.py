@@ -113,10 +113,13 @@ def test_near(spark):
     assert sorted(map(tuple, simhash.near_duplicates(documents(spark, rows)).collect()), key=repr) == brute_near(rows)
 
 
-@pytest.mark.parametrize("subtree", [2, 4096])
-def test_links_of_dense_and_random_prints(spark, monkeypatch, subtree):
-    """A cluster of neighbours, chains, and noise; also when every subtree is dealt into parts."""
+@pytest.mark.parametrize("subtree, spare", [(2, 0), (4096, 0), (4096, 1), (2, 2), (4096, 3)])
+def test_links_of_dense_and_random_prints(spark, monkeypatch, subtree, spare):
+    """A cluster of neighbours, chains, and noise; also when every subtree is dealt into parts, and with more bands."""
     monkeypatch.setattr(simhash, "SUBTREE", subtree)
+    if spare:
+        monkeypatch.setattr(simhash, "CROWD", 0)
+        monkeypatch.setattr(simhash, "SPARE", spare)
     rnd = random.Random(4)
     prints, at = [rnd.getrandbits(64) for _ in range(60)], rnd.getrandbits(64)
     for _ in range(60):
@@ -134,6 +137,18 @@ def test_links_of_dense_and_random_prints(spark, monkeypatch, subtree):
     assert [got.get(k, k) for k in range(len(prints))] == want
 
 
+@pytest.mark.parametrize("leaves, tries, bits", [(0, 5, 12), (1 << 20, 5, 12), (10**8, 15, 20), (10**10, 35, 27), (10**12, 70, 32), (10**15, 70, 32)])
+def test_more_prints_take_more_bands(leaves, tries, bits):
+    made = simhash._tries(4, leaves)
+    assert len(made) == tries and min(length for _, length in made) >= bits
+    x = np.random.default_rng(leaves % 97).integers(0, 2**64, 50, dtype=np.uint64)
+    for bands, length in made:
+        assert sorted(k for at, n in bands for k in range(at, at + n)) == list(range(64))
+        for raw, new in zip(x.tolist(), simhash._arranged(x, bands).tolist()):
+            source = f"{raw:064b}"
+            assert f"{new:064b}" == "".join(source[at : at + n] for at, n in bands)
+
+
 def test_components_of_chains_and_none(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(90, 80), (80, 80)]
     roots, _ = components.components(spark.createDataFrame(chain, "u long, v long"))
