@@ -338,6 +338,16 @@ def q27_map_order_refs(spark, sf_dir):
     return maps.select("o_orderkey", F.posexplode(ordered.map_order(F.col("m"))).alias("p", "ref")).select("o_orderkey", (F.col("p") + 1).cast("long").alias("pos"), "ref")
 
 
+@query("""
+    SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY q, k) AS pos, k AS ref FROM (
+        SELECT l_orderkey AS o_orderkey, l_partkey::VARCHAR AS k, max(l_quantity)::INT AS q FROM lineitem GROUP BY 1, 2)""")
+def q27_map_order_refs_whole(spark, sf_dir):
+    """Ids of a map by their values, for every order."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").cast("string").alias("k")).agg(F.max("l_quantity").cast("int").alias("q"))
+    maps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
+    return maps.select("o_orderkey", F.posexplode(ordered.map_order(F.col("m"))).alias("p", "ref")).select("o_orderkey", (F.col("p") + 1).cast("long").alias("pos"), "ref")
+
+
 @query("""
     SELECT doc_id, unnest(t) AS item, unnest(list_transform(range(1, len(t) + 1), lambda k: y[least(k, len(y))])) AS value FROM (
         SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS t, [1990 + (doc_id % 20)::INT, 2000 + (doc_id % 7)::INT] AS y FROM documents)""")

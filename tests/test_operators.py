@@ -106,6 +106,11 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(v) for v in r)) for r in want)
 
 
+def test_map_order_refs_of_every_order(spark, duck):
+    got = {r["o_orderkey"] for r in registry.QUERIES["q27_map_order_refs_whole"](spark, SMALL).select("o_orderkey").distinct().collect()}
+    assert got == {r[0] for r in duck.sql("select distinct l_orderkey from lineitem").fetchall()} and max(got) > 400
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
