@@ -43,6 +43,13 @@ def q01_norm_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.norm_key(F.substring("text", 1, 60)).alias("norm"))
 
 
+@query(f"SELECT doc_id, length({_NORM.format('text')})::BIGINT AS n_chars, md5({_NORM.format('text')}) AS digest FROM documents")
+def q01_norm_key_whole(spark, sf_dir):
+    """F1, of whole texts: length and digest of the key."""
+    norm = X.norm_key(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(norm).cast("long").alias("n_chars"), F.md5(norm.cast("binary")).alias("digest"))
+
+
 @query(f"""
     WITH p AS (SELECT {_NORM.format('p_name')} AS t, nullif(p_size % 7, 0) AS y, * FROM part),
     k AS (SELECT *, CASE WHEN first_value(y) OVER (PARTITION BY t ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) IS NOT NULL

@@ -111,6 +111,13 @@ def test_map_order_refs_of_every_order(spark, duck):
     assert got == {r[0] for r in duck.sql("select distinct l_orderkey from lineitem").fetchall()} and max(got) > 400
 
 
+def test_norm_key_goes_to_the_end_of_the_text(spark, tmp_path):
+    rows = [(1, "a" * 60 + "É b"), (2, "a" * 60 + "é  c!"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.QUERIES["q01_norm_key_whole"](spark, str(tmp_path)).collect()}
+    assert got[1]["n_chars"] == 63 and got[1]["digest"] != got[2]["digest"] and got[2]["n_chars"] == 63 and got[3]["n_chars"] == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
