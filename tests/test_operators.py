@@ -118,6 +118,26 @@ def test_norm_key_goes_to_the_end_of_the_text(spark, tmp_path):
     assert got[1]["n_chars"] == 63 and got[1]["digest"] != got[2]["digest"] and got[2]["n_chars"] == 63 and got[3]["n_chars"] == 0
 
 
+def test_star_owners_of_whole_titles(spark, duck):
+    """The sequential scan over the pairs that SQL finds; names that differ near the end of a long title link too."""
+    before, owners = {}, {}
+    for i, j in duck.sql(f"select i, j from ({registry.ORACLE_SQL['q04_fuzzy_pairs_whole']})").fetchall():
+        before.setdefault(j, []).append(i)
+    for j in sorted(before):
+        leaders = [i for i in before[j] if i not in owners]
+        if leaders:
+            owners[j] = min(leaders)
+    assert owners and {r["j"]: r["owner"] for r in registry.QUERIES["q05_fuzzy_star_owner"](spark, SMALL).collect()} == owners
+
+
+def test_fuzzy_titles_are_not_cut(spark, tmp_path):
+    long = "a very long title of a part without an end"
+    rows = [(1, f"{long} worn", "B", 1), (2, f"{long} work", "B", 1), (3, f"{long} other", "B", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in registry.QUERIES["q04_fuzzy_pairs_whole"](spark, str(tmp_path)).collect()] == [(1, 2)]
+    assert [tuple(r) for r in registry.QUERIES["q05_fuzzy_star_owner"](spark, str(tmp_path)).collect()] == [(2, 1)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
