@@ -380,6 +380,16 @@ def q28_parallel_pad(spark, sf_dir):
     return docs.select("doc_id", "x.item", "x.value")
 
 
+@query("""
+    SELECT doc_id, unnest(t) AS item, unnest(list_transform(range(1, len(t) + 1), lambda k: y[least(k, len(y))])) AS value FROM (
+        SELECT doc_id, string_split(text, ' ') AS t, [1990 + (doc_id % 20)::INT, 2000 + (doc_id % 7)::INT] AS y FROM documents)""")
+def q28_parallel_pad_whole(spark, sf_dir):
+    """Lists zipped over whole texts, the last value repeated."""
+    years = F.array((1990 + F.col("doc_id") % 20).cast("int"), (2000 + F.col("doc_id") % 7).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(ordered.padded(F.split("text", " "), years)).alias("x"))
+    return docs.select("doc_id", "x.item", "x.value")
+
+
 _PARTS = r"list_filter(list_transform(regexp_split_to_array(title, '\s*[|+]\s*'), lambda p: trim(p)), lambda p: p <> '')"
 
 
@@ -409,6 +419,16 @@ def q30_name_guards(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.last_word_in(long, short).alias("agrees"), X.overruns(short, long).alias("overrun"))
 
 
+@query(f"""
+    WITH d AS (SELECT p_partkey, p_name AS a, p_type AS q FROM part),
+    k AS (SELECT *, {_NORM.format('a')} AS na, {_NORM.format('q')} AS nq FROM d)
+    SELECT p_partkey, contains(strip_accents(lower(a)), regexp_split_to_array(trim(strip_accents(lower(q))), '\\s+')[-1]) AS agrees,
+           nq <> na AND starts_with(na, nq) AND length(nq) / length(na) < 0.6 AS overrun FROM k""")
+def q30_name_guards_whole(spark, sf_dir):
+    """Last-name agreement and title overrun, of whole names and types."""
+    return table(spark, sf_dir, "part").select("p_partkey", X.last_word_in(F.col("p_name"), F.col("p_type")).alias("agrees"), X.overruns(F.col("p_type"), F.col("p_name")).alias("overrun"))
+
+
 @query("""
     SELECT doc_id, g[1] AS g1, g[2] AS g2, g[3] AS g3 FROM (
         SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1:3] AS g FROM documents)""")
@@ -418,6 +438,15 @@ def q31_genre_topk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[F.try_element_at(g, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
 
 
+@query("""
+    SELECT doc_id, g[1] AS g1, g[2] AS g2, g[3] AS g3 FROM (
+        SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1:3] AS g FROM documents)""")
+def q31_genre_topk_whole(spark, sf_dir):
+    """the first three parts between commas of whole texts."""
+    g = X.comma_parts(F.col("text"), 3)
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.try_element_at(g, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(value * 100 AS BIGINT))::BIGINT AS cents FROM events GROUP BY event_type")
 def q32_venue_summary(spark, sf_dir):
     """K3: counts by venue."""

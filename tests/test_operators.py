@@ -138,6 +138,17 @@ def test_fuzzy_titles_are_not_cut(spark, tmp_path):
     assert [tuple(r) for r in registry.QUERIES["q05_fuzzy_star_owner"](spark, str(tmp_path)).collect()] == [(2, 1)]
 
 
+def test_lists_and_names_are_not_cut(spark, tmp_path):
+    text = "w " * 150 + "a, b, " + "c" * 300 + ", d"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    long = "a name of a part with more than thirty letters"
+    spark.createDataFrame([(1, long, "letters"), (2, f"{long} and more", long)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert run("q31_genre_topk_whole")[0]["g3"] == "c" * 300
+    assert [r["item"] for r in run("q28_parallel_pad_whole")] == text.split(" ")
+    assert [(r["agrees"], r["overrun"]) for r in sorted(run("q30_name_guards_whole"))] == [(True, False), (True, False)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
