@@ -252,22 +252,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that cover no item, all columns as they were.
 
-    A benchmark of one block filters the rows where they are; for a larger one the ids of all blocks' findings are joined.
+    Each block of the benchmark in turn filters the rows where they are; ids play no part.
     """
-    blocks = _blocks(benchmark, block_bytes)
-    first, more = next(blocks, None), next(blocks, None)
-    if first is None:
-        return docs
-    if more is not None:
-        gone = overlaps(docs, benchmark, least, coverage, block_bytes).select(F.col("doc_id").alias("_leak")).distinct()
-        return docs.join(gone, docs["doc_id"] == gone["_leak"], "left_anti")
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(first)  # at most block_bytes of text, or one item
+    for block in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of text, or one item
 
-    def run(batches):
-        seeds = Seeds(shared.value, least)
-        for rows in batches:
-            if rows.num_rows:
-                yield rows.filter(pa.array([not seeds.overlaps(t, coverage) for t in rows.column("text").to_pylist()]))
+        def run(batches, shared=shared):
+            seeds = Seeds(shared.value, least)
+            for rows in batches:
+                if rows.num_rows:
+                    yield rows.filter(pa.array([not seeds.overlaps(t, coverage) for t in rows.column("text").to_pylist()]))
 
-    return docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -67,6 +67,16 @@ def test_reordered_passages_are_found(spark):
     assert decontam.drop_contaminated(documents(spark, rows), none).count() == len(rows)
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 100])
+def test_leaks_are_dropped_by_row(spark, block):
+    """Documents without an id, or with one id, for one block and for many."""
+    rnd = random.Random(8)
+    items = [(k, prose(rnd, 30)) for k in range(4)]
+    rows = [(None, f"{prose(rnd, 9)} {items[1][1]}"), (None, "clean without id"), (5, items[2][1]), (5, "clean with the id of another"), (6, items[3][1])]
+    kept = decontam.drop_contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    assert sorted(r["text"] for r in kept.collect()) == ["clean with the id of another", "clean without id"]
+
+
 # -- packing --------------------------------------------------------------------------------------------------------
 
 
