@@ -201,11 +201,11 @@ def _zeros() -> Iterator[int]:
         yield 0
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Items of the benchmark, in blocks of at most `limit` bytes (or one item)."""
-    items = narrow(benchmark, item_id="long", text="string").dropna().groupBy("item_id").agg(F.max(F.struct(F.length("text"), "text")).alias("t"))
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Distinct (item_id, text) of the benchmark, in blocks of at most `limit` bytes (or one item)."""
+    items = narrow(benchmark, item_id="long", text="string").dropna(subset="text").distinct()
     block, size = [], 0
-    for row in items.select("item_id", "t.text").orderBy("item_id").toLocalIterator():
+    for row in items.orderBy("item_id", "text").toLocalIterator():
         n = len(row["text"].encode(errors="surrogatepass"))
         if block and size + n > limit:
             yield block
@@ -216,13 +216,18 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         yield block
 
 
+def _seeds(block: list[tuple[int | None, str]], least: int) -> Seeds:
+    """A block's items by their place in it, as ids may be null or repeated."""
+    return Seeds([(k, text) for k, (_, text) in enumerate(block)], least)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, item_tokens, covered_tokens, coverage, n_tiles, tiles.
 
     Tiles are (item_at, doc_at, length) in tokens. An item of fewer tokens than a seed must occur as a whole. Null or empty
-    texts, on either side, match nothing; items without an id are left out, documents without an id keep a null id. Repeated
-    documents give repeated rows; repeated items with one id count as the longest text. Empty tables give an empty result; other columns are
-    ignored.
+    texts, on either side, match nothing; items and documents without an id keep a null id. Repeated documents give repeated
+    rows, and so do different texts with one item id; equal items count once. Empty tables give an empty result; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -234,10 +239,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage:
         shared = spark.sparkContext.broadcast(block)  # at most block_bytes of text, or one row
 
         def run(batches, shared=shared):
-            seeds = Seeds(shared.value, least)
+            seeds, ids = _seeds(shared.value, least), [i for i, _ in shared.value]
             for rows in batches:
                 found = [
-                    (doc, item, n, covered, covered / n, len(tiles), [{"item_at": i, "doc_at": j, "length": k} for i, j, k in tiles])
+                    (doc, ids[item], n, covered, covered / n, len(tiles), [{"item_at": i, "doc_at": j, "length": k} for i, j, k in tiles])
                     for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist())
                     for item, n, covered, tiles in seeds.overlaps(text, coverage)
                 ]
@@ -259,7 +264,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SEED,
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of text, or one item
 
         def run(batches, shared=shared):
-            seeds = Seeds(shared.value, least)
+            seeds = _seeds(shared.value, least)
             for rows in batches:
                 if rows.num_rows:
                     yield rows.filter(pa.array([not seeds.overlaps(t, coverage) for t in rows.column("text").to_pylist()]))

@@ -77,6 +77,17 @@ def test_leaks_are_dropped_by_row(spark, block):
     assert sorted(r["text"] for r in kept.collect()) == ["clean with the id of another", "clean without id"]
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 100])
+def test_items_without_or_with_one_id_are_searched(spark, block):
+    rnd = random.Random(9)
+    items = [(None, prose(rnd, 30)), (None, prose(rnd, 30)), (7, prose(rnd, 30)), (7, prose(rnd, 40)), (7, None)]
+    rows = [(k, f"{prose(rnd, 9)} {t}") for k, (_, t) in enumerate(items[:4])] + [(4, prose(rnd, 50))]
+    bench = spark.createDataFrame(items + items[:1], "item_id long, text string")
+    got = decontam.overlaps(documents(spark, rows), bench, block_bytes=block).collect()
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in got) == [(0, 0), (1, 0), (2, 7), (3, 7)]
+    assert [r["doc_id"] for r in decontam.drop_contaminated(documents(spark, rows), bench, block_bytes=block).select("doc_id").collect()] == [4]
+
+
 # -- packing --------------------------------------------------------------------------------------------------------
 
 
