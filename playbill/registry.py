@@ -334,6 +334,20 @@ def q24_source_fallback(spark, sf_dir):
     return ordered.fall_back(current, previous, orders, "o_custkey")
 
 
+@query("""
+    WITH cur AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1998-07-01'),
+    prev AS (SELECT * FROM orders WHERE o_orderdate < DATE '1998-07-01'),
+    k AS (SELECT DISTINCT o_custkey FROM orders)
+    SELECT o_orderkey, o_custkey FROM cur
+    UNION ALL SELECT o_orderkey, o_custkey FROM prev WHERE o_custkey IN (SELECT o_custkey FROM k) AND o_custkey NOT IN (SELECT o_custkey FROM cur)""")
+def q24_source_fallback_whole(spark, sf_dir):
+    """Customers without current orders keep their earlier ones; every customer's current orders count."""
+    orders = table(spark, sf_dir, "orders")
+    current = orders.where("o_orderdate >= DATE'1998-07-01'").select("o_orderkey", "o_custkey")
+    previous = orders.where("o_orderdate < DATE'1998-07-01'").select("o_orderkey", "o_custkey")
+    return ordered.fall_back(current, previous, orders, "o_custkey")
+
+
 @query("""
     WITH s AS (SELECT p_name, count(DISTINCT p_brand) > 1 AS series FROM part GROUP BY p_name)
     SELECT p_name, CASE WHEN series THEN p_brand ELSE '' END AS group_title, count(*) AS n FROM part JOIN s USING (p_name) GROUP BY 1, 2""")

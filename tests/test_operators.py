@@ -149,6 +149,12 @@ def test_lists_and_names_are_not_cut(spark, tmp_path):
     assert [(r["agrees"], r["overrun"]) for r in sorted(run("q30_name_guards_whole"))] == [(True, False), (True, False)]
 
 
+def test_every_current_order_stays(spark, duck):
+    got = {r["o_orderkey"] for r in registry.QUERIES["q24_source_fallback_whole"](spark, SMALL).collect()}
+    want = duck.sql("select o_orderkey, o_custkey % 10 from orders where o_orderdate >= DATE '1998-07-01'").fetchall()
+    assert got >= {k for k, _ in want} and any(m >= 6 for _, m in want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
