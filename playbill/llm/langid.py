@@ -14,24 +14,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, narrow, prepare, text_bytes
+from .runtime import lot, map_batches, narrow, text_bytes
 
 #: Buckets of n-gram counts.
 BUCKETS = 4096
-#: Labelled rows used for each language, at most; the bound of the training sample.
-TRAIN_PER_LANG = 700
+#: Labelled rows used for each language, and languages, the commonest, at most; the bounds of the training sample.
+TRAIN_PER_LANG, TRAIN_LANGS = 700, 256
 #: Margins of loss below this are flagged as ambiguous.
 AMBIGUOUS = 1.0
 
-_LETTER = re.compile(r"[^\W\d_]")
+# letters, and some characters that only look like them to this pattern: fractions and raised digits
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 # ASCII bytes that are no letters count as a space
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def gram_counts(column: pa.Array) -> np.ndarray:
     """(rows, BUCKETS): square roots of the shares of hashed byte bigrams and trigrams, at unit length; empty texts are zero."""
     data, starts = text_bytes(pc.utf8_lower(column.fill_null("")))
@@ -107,19 +112,23 @@ def fit(x: np.ndarray, langs: np.ndarray, steps: int = 300, rate: float = 0.5, d
     return LanguageModel([str(k) for k in names], code, w)
 
 
-def train(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG) -> LanguageModel | None:
-    """Fit on rows for which `usable` holds and lang and text are not null: about `per_lang` of each language.
+def train(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, most_langs: int = TRAIN_LANGS) -> LanguageModel | None:
+    """Fit on rows for which `usable` holds and lang and text are not null: at most `per_lang` of each language.
 
-    The rows of a language are taken by a threshold on a hash of their id, so the sample is the same at every run.
-    None if there are no labelled rows.
+    The rows of a language are taken by the least hashes of their id and text, so the sample is the same at every run; rows
+    that agree in both count once. Of more than `most_langs` languages the commonest are learned. None if there are no
+    labelled rows.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not counts:
         return None
-    lots = 1 << 20
-    cut = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(lots * min(1.0, per_lang / n)))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(lots)) < cut[F.col("lang")]).select("lang", "text")
+    # a threshold for each language leaves somewhat more than its share of rows, which are then ranked
+    cut = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], (1 << 30) * min(r["n"], per_lang + 4 * int(per_lang**0.5) + 4) // r["n"])])
+    near = rows.select("lang", "text", lot("language", "doc_id", "text").alias("lot")).where(F.col("lot") < cut[F.col("lang")])
+    near = near.groupBy("lang", "lot").agg(F.first("text").alias("text"))
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("lot")))
+    chosen = ranked.where(F.col("place") <= per_lang).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = (gram_counts(batch.column("text")) * 255).round().astype(np.uint8)
@@ -139,11 +148,10 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     Null text, or a text without any letter, or no model: `und` with score 0 and ambiguous. Every row gives a row, repeats
     too; only doc_id and text are read. An empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = rows.column("text")
-        known = np.array([model is not None and t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        known = np.array([model is not None and has_letter(t) for t in texts.to_pylist()], bool)
         names, score, unsure = np.full(len(known), "und", object), np.zeros(len(known)), np.ones(len(known), bool)
         if known.any():
             best, share, margin = model.predict(gram_counts(texts))

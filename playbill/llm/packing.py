@@ -10,8 +10,9 @@ to the least permitted length that holds its contents.
 from __future__ import annotations
 
 import base64
-import importlib.util
+import re
 from bisect import bisect_left
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, narrow, persist_table, prepare
+from .runtime import narrow, persist_table, pieces
 
 LENGTHS = (1024, 2048, 4096, 8192)
 #: The cost of a sequence in tokens: its length, its square over this figure (attention), and a fixed part.
@@ -29,33 +30,49 @@ ATTENTION, OVERHEAD = 65536, 16
 GROUP = 20_000
 #: One token after each document.
 END = 1
-# the public vocabulary's own way to part words
+# fixed value: the public vocabulary's own way to part words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# what that pattern takes for white space, in runs that are too long for its search
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
-def default_vocabulary() -> str:
-    """Where the byte-level vocabulary of the public tokenizer files is."""
-    found = importlib.util.find_spec("public_tokenizers")
-    return str((Path(found.origin).parent if found else Path("/opt/tokenizers")) / "byte_bpe_50k.tiktoken")
+def counter(vocabulary: bytes) -> Callable[[str], int]:
+    """Counts a text's tokens, as the public tokenizer's pattern and vocabulary make them.
 
+    The pattern takes a run of white space as one word, but for its last character, which begins the next word if there is
+    one. Its search remembers every character of a run and breaks on very long ones; those are cut out here, by that rule, and
+    encoded as the one word that they are.
+    """
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    blank = tiktoken.Encoding("blank", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def count(text: str) -> int:
+        n = at = 0
+        for run in _LONG_BLANK.finditer(text):
+            if run.start() > at:
+                n += len(encode(text[at : run.start()]))
+            at = run.end() if run.end() == len(text) else run.end() - 1
+            n += len(blank(text[run.start() : at]))
+        return n + len(encode(text[at:])) if at < len(text) else n
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    return count
+
+
+def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens of every whole text, its end token included; null and empty texts have none.
 
-    The vocabulary (about 1 MB) is read on the driver and sent to the workers.
+    The vocabulary, a file of about 1 MB, is read on the driver and sent to the workers.
     """
-    prepare(docs.sparkSession)
-    raw = docs.sparkSession.sparkContext.broadcast(Path(vocabulary or default_vocabulary()).read_bytes())
+    raw = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches):
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.value.splitlines())}
-        encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for rows in batches:
-            if rows.num_rows:
-                n = [len(encode(t)) + END if t else 0 for t in rows.column("text").to_pylist()]
-                yield pa.record_batch([rows.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+        count = counter(raw.value)
+        for rows in pieces(batches):
+            n = [count(t) + END if t else 0 for t in rows.column("text").to_pylist()]
+            yield pa.record_batch([rows.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return narrow(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long")
 
@@ -109,32 +126,33 @@ def pack(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GRO
 
     `counts`: doc_id, n_tokens. A document longer than the greatest length is cut into pieces of that length and a rest.
     Documents without tokens (null or empty texts, null counts) have one row without a bin. Repeated rows are packed as
-    often as they occur; a null doc_id is packed like any other. The packing is the same for any order of the rows but for
-    equal pieces. An empty table gives an empty result.
+    often as they occur; a null doc_id is packed like any other. Pieces are dealt by the hash of id and piece, and of a number
+    among pieces of that id, so rows that share an id or have none are dealt too. An empty table gives an empty result.
     """
     top = max(lengths)
-    counts, _ = persist_table(narrow(counts, doc_id="long", n_tokens="long"), "counts")
+    # a number for every row: its partition, and its place in it; the written table keeps it from changing
+    counts, _ = persist_table(narrow(counts, doc_id="long", n_tokens="long").withColumn("row", F.monotonically_increasing_id()), "counts")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_tokens") - 1, F.lit(0)), F.lit(top).cast("long"))
-    pieces = counts.where("n_tokens > 0").select("doc_id", "n_tokens", F.posexplode(starts).alias("piece", "token_start"))
-    pieces = pieces.select("doc_id", "piece", "token_start", F.least(F.col("n_tokens"), F.col("token_start") + top).alias("token_end"))
+    cut = counts.where("n_tokens > 0").select("doc_id", "row", "n_tokens", F.posexplode(starts).alias("piece", "token_start"))
+    cut = cut.select("doc_id", "row", "piece", "token_start", F.least(F.col("n_tokens"), F.col("token_start") + top).alias("token_end"))
     total = counts.agg(F.sum(F.ceil(F.col("n_tokens") / top))).first()[0] or 0
     groups = max(1, round(int(total) / group))
-    pieces = pieces.withColumn("lot", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "piece"), F.lit(groups)))
+    cut = cut.withColumn("lot", F.pmod(F.xxhash64(F.lit("pack"), "row", "piece"), F.lit(groups)))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(size=rows["token_end"] - rows["token_start"]).sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
+        rows = rows.assign(size=rows["token_end"] - rows["token_start"]).sort_values(["size", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
         where, length = pack_sizes(rows["size"].tolist(), lengths)
         rows["bin_id"] = int(key[0]) * (1 << 32) + np.array(where, np.int64)
         rows["bin_length"] = np.array(length, np.int64)[where]
         rows["bin_offset"] = rows.groupby("bin_id")["size"].cumsum() - rows["size"]
-        return rows.drop(columns=["lot", "size"])
+        return rows.drop(columns=["lot", "size", "row"])
 
     schema = "doc_id long, piece int, token_start long, token_end long, bin_id long, bin_length long, bin_offset long"
-    packed = pieces.groupBy("lot").applyInPandas(solve, schema)
+    packed = cut.groupBy("lot").applyInPandas(solve, schema)
     none = counts.where("coalesce(n_tokens, 0) <= 0").selectExpr("doc_id", "0 as piece", "0L as token_start", "0L as token_end", "cast(null as long) as bin_id", "cast(null as long) as bin_length", "cast(null as long) as bin_offset")
     return packed.unionByName(none)
 
 
-def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """Count tokens and pack: one row per piece, as `pack` says."""
     return pack(token_counts(docs, vocabulary), lengths)

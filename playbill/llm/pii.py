@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import narrow, prepare
+from .runtime import narrow, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -263,18 +263,15 @@ def detect(docs: DataFrame) -> DataFrame:
     Null text is empty: no spans. Every row gives a row, repeats too; only doc_id and text are read. An empty table gives an
     empty result. Offsets are code points of the source text, end exclusive.
     """
-    prepare(docs.sparkSession)
-
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-        for rows in batches:
+        for rows in pieces(batches):
             found = []
             for text in rows.column("text").to_pylist():
                 base, spans = find(text)
                 known = set(base)
                 found.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in known} for k, a, b in spans])
-            if found:
-                yield pa.record_batch([rows.column("doc_id"), pa.array(found, kind)], names=["doc_id", "found"])
+            yield pa.record_batch([rows.column("doc_id"), pa.array(found, kind)], names=["doc_id", "found"])
 
     return narrow(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, found array<struct<kind: string, start: long, end: long, base: boolean>>")
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import chunks, decontam, exact, langid, line_spread, packing, pii, quality, simhash, toxicity
 
+#: The public tokenizer file that packing counts with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +52,7 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,8 @@ def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = is_bucket(5, 0)
     chain = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held)
-    return toxicity.score(docs, chain).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return toxicity.score(docs, chain).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), offsets.alias("spans"))
 
 
 def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ With very many fingerprints a single band parts them too little. Of budget + 1 +
 there is then a trie for every k + 1 bands: more tries, but with subtrees that stay small. The links are the same for any k.
 
 Only distinct fingerprints enter, so exact copies, however many, are one leaf. A subtree with more than `SUBTREE` leaves is
-dealt into parts, and each pair of parts is walked by its own task: the work of a hot subtree spreads and nothing is left
-out. A task returns a spanning forest of the links that it finds, which is enough for the classes.
+split by its next bits, and those pairs of its nodes meet whose paths differ in no more bits than the budget; a node that is
+still too large is dealt into parts, and every two parts meet. Each such pair is walked by its own task: the work of a hot
+subtree spreads and nothing is left out. A task returns a spanning forest of the links that it finds, which is enough for the
+classes.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import map_batches, narrow, persist_table, prepare
+from .runtime import NO_ID, ROW, join_groups, keep_rows, map_batches, persist_table, row_key
 
-#: Leaves of a subtree that one task walks; more are dealt into parts.
+#: Leaves of a subtree that one task walks; more are split.
 SUBTREE = 4096
+#: Next bits by which a subtree is split, at most.
+SPLIT_BITS = 16
 #: Leaves of a subtree on average, at most; beyond that the tries start with more bands.
-CROWD = 256
+CROWD = 1500
 #: Bands beyond budget + 1, at most: with a budget of 4, 70 tries that start with 32 bits, for 2**40 fingerprints.
 SPARE = 3
 #: Leaves that a task gathers before it walks them.
@@ -64,13 +68,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long of the same 64 bits."""
+    """ROW and fp of every row, fp being the fingerprint's 64 bits as a signed long."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, words) for t in rows.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        return pa.record_batch([rows.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.record_batch([*(rows.column(c) for c in ROW), pa.array(fps)], names=[*ROW, "fp"])
 
-    return map_batches(narrow(docs, doc_id="long", text="string"), batch, "doc_id long, fp long")
+    keyed = docs.select(*row_key(docs), F.col("text").cast("string").alias("text"))
+    return map_batches(keyed, batch, "row_id long, row_h1 long, row_h2 int, fp long")
 
 
 # -- the walk -------------------------------------------------------------------------------------------------------
@@ -174,14 +179,15 @@ def _arranged(x: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _root(bands: list[tuple[int, int]], length: int) -> Column:
-    """The first `length` bits in the order of the bands, of the column fp."""
-    out, left = F.lit(0).cast("long"), length
+def _path(bands: list[tuple[int, int]], start: int, length: int) -> Column:
+    """The bits from `start` on, `length` of them, in the order of the bands, of the column fp."""
+    out, skip, left = F.lit(0).cast("long"), start, length
     for at, n in bands:
-        if not left:
-            break
-        left -= n
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftleft("fp", at), 64 - n), left))
+        at, n, skip = at + min(skip, n), n - min(skip, n), skip - min(skip, n)
+        n = min(n, left)
+        if n:
+            left -= n
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftleft("fp", at), 64 - n), left))
     return out
 
 
@@ -189,7 +195,7 @@ def _join_walks(budget: int, tries: list[tuple[list[tuple[int, int]], int]]):
     """mapInArrow body: rows sorted by task (band, root, p, q); side 0 belongs to part p, side 1 to part q; band is the trie's number."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        cols = {c: rows.column(c).to_numpy() for c in ("band", "root", "p", "q", "side", "fp", "rep")}
+        cols = {c: rows.column(c).to_numpy() for c in ("band", "root", "p", "q", "side", "fp")}
         fp, out_u, out_v = cols["fp"].view(np.uint64), [], []
         for number, (bands, length) in enumerate(tries):
             own = np.flatnonzero(cols["band"] == number)
@@ -210,9 +216,8 @@ def _join_walks(budget: int, tries: list[tuple[list[tuple[int, int]], int]]):
             groups.append(np.stack((lo[two], hi[two], lo[two + 1], hi[two + 1]), 1))
             root = forest(len(own), walk(bits, np.concatenate(groups), budget, length))
             linked = np.flatnonzero(root != np.arange(len(own)))
-            rep = cols["rep"][own]
-            out_u.append(rep[linked])
-            out_v.append(rep[root[linked]])
+            out_u.append(cols["fp"][own[linked]])
+            out_v.append(cols["fp"][own[root[linked]]])
         if not out_u:
             return None
         return pa.record_batch([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
@@ -242,43 +247,84 @@ def _join_walks(budget: int, tries: list[tuple[list[tuple[int, int]], int]]):
     return run
 
 
-def links(leaves: DataFrame, budget: int = 4) -> DataFrame:
-    """Links (u, v) between the representatives of distinct fingerprints: a spanning forest of all pairs within the budget.
+def _tasks(keyed: DataFrame, budget: int) -> DataFrame:
+    """The leaves (band, root, deep, fp) as often as they are walked: with parts p and q, whose walk it is, and the leaf's side.
 
-    `leaves`: fp (distinct), rep (long, not null).
+    `deep` holds the SPLIT_BITS bits after the root. In a subtree with too many leaves, nodes are the next bits, as many as
+    would leave SUBTREE leaves to each; a node has parts if it still has more.
     """
+    none = F.lit(0).cast("long")
+    trees = keyed.groupBy("band", "root").count().where("count > 1")
+    bits = F.least(F.lit(SPLIT_BITS), F.ceil(F.log2(F.col("count") / SUBTREE))).cast("int")
+    trees, _ = persist_table(trees.select("band", "root", F.when(F.col("count") > SUBTREE, bits).otherwise(0).alias("bits")), "subtrees")
+    whole = keyed.join(trees.where("bits = 0"), ["band", "root"]).select("band", "root", "fp", none.alias("p"), none.alias("q"), F.lit(0).alias("side"))
+    large = trees.where("bits > 0")
+    if large.isEmpty():
+        return whole
+    leaves = keyed.join(F.broadcast(large) if large.count() <= 100_000 else large, ["band", "root"])
+    leaves = leaves.select("band", "root", "fp", "bits", F.expr(f"shiftright(deep, {SPLIT_BITS} - bits)").alias("node"))
+    nodes = leaves.groupBy("band", "root", "bits", "node").agg(F.ceil(F.count("*") / SUBTREE).cast("long").alias("parts"))
+    nodes, _ = persist_table(nodes, "nodes")
+    # every node with the nodes whose paths are near; as many rows as nodes times near paths at most
+    near = [(bits, m) for bits in range(1, SPLIT_BITS + 1) for m in range(1 << bits) if m.bit_count() <= budget]
+    masks = keyed.sparkSession.createDataFrame(near, "bits int, mask long")  # some thousands of rows, whatever the input
+    other = nodes.select("band", "root", F.col("node").alias("other"), F.col("parts").alias("other_parts"))
+    met = nodes.join(F.broadcast(masks), "bits")
+    met = met.withColumn("other", F.col("node").bitwiseXOR(F.col("mask"))).join(other, ["band", "root", "other"])
+    dealt = leaves.join(met.select("band", "root", "node", "parts", "other", "other_parts"), ["band", "root", "node"])
+    part = lambda node, number: F.shiftleft(node, 32).bitwiseOR(number)
+    dealt = dealt.withColumn("own", part("node", F.pmod(F.xxhash64(F.lit("part"), "fp"), "parts")))
+    dealt = dealt.select("band", "root", "fp", "own", "other", F.explode(F.sequence(none, F.col("other_parts") - 1)).alias("number"))
+    dealt = dealt.withColumn("o", part("other", F.col("number")))
+    return whole.unionByName(dealt.select("band", "root", "fp", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("o") < F.col("own")).cast("int").alias("side")))
+
+
+def links(leaves: DataFrame, budget: int = 4) -> DataFrame:
+    """Links (u, v) between distinct fingerprints: a spanning forest of all pairs within the budget. `leaves`: fp, distinct."""
     tries = _tries(budget, leaves.count())
-    keyed = leaves.select("fp", "rep", F.posexplode(F.array(*[_root(*t) for t in tries])).alias("band", "root"))
-    parts = keyed.groupBy("band", "root").count().where("count > 1").select("band", "root", F.ceil(F.col("count") / SUBTREE).cast("long").alias("parts"))
-    dealt = keyed.join(parts, ["band", "root"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), "parts"))
-    # part k meets every part: as side 0 of (k, q) for q >= k, as side 1 of (p, k) for p < k
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-        lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q"), (o < F.col("part")).cast("int").alias("side")),
-    )
-    tasks = dealt.select("band", "root", "fp", "rep", F.inline(meets))
+    paths = F.array(*[F.struct(_path(bands, 0, n).alias("root"), _path(bands, n, SPLIT_BITS).alias("deep")) for bands, n in tries])
+    keyed = leaves.select("fp", F.posexplode(paths).alias("band", "x")).select("fp", "band", "x.root", "x.deep")
+    tasks = _tasks(keyed, budget)
     tasks = tasks.repartition("band", "root", "p", "q").sortWithinPartitions("band", "root", "p", "q")
     return tasks.mapInArrow(_join_walks(budget, tries), "u long, v long")
 
 
+def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
+    """(fp, n, lead): for each distinct fingerprint of ROW and fp its number of rows, and the least row of its class."""
+    leaves = prints.groupBy("fp").agg(F.min(F.struct(*ROW)).alias("first"), F.count("*").alias("n"))
+    leaves, _ = persist_table(leaves, "leaves")
+    roots, _ = components(links(leaves.select("fp"), budget))
+    member = leaves.join(roots, leaves["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("class"))
+    member, _ = persist_table(member, "members")
+    lead = member.groupBy("class").agg(F.min("first").alias("lead"), F.count("*").alias("prints"))
+    return join_groups(member, lead, "class", "prints", member.count()).select("fp", "n", "lead")
+
+
+def _judged(docs: DataFrame, words: int, budget: int) -> DataFrame:
+    """ROW, fp, n and lead of every document."""
+    prints, _ = persist_table(fingerprints(docs, words), "prints")
+    found, _ = persist_table(classes(prints, budget), "classes")
+    return join_groups(prints, found, "fp", "n", prints.count())
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable).
 
     Null or empty text: fingerprint zero, linked like any other. Fewer than `words` words: the whole sequence is the only
-    shingle. Repeated rows keep one output row each. A row whose doc_id is null gets the class of its fingerprint, which is
-    null if no other row has an id. An empty table gives an empty result; other columns are ignored.
+    shingle. Repeated rows keep one output row each, and rows with one id may be in different classes. A row whose doc_id is
+    null is linked like any other; its class is null if no row of it has an id. An empty table gives an empty result; other
+    columns are ignored.
     """
-    prepare(docs.sparkSession)
-    prints, _ = persist_table(fingerprints(docs, words), "prints")
-    leaves, _ = persist_table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "leaves")
-    roots, _ = components(links(leaves, budget))
-    classes = leaves.join(roots, leaves["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    judged = _judged(docs, words, budget)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp", "left").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return judged.select(F.nullif("row_id", F.lit(NO_ID)).alias("doc_id"), hexed.alias("fingerprint"), F.nullif("lead.row_id", F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 4, budget: int = 4) -> DataFrame:
-    """The documents that lead their class (least doc_id), all columns as they were."""
-    classes = near_duplicates(docs, words, budget)
-    losers = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(losers, docs["doc_id"] == losers["_gone"], "left_anti")
+    """One document of each class, all columns as they were.
+
+    The least doc_id stays, a null one only where no row of the class has an id; of rows with that id, or without one, the
+    least hash of the whole row, and of rows equal throughout one.
+    """
+    judged = _judged(docs, words, budget)
+    return keep_rows(docs, judged.select(*ROW, (F.struct(*ROW) == F.col("lead")).alias("stays")))

@@ -1,8 +1,10 @@
 """Exact, near and substring duplicates, and boilerplate lines, against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -64,7 +66,32 @@ def test_exact_in_many_shards(spark, monkeypatch):
 
 def test_exact_drops_copies_only(spark):
     kept = exact.drop_duplicates(documents(spark, [(1, "a"), (2, "a"), (3, "b"), (None, "b"), (None, "c"), (None, "c")]))
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "c"), (0, "c"), (1, "a"), (3, "b")] and set(CLASHING) <= set(kept.columns)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "c"), (1, "a"), (3, "b")] and set(CLASHING) <= set(kept.columns)
+
+
+#: Repeated and missing ids, rows that are equal throughout, and rows that share an id with one that goes.
+TANGLED = [(1, "A b"), (5, "A b"), (5, "unique"), (1, "x y"), (1, "x y"), (1, "x  y"), (None, "A b"), (None, "alone"), (None, "alone"), (None, "alone "), (5, "alone"), (7, None), (7, ""), (None, None)]
+
+
+def test_exact_decides_row_by_row(spark):
+    kept = exact.drop_duplicates(documents(spark, TANGLED)).select("doc_id", "text").collect()
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    best = {}
+    for i, t in TANGLED:
+        best[norm(t)] = min(best.get(norm(t), math.inf), math.inf if i is None else i)
+    assert len(kept) == len(best) and {norm(t): math.inf if i is None else i for i, t in kept} == best
+
+
+def test_history_is_kept_from_run_to_run(spark):
+    first, second = [(4, "a b"), (5, "c"), (6, "c")], [(1, "a  b"), (9, "new"), (10, "new"), (None, "c")]
+    history = exact.take_in(documents(spark, second), exact.take_in(documents(spark, first)))
+    got = {(r["row_id"], r["group_size"], r["known"]) for r in history.collect()}
+    assert got == {(1, 2, True), (5, 3, True), (9, 2, False)}
+    past = exact.take_in(documents(spark, first))
+    assert [r["doc_id"] for r in exact.drop_duplicates(documents(spark, second), past).collect()] == [9]
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_duplicates(documents(spark, second), history=past).collect()} == {
+        1: (1, 2, True), 9: (9, 2, True), 10: (9, 2, False), None: (5, 3, False)
+    }
 
 
 @settings(max_examples=30, deadline=None)
@@ -129,12 +156,37 @@ def test_links_of_dense_and_random_prints(spark, monkeypatch, subtree, spare):
             at ^= 1 << b
         prints.append(at)
     prints = sorted(set(prints))
-    signed = [(p - 2**64 if p >= 2**63 else p, k) for k, p in enumerate(prints)]
-    links = simhash.links(spark.createDataFrame(signed, "fp long, rep long"), 4)
-    roots, _ = components.components(links)
-    got = {r["node"]: r["root"] for r in roots.collect()}
     want = classes(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
-    assert [got.get(k, k) for k in range(len(prints))] == want
+    assert linked_classes(spark, prints) == want
+
+
+def linked_classes(spark, prints):
+    """The class of each fingerprint: the least place of its members."""
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    roots, _ = components.components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4))
+    got = {r["node"]: r["root"] for r in roots.collect()}
+    first = {}
+    return [first.setdefault(got.get(p, p), k) for k, p in enumerate(signed)]
+
+
+def test_a_hot_subtree_is_split_by_its_next_bits(spark):
+    """All prints begin with the same band: its trie has one subtree. Planted near pairs are found, and rows stay few."""
+    rng, n = np.random.default_rng(3), 30_000
+    tail = rng.integers(0, 2**52, n, dtype=np.uint64)
+    pairs = tail[:200].copy()
+    for _ in range(4):
+        pairs ^= np.uint64(1) << rng.integers(0, 52, 200).astype(np.uint64)
+    prints = np.unique(np.concatenate([tail, pairs]) | np.uint64(0xABC << 52))
+    leaves = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    tries = simhash._tries(4, len(prints))
+    first = next(k for k, (bands, _) in enumerate(tries) if bands[0][0] == 0)
+    keyed = leaves.selectExpr("fp", f"{first} as band", "shiftrightunsigned(fp, 52) as root", "shiftrightunsigned(fp, 36) & 65535 as deep")
+    assert simhash._tasks(keyed, 4).count() <= len(prints) * 2 ** math.ceil(math.log2(len(prints) / simhash.SUBTREE))
+    edges = {frozenset((r["u"], r["v"])) for r in simhash.links(leaves, 4).collect()}
+    place = {x: k for k, x in enumerate(prints.tolist())}
+    roots = classes(len(prints), [[place[x % 2**64] for x in e] for e in edges])
+    for a, b in zip((tail[:200] | np.uint64(0xABC << 52)).tolist(), (pairs | np.uint64(0xABC << 52)).tolist()):
+        assert roots[place[a]] == roots[place[b]]
 
 
 @pytest.mark.parametrize("leaves, tries, bits", [(0, 5, 12), (1 << 20, 5, 12), (10**8, 15, 20), (10**10, 35, 27), (10**12, 70, 32), (10**15, 70, 32)])
@@ -162,6 +214,17 @@ def test_near_keeps_one_of_each_class(spark):
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2]
 
 
+def test_near_decides_row_by_row(spark):
+    kept = simhash.keep_one(documents(spark, TANGLED)).select("doc_id", "text").collect()
+    prints = [brute_print(t) for _, t in TANGLED]
+    cls = classes(len(TANGLED), [(i, j) for i in range(len(TANGLED)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    best = {}
+    for (i, _), c in zip(TANGLED, cls):
+        best[c] = min(best.get(c, math.inf), math.inf if i is None else i)
+    got = {cls[TANGLED.index((i, t))]: math.inf if i is None else i for i, t in kept}
+    assert len(kept) == len(best) and got == best
+
+
 # -- chunks ---------------------------------------------------------------------------------------------------------
 
 
@@ -192,17 +255,74 @@ def test_repeated_passages(spark):
     rows += [(300, "same " * 500)] + [r[:2] for r in ODD]
     found = chunks.repeats(documents(spark, rows)).collect()
     texts = dict(rows)
-    late = {r["doc_id"] for r in found if r["first_doc_id"] == 100}
+    late = {r["doc_id"] for r in found if 100 <= r["first_doc_id"] < 106}
     assert late == {101, 102, 103, 104, 105}
     assert {r["doc_id"] for r in found} - late <= {6, 300}  # the same word over and over
+    assert {(r["doc_id"], r["first_doc_id"]) for r in found if r["doc_id"] not in late} <= {(300, 6)}
     for r in found:
         if r["doc_id"] in late:
-            assert texts[r["doc_id"]][r["start"] : r["end"]].strip() in texts[100]
+            assert texts[r["doc_id"]][r["start"] : r["end"]] in texts[r["first_doc_id"]]
     clean = {r["doc_id"]: r["text"] for r in chunks.drop_repeats(documents(spark, rows)).collect() if r["doc_id"] is not None}
     assert clean[100] == texts[100] and all(len(texts[k]) - len(clean[k]) > 150 for k in late) and clean[200] == texts[200]
     assert chunks.repeats(documents(spark, [])).count() == 0
 
 
+def brute_passages(rows, run_words):
+    """Runs of chunks that one earlier document holds, none within another, by comparing every two documents' chunks."""
+    cut = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        ends = chunks.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
+        cut[i] = [raw[a:b] for a, b in zip([0, *ends], ends)]
+    out = set()
+    for i, mine in cut.items():
+        runs = set()
+        for j in (j for j in cut if j < i):
+            held, at = set(cut[j]), 0
+            while at < len(mine):
+                end = at
+                while end < len(mine) and mine[end] in held:
+                    end += 1
+                words = sum(len(re.findall(rb"(?<![^\x20\x09-\x0d])[^\x20\x09-\x0d]", b"".join(mine[:k + 1]))) - len(re.findall(rb"(?<![^\x20\x09-\x0d])[^\x20\x09-\x0d]", b"".join(mine[:k]))) for k in range(at, end))
+                if words >= run_words:
+                    runs.add((at, end))
+                at = max(end, at + 1)
+        size = lambda k: len(b"".join(mine[:k]).decode())
+        out |= {(i, size(a), size(b)) for a, b in runs if not any((c, d) != (a, b) and c <= a and b <= d for c, d in runs)}
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rnd = random.Random(21)
+    passages = [prose(rnd, n) for n in (40, 60, 90)]
+    rows = [(k, " ".join(prose(rnd, rnd.randint(0, 30)) if rnd.random() < 0.5 else rnd.choice(passages) for _ in range(4))) for k in range(25)]
+    found = chunks.repeats(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in found} == brute_passages(rows, chunks.RUN_WORDS) and len(found) > 10
+
+
+def test_pieces_of_several_documents_are_no_passage(spark):
+    """Some chunks each of six documents, laid end to end: no earlier document holds them all."""
+    rnd = random.Random(12)
+    rows = [(k, prose(rnd, 80)) for k in range(6)]
+    parts = []
+    for _, text in rows:
+        ends = chunks.cuts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])).tolist()
+        parts.append(text[ends[3] : ends[5]])
+    whole = "".join(parts)
+    for r in chunks.repeats(documents(spark, [*rows, (9, whole)])).collect():
+        assert r["doc_id"] == 9 and whole[r["start"] : r["end"]] in rows[r["first_doc_id"]][1]
+
+
+def test_passages_of_documents_without_or_with_one_id(spark):
+    rnd = random.Random(13)
+    passage = prose(rnd, 60)
+    rows = [(4, f"{prose(rnd, 20)} {passage}"), (4, f"{passage} {prose(rnd, 20)}"), (None, f"{prose(rnd, 9)} {passage}"), (None, f"{prose(rnd, 7)} {passage}"), (4, prose(rnd, 40))]
+    found = chunks.repeats(documents(spark, [*rows, rows[2]])).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["4", "None", "None"] and {r["first_doc_id"] for r in found} == {4}
+    clean = chunks.drop_repeats(documents(spark, rows)).collect()
+    assert len(clean) == len(rows) and sum(len(r["text"]) < 250 for r in clean) >= 3
+
+
 def test_insertions_move_few_cuts():
     rnd = random.Random(9)
     text = prose(rnd, 2000)
@@ -242,6 +362,16 @@ def test_lines(spark):
     assert line_spread.drop_boilerplate(documents(spark, [])).count() == 0
 
 
+def test_many_lines_go_in_linear_time(spark):
+    """A document of very many lines, every second one boilerplate."""
+    lines = [f"menu {k}" if k % 2 else f"own {k}" for k in range(60_000)]
+    rows = [(k, "\n".join(lines[1::2]), "en", f"site{k}") for k in range(8)] + [(9, "\n".join(lines), "en", "site9")]
+    begun = time.perf_counter()
+    got = {r["doc_id"]: r for r in line_spread.drop_boilerplate(documents(spark, rows)).collect()}
+    assert got[9]["text"] == "\n".join(lines[::2]) and got[9]["n_removed"] == 30_000 and got[0]["text"] == ""
+    assert time.perf_counter() - begun < 60
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert exact.exact_duplicates(none).count() == 0 and simhash.near_duplicates(none).count() == 0

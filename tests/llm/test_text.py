@@ -1,5 +1,7 @@
 """Quality, personal data, toxicity and language."""
 
+import itertools
+import math
 import random
 import re
 import time
@@ -126,11 +128,49 @@ def test_quality_risk_is_not_negative():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 40)).astype(np.float32)
     y = x[:, 0] > -0.8
-    model = quality.fit(x[:100][y[:100]], x[:100], float(y.mean()), decay=0.0, epochs=200)
+    model = quality.fit(x[:100][y[:100]], x[:100], float(y.mean()), decay=0.0)
     s = model.score(x[100:])
     assert np.isfinite(s).all() and np.mean((s >= 0.5) == y[100:]) > 0.7
 
 
+def test_risk_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(2)
+    p, u, w, prior = rng.normal(size=(7, 4)), rng.normal(size=(9, 4)), rng.normal(size=4), 0.7
+    loss = lambda z: math.log(1 + math.exp(-z))
+
+    def brute(w):
+        dot = lambda x: sum(a * b for a, b in zip(x, w))
+        plus = prior * sum(loss(dot(x)) for x in p) / len(p)
+        minus = sum(loss(-dot(x)) for x in u) / len(u) - prior * sum(loss(-dot(x)) for x in p) / len(p)
+        return np.array([plus, minus])
+
+    plus, minus, of_plus, of_minus = quality.risk(w, p, u, prior)
+    assert np.allclose([plus, minus], brute(w))
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        assert np.allclose([of_plus[k], of_minus[k]], (brute(w + step) - brute(w - step)) / 2e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("prior, n", [(0.9, 3000), (0.6, 3000), (0.8, 60), (0.5, 4)])
+def test_the_prior_needs_no_negatives(prior, n):
+    rng = np.random.default_rng(6)
+    draw = lambda good: rng.normal(size=(len(good), 3)) + 4 * good[:, None]
+    positive, unlabelled = draw(np.ones(n, bool)).astype(np.float32), draw(rng.random(n) < prior).astype(np.float32)
+    found = quality.estimate_prior(positive, unlabelled)
+    assert abs(found - prior) < (0.05 if n > 1000 else 0.3 if n > 10 else 0.6)
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(1, lines_of(rnd, 20)) for _ in range(60)] + [(k, lines_of(rnd, 20)) for k in range(2, 40)] + [(1, "same row")] * 50
+    labels = spark.createDataFrame([(1, 1)] * 30 + [(k, k % 2) for k in range(2, 40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: seen.append((len(p), len(u))))
+    monkeypatch.setattr(quality, "estimate_prior", lambda p, u: 0.5)
+    quality.train(documents(spark, rows), labels, F.lit(True), positives=12, unlabelled=17)
+    assert seen == [(12, 17)]
+
+
 # -- language -------------------------------------------------------------------------------------------------------
 
 
@@ -151,6 +191,34 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(documents(spark, [(1, "words"), (2, "12")]), alone).collect()} == {"en", "und"}
 
 
+@pytest.mark.parametrize("text, there", [("²½", False), ("12 _!", False), ("a", True), ("½ß", True), ("日", True), ("", False), (None, False)])
+def test_letters(text, there):
+    assert langid.has_letter(text) == there
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7])
+def test_decoding_equals_brute_force(n):
+    rng = np.random.default_rng(n)
+    code = langid.codewords(n)
+    model = langid.LanguageModel([f"l{k}" for k in range(n)], code, rng.normal(size=(6, code.shape[1])))
+    x = rng.normal(size=(20, 5))
+    best, share, margin = model.predict(x)
+    for row, b, s, m in zip(x, best, share, margin):
+        bits = [sum(v * w for v, w in zip(row, model.weights[:-1, j])) + model.weights[-1, j] for j in range(code.shape[1])]
+        loss = [sum(math.log(1 + math.exp(-c * z)) for c, z in zip(word, bits)) for word in code]
+        order = sorted(range(n), key=loss.__getitem__)
+        assert b == order[0] and math.isclose(s, math.exp(-loss[b]) / sum(math.exp(-v) for v in loss), rel_tol=1e-9)
+        assert m == math.inf if n == 1 else math.isclose(m, loss[order[1]] - loss[b], rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_the_sample_of_languages_is_bounded(spark, monkeypatch):
+    rows = [(1, f"text number {k}", "en") for k in range(90)] + [(2, "one row", "en")] * 90 + [(k, f"und so weiter {k}", "de") for k in range(3, 60)] + [(99, "rare", "xx")]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, langs: seen.append(sorted(langs)))
+    langid.train(documents(spark, rows), F.lit(True), per_lang=10, most_langs=2)
+    assert set(seen[0]) == {"de", "en"} and seen[0].count("de") == 10 and 1 < seen[0].count("en") <= 10  # equal rows count once
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 40])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
@@ -169,8 +237,6 @@ def test_gram_counts_do_not_depend_on_the_batch():
 
 
 def brute_marginals(emit, trans, start):
-    import itertools
-
     total = np.zeros(len(emit) + 1)
     for states in itertools.product((0, 1), repeat=len(emit)):
         w = np.exp(start[states[0]] + sum(e * s for e, s in zip(emit, states)) + sum(trans[a, b] for a, b in zip(states, states[1:])))
@@ -190,12 +256,53 @@ def test_marginals_are_exact(lengths, seed):
     assert np.allclose(got, np.concatenate([brute_marginals(e, trans, start) for e in emits]), atol=1e-9)
 
 
+def test_likelihood_and_gradient_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "BUCKETS", 40)
+    sequences, states = [["ab", "cd", "ab"], ["cd"], ["xy", "ab"]], [[0, 1, 1], [0], [1, 0]]
+    data, w = toxicity.Sequences(sequences, states), np.random.default_rng(5).normal(size=46)
+
+    def brute(w):
+        trans, start, total = w[40:44].reshape(2, 2), w[44:], 0.0
+        for words, gold in zip(sequences, states):
+            emit = [sum(w[k] for k in toxicity.token_features(x)) for x in words]
+            score = lambda z: start[z[0]] + sum(e * s for e, s in zip(emit, z)) + sum(trans[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            total += math.log(sum(math.exp(score(z)) for z in itertools.product((0, 1), repeat=len(words)))) - score(gold)
+        return total
+
+    loss, grad = data.loss(w)
+    assert math.isclose(loss, brute(w))
+    for k in range(46):
+        step = np.eye(46)[k] * 1e-5
+        assert math.isclose(grad[k], (brute(w + step) - brute(w - step)) / 2e-5, abs_tol=1e-6)
+
+
+def test_scores_and_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    chain = toxicity.Chain(rng.normal(size=toxicity.BUCKETS), rng.normal(size=(2, 2)), rng.normal(size=2), np.array([-1.0, 0.7, 0.4]))
+    texts = ["One idiot, two; idiot!", "x", "", None, "a b c d e f g", "Ein Satz über nichts"]
+    for r in toxicity.score(documents(spark, list(enumerate(texts))), chain).collect():
+        text = texts[r["doc_id"]] or ""
+        found = list(re.finditer(r"[^\W_]+", text.lower()))
+        p = brute_marginals([chain.emission(m[0]) for m in found], chain.trans, chain.start) if found else np.zeros(0)
+        top, many = (math.log(p.max() / (1 - p.max())), math.log1p(p.sum())) if found else (-20.0, 0.0)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(-1.0 + 0.7 * top + 0.4 * many))), rel_tol=1e-6)
+        assert r["predicted"] == (r["score"] >= 0.5)
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [m.span() for m, q in zip(found, p) if q >= 0.5]
+
+
+def test_repeated_ids_do_not_enlarge_the_toxic_sample(spark):
+    rows = [(1, f"text {k}") for k in range(70)] + [(k, f"other {k}") for k in range(2, 40)] + [(1, "same")] * 40
+    labels = spark.createDataFrame([(1, 1)] * 9 + [(k, k % 2) for k in range(2, 40)] + [(5, 7)], "doc_id long, toxic int")
+    got = toxicity.labelled(documents(spark, rows), labels, F.lit(True), 11).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in got} == {0: 11, 1: 11}
+
+
 def test_chain_learns_context_and_words():
     rnd = random.Random(3)
     seqs = [[rnd.choice(["good", "fine", "idiot", "idiotic", "tree"]) for _ in range(10)] for _ in range(60)]
     chain = toxicity.fit_chain(seqs, [[int(w.startswith("idiot")) for w in s] for s in seqs])
-    (_, p), (_, q) = toxicity.Tagger(chain).tag(["a good idiot", None])
-    assert p[2] > 0.9 and p[1] < 0.1 and len(q) == 0
+    p, starts = toxicity.Tagger(chain).tag(["a good idiot", None, "tree"])
+    assert p[2] > 0.9 and p[1] < 0.1 and starts.tolist() == [0, 3, 3, 4]
 
 
 def test_toxicity(spark):
