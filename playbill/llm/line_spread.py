@@ -54,15 +54,15 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     gone = gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "of")
     rows = narrow(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
     joined = rows.join(gone, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    parts, cut = F.split("text", "\n"), F.array_sort("gone")
+    # columns of their own, so that they are made once for a row and not for every line
+    joined = joined.withColumns({"parts": F.split("text", "\n"), "cut": F.array_sort(F.coalesce("gone", F.array().cast("array<int>")))})
     # the lines between one that goes and the next, as whole slices: a document's work grows with its lines
-    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(cut, k - 1))
-    after = lambda k: F.coalesce(F.get(cut, k), F.size(parts))
-    between = F.transform(F.sequence(F.lit(0), F.size(cut)), lambda k: F.slice(parts, before(k) + 2, after(k) - before(k) - 1))
-    kept = F.array_join(F.flatten(between), "\n")
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("cut", k - 1))
+    after = lambda k: F.coalesce(F.get("cut", k), F.size("parts"))
+    between = F.transform(F.sequence(F.lit(0), F.size("cut")), lambda k: F.slice("parts", before(k) + 2, after(k) - before(k) - 1))
     return joined.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
+        F.size("cut").cast("long").alias("n_removed"),
+        F.when(F.size("cut") == 0, F.col("text")).otherwise(F.array_join(F.flatten(between), "\n")).alias("text"),
     )
