@@ -90,8 +90,9 @@ def iso_parts(text: Column) -> Column:
 
 
 def lisbon_time(utc: Column, civil: bool = False) -> Column:
-    """UTC to Lisbon; unless `civil`, one hour ahead of the civil clock, as the listings have it."""
-    local = F.from_utc_timestamp(utc, "Europe/Lisbon")
+    """an instant as Lisbon's clock shows it, without a zone, so whatever the session's zone is; unless `civil`, one hour
+    ahead of the civil clock, as the listings have it."""
+    local = F.convert_timezone(None, F.lit("Europe/Lisbon"), utc)
     return local if civil else local + F.expr("interval 1 hour")
 
 

@@ -93,6 +93,7 @@ def capital_first(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
+# The patterns and labels of the four functions that follow
 def presence_label(text: Column) -> Column:
     """long lists of guests become one of two short labels."""
     low = F.lower(text)

@@ -134,7 +134,10 @@ def directors(movies: DataFrame, wiki: DataFrame) -> DataFrame:
     """2.I: one row per director: the first movie's slug even if null, with photo and biography from the snapshot."""
     named = movies.where(truthy("director"))
     first = named.groupBy(F.col("director").alias("name")).agg(F.min_by("director_lbxd_slug", F.struct("src_rank", "src_ord")).alias("lbxd_slug"))
-    return first.join(wiki.dropDuplicates(["name"]), "name", "left").select("name", "lbxd_slug", "photo", "bio")
+    # of several entries for a name: one with a photo, one with a biography, then the least
+    order = F.struct(F.col("photo").isNull().alias("a"), F.col("bio").isNull().alias("b"), "photo", "bio")
+    known = wiki.groupBy("name").agg(F.min_by(F.struct("photo", "bio"), order).alias("w"))
+    return first.join(known, "name", "left").select("name", "lbxd_slug", "w.photo", "w.bio")
 
 
 def wiki_entries(pages: DataFrame, search: DataFrame, entities: DataFrame) -> DataFrame:

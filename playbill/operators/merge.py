@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
 from ..functions.truthy import truthy
-from ..scratch import written
+from ..scratch import remove, stored, written
 
 #: Fields that a merged record takes from later ones where it has none, with their kinds.
 FILLED = {"director": "string", "year": "number", "duration": "number", "poster": "string", "genres": "array", "link": "string", "festival": "string"}
@@ -82,44 +82,67 @@ def near_keys(keys: DataFrame, key: str = "k", least: int = 8) -> DataFrame:
     return pairs.where(masked("a") != masked("b")).where(F.levenshtein("a", "b", 1).between(0, 1))
 
 
-def fuzzy_links(nodes: DataFrame) -> DataFrame:
-    """Links (i, j), i < j, between nodes (ord, k, year): near keys, years at most one apart or unknown."""
-    pairs = near_keys(nodes)
+def title_classes(nodes: DataFrame) -> DataFrame:
+    """(ord, k, year, n) of distinct keys and years: the least ord, and how many nodes (ord, k, year) there are.
+
+    Nodes of one class have the same near titles and so the same fate in the greedy scan: popular titles are linked once.
+    """
+    return nodes.groupBy("k", "year").agg(F.min("ord").alias("ord"), F.count("*").alias("n")).select("ord", "k", "year", "n")
+
+
+def fuzzy_links(classes: DataFrame) -> DataFrame:
+    """Links (i, j), i < j, between classes (ord, k, year): near keys, years at most one apart or unknown."""
+    pairs = near_keys(classes)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = nodes.select(F.col("ord").alias("i"), F.col("k").alias("a"), F.col("year").alias("y1"))
-    right = nodes.select(F.col("ord").alias("j"), F.col("k").alias("b"), F.col("year").alias("y2"))
+    left = classes.select(F.col("ord").alias("i"), F.col("k").alias("a"), F.col("year").alias("y1"))
+    right = classes.select(F.col("ord").alias("j"), F.col("k").alias("b"), F.col("year").alias("y2"))
     close = F.coalesce(F.abs(F.col("y1") - F.col("y2")) <= 1, F.lit(True))
     return left.join(both, "a").join(right, "b").where((F.col("i") < F.col("j")) & close).select("i", "j")
 
 
 def star_owners(links: DataFrame) -> DataFrame:
-    """(j, owner) of every node that is absorbed, by the greedy scan in order.
+    """(j, owner) of every class that is absorbed, by the greedy scan in order.
 
-    A node is absorbed by its least earlier neighbour that is not absorbed itself; absorbed nodes absorb nothing. Each round
-    settles the nodes whose earlier neighbours are settled, or of which one leads; a round is written before the next.
+    A class is absorbed by its least earlier neighbour that is not absorbed itself; absorbed ones absorb nothing. Each round
+    settles those whose earlier neighbours are settled, or of which one leads; a round is written before the next, and the one
+    before it removed. Rounds are as many as the longest chain of undecided neighbours.
     """
-    links = written(links.distinct(), "links")
+    spark = links.sparkSession
+    links, links_path = stored(links.distinct(), "links")
     nodes = links.select(F.col("i").alias("n")).union(links.select("j")).distinct()
-    state = written(nodes.join(links.select(F.col("j").alias("n")).distinct(), "n", "left_anti").select("n", F.lit(True).alias("leads")), "state")
+    first = nodes.join(links.select(F.col("j").alias("n")).distinct(), "n", "left_anti").select("n", F.lit(True).alias("leads"))
+    state, path = stored(first, "state")
     while True:
         open_links = links.join(state.select(F.col("n").alias("j")), "j", "left_anti")
         seen = open_links.join(state.withColumnRenamed("n", "i"), "i", "left").groupBy("j").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_or(F.col("leads").isNull()).alias("waits"))
-        more = written(seen.where("led or not waits").select(F.col("j").alias("n"), (~F.col("led")).alias("leads")), "state")
+        more, more_path = stored(seen.where("led or not waits").select(F.col("j").alias("n"), (~F.col("led")).alias("leads")), "state")
         if more.isEmpty():
             break
-        state = written(state.unionByName(more), "state")
+        both, both_path = stored(state.unionByName(more), "state")
+        remove(spark, path)
+        remove(spark, more_path)
+        state, path = both, both_path
     leaders = state.where("leads").select(F.col("n").alias("i"))
     absorbed = state.where("not leads").select(F.col("n").alias("j"))
-    return links.join(leaders, "i").join(absorbed, "j").groupBy("j").agg(F.min("i").alias("owner"))
+    owners = written(links.join(leaders, "i").join(absorbed, "j").groupBy("j").agg(F.min("i").alias("owner")), "owners")
+    for done in (links_path, path, more_path):
+        remove(spark, done)
+    return owners
+
+
+def absorbed(nodes: DataFrame) -> DataFrame:
+    """(ord, owner) of every node (ord, k, year) that is absorbed."""
+    classes = written(title_classes(nodes), "classes")
+    owned = classes.join(star_owners(fuzzy_links(classes)).withColumnRenamed("j", "ord"), "ord").select(F.col("k").alias("ok"), F.col("year").alias("oy"), "owner")
+    return nodes.join(owned, (F.col("k") == F.col("ok")) & F.col("year").eqNullSafe(F.col("oy"))).select("ord", "owner")
 
 
 def fuzzy_merge(movies: DataFrame, session_order: str = "append") -> DataFrame:
     """Movies one edit apart become one. Sessions are appended, or `sorted` by date and time."""
     rank = F.col("src_rank").cast("long") * (1 << 31) + F.col("src_ord")
     movies = movies.withColumn("_ord", rank)
-    nodes = movies.select(F.col("_ord").alias("ord"), norm_key(F.col("title")).alias("k"), "year")
-    owners = star_owners(fuzzy_links(nodes))
-    owned = movies.join(owners, movies["_ord"] == owners["j"], "left").withColumn("_owner", F.coalesce("owner", "_ord")).drop("j", "owner", "_ord")
+    owners = absorbed(movies.select(F.col("_ord").alias("ord"), norm_key(F.col("title")).alias("k"), "year")).withColumnRenamed("ord", "_j")
+    owned = movies.join(owners, movies["_ord"] == owners["_j"], "left").withColumn("_owner", F.coalesce("owner", "_ord")).drop("_j", "owner", "_ord")
     return _merged(owned, ["_owner"], by_time=session_order == "sorted").drop("_owner")
 
 

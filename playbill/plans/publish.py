@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,21 +40,33 @@ def document(movies: DataFrame, directors: DataFrame, errors: DataFrame, generat
 
 
 def publish(doc: DataFrame, path: str) -> None:
-    """Write beside the target, then replace it."""
+    """Write beside the target, put the earlier document aside, move the new one in, then drop the earlier one.
+
+    A failure at any point leaves a whole document, at the target or aside, where `previous` finds it.
+    """
     spark = doc.sparkSession
     doc.coalesce(1).write.mode("overwrite").text(path + ".next")
-    jvm = spark.sparkContext._jvm
-    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
+    target, fresh, aside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".next", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(fresh, target)
+    if fs.exists(target):
+        fs.delete(aside, True)
+        if not fs.rename(target, aside):
+            raise OSError(f"cannot put {path} aside")
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot move the new document to {path}")
+    fs.delete(aside, True)
 
 
 def previous(spark: SparkSession, path: str) -> DataFrame:
-    """The movies of a published document; a document that cannot be read has none."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except Exception:  # no such document
+    """The movies of a published document, or of the one put aside by an update that failed; none if there is no document."""
+    text = None
+    for place in (path, path + ".old"):
+        try:
+            text = spark.read.text(place, wholetext=True)
+            break
+        except AnalysisException:  # no such document
+            continue
+    if text is None:
         return spark.createDataFrame([], model.MOVIE)
     bare = F.regexp_replace(F.regexp_replace(F.btrim("value"), r"^window\.\w+\s*=\s*", ""), r";\s*$", "")
     movie = ", ".join(f"{k}: {t}" for k, t in _movie_types())
@@ -67,6 +80,11 @@ def _movie_types() -> list[tuple[str, str]]:
     return [(k, t.replace("<S>", f"<{model.SESSION}>")) for k, t in (x.split(" ", 1) for x in flat) if not k.startswith("src_")]
 
 
+def source_dump(movies: DataFrame, rank: int) -> DataFrame:
+    """K2: (value) what one source gave, as JSON in the order of its listing."""
+    return movie_json(movies.where(F.col("src_rank") == rank)).orderBy("src_ord").select(F.col("js").alias("value"))
+
+
 def metrics(movies: DataFrame, errors: DataFrame) -> DataFrame:
     """K3: movies, sessions, venues that failed."""
     rows = movies.select(F.lit(1).alias("m"), F.size("sessions").alias("s"), F.lit(None).cast("string").alias("f"))

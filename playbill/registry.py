@@ -11,7 +11,10 @@ from .functions import html as H
 from .functions import temporal as T
 from .functions import text as X
 from .functions.truthy import first_truthy
+from .model import SESSION
 from .operators import enrich, merge, ordered
+from .plans import publish, refresh
+from .sources.base import as_movies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,14 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_NORM.format('substr(text, 1, 60)')} AS norm FROM documents")
-def q01_norm_key(spark, sf_dir):
-    """F1."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.norm_key(F.substring("text", 1, 60)).alias("norm"))
-
-
 @query(f"SELECT doc_id, length({_NORM.format('text')})::BIGINT AS n_chars, md5({_NORM.format('text')}) AS digest FROM documents")
-def q01_norm_key_whole(spark, sf_dir):
+def q01_norm_key(spark, sf_dir):
     """F1, of whole texts: length and digest of the key."""
     norm = X.norm_key(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(norm).cast("long").alias("n_chars"), F.md5(norm.cast("binary")).alias("digest"))
@@ -88,58 +85,43 @@ def q03_session_union(spark, sf_dir):
     )
 
 
-def _nodes(spark, sf_dir, length):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("ord"), X.norm_key(F.substring("text", 1, length)).alias("k"), (F.col("n_chars") % 4).cast("int").alias("year"))
-
-
+# the near titles: a name and two letters, so that a name's parts differ by a letter or two
+_CODE = "chr(97 + (p_partkey % 26)::INT) || chr(97 + (p_partkey // 26 % 26)::INT)"
+_CLASSES = f"SELECT min(p_partkey) AS ord, k, y FROM (SELECT p_partkey, {_NORM.format("p_name || ' ' || " + _CODE)} AS k, (p_size % 4)::INT AS y FROM part) GROUP BY k, y"
 _FUZZY = f"""
-    WITH n AS (SELECT doc_id, {_NORM.format('substr(text, 1, 24)')} AS k, (n_chars % 4)::INT AS y FROM documents)
-    SELECT a.doc_id AS i, b.doc_id AS j FROM n a JOIN n b ON a.doc_id < b.doc_id AND length(a.k) >= 8 AND length(b.k) >= 8
-        AND abs(length(a.k) - length(b.k)) <= 1 AND abs(a.y - b.y) <= 1
-    WHERE regexp_replace(a.k, '[0-9]', '#', 'g') <> regexp_replace(b.k, '[0-9]', '#', 'g') AND levenshtein(a.k, b.k) <= 1"""
+    n AS ({_CLASSES}),
+    links AS (SELECT a.ord AS i, b.ord AS j FROM n a JOIN n b ON a.ord < b.ord AND length(a.k) >= 8 AND length(b.k) >= 8 AND abs(length(a.k) - length(b.k)) <= 1 AND abs(a.y - b.y) <= 1
+        WHERE regexp_replace(a.k, '[0-9]', '#', 'g') <> regexp_replace(b.k, '[0-9]', '#', 'g') AND levenshtein(a.k, b.k) <= 1)"""
 
 
 def _titles(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    return part.select(F.col("p_partkey").alias("ord"), X.norm_key(F.concat_ws(" ", "p_name", "p_brand")).alias("k"), (F.col("p_size") % 4).cast("int").alias("year"))
+    letter = lambda c: F.char(97 + c % 26)
+    code = F.concat(letter(F.col("p_partkey")), letter(F.floor(F.col("p_partkey") / 26)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), X.norm_key(F.concat_ws(" ", "p_name", code)).alias("k"), (F.col("p_size") % 4).cast("int").alias("year"))
 
 
-@query(_FUZZY)
+@query(f"WITH {_FUZZY} SELECT i, j FROM links")
 def q04_fuzzy_pairs(spark, sf_dir):
-    """Titles one edit apart, years at most one apart."""
-    return merge.fuzzy_links(_nodes(spark, sf_dir, 24))
+    """Titles one edit apart, years at most one apart: pairs of the first records of equal title and year."""
+    return merge.fuzzy_links(merge.title_classes(_titles(spark, sf_dir)))
 
 
 @query(f"""
-    WITH n AS (SELECT p_partkey, {_NORM.format("concat_ws(' ', p_name, p_brand)")} AS k, (p_size % 4)::INT AS y FROM part)
-    SELECT a.p_partkey AS i, b.p_partkey AS j FROM n a JOIN n b ON a.p_partkey < b.p_partkey AND length(a.k) >= 8 AND length(b.k) >= 8
-        AND abs(length(a.k) - length(b.k)) <= 1 AND abs(a.y - b.y) <= 1
-    WHERE regexp_replace(a.k, '[0-9]', '#', 'g') <> regexp_replace(b.k, '[0-9]', '#', 'g') AND levenshtein(a.k, b.k) <= 1""")
-def q04_fuzzy_pairs_whole(spark, sf_dir):
-    """Whole titles (part and brand) one edit apart, years at most one apart."""
-    return merge.fuzzy_links(_titles(spark, sf_dir))
-
-
-@query(f"""
-    WITH RECURSIVE links AS ({_FUZZY}),
-    -- nodes in order; a node leads if no earlier neighbour leads: settled one by one along chains of links
-    walk(j, owner, depth) AS (
-        SELECT i, i, 0 FROM links WHERE i NOT IN (SELECT j FROM links)
-        UNION
-        SELECT l.j, CASE WHEN l.j IN (SELECT j FROM links) THEN l.i ELSE l.j END, 1 FROM links l WHERE l.i NOT IN (SELECT j FROM links))
-    SELECT j, min(owner) AS owner FROM walk WHERE depth = 1 GROUP BY j""")
-def q05_fuzzy_first_owner(spark, sf_dir):
-    """C2, first round: nodes with an earlier neighbour that has none itself, and the least such neighbour."""
-    links = merge.fuzzy_links(_nodes(spark, sf_dir, 24))
-    heads = links.select("i").distinct().join(links.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
-    return links.join(heads, "i").groupBy("j").agg(F.min("i").alias("owner"))
-
-
-@query()
+    WITH RECURSIVE {_FUZZY},
+    steps AS (SELECT v, row_number() OVER (ORDER BY v) AS s FROM (SELECT i AS v FROM links UNION SELECT j FROM links)),
+    earlier AS (SELECT j, list(i) AS before FROM links GROUP BY j),
+    -- one record after the other: the leaders so far, and the least leader that takes it in
+    scan(s, v, owner, leaders) AS (
+        SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[]
+        UNION ALL
+        SELECT s, v, owner, CASE WHEN owner IS NULL THEN list_append(leaders, v) ELSE leaders END FROM (
+            SELECT steps.s, steps.v, list_min(list_intersect(coalesce(before, []), leaders)) AS owner, leaders
+            FROM scan JOIN steps ON steps.s = scan.s + 1 LEFT JOIN earlier ON j = steps.v)),
+    owned AS (SELECT k, y, owner FROM scan JOIN n ON ord = v WHERE owner IS NOT NULL)
+    SELECT p_partkey AS ord, owner FROM part JOIN owned ON k = {_NORM.format("p_name || ' ' || " + _CODE)} AND y = p_size % 4""")
 def q05_fuzzy_star_owner(spark, sf_dir):
-    """The owner of every absorbed title (part and brand, whole); tested against a sequential scan."""
-    return merge.star_owners(merge.fuzzy_links(_titles(spark, sf_dir)))
+    """The record that each absorbed record goes to, by the greedy scan over all records."""
+    return merge.absorbed(_titles(spark, sf_dir))
 
 
 @query("""
@@ -320,27 +302,13 @@ def q23_director_dimension(spark, sf_dir):
     return ordered.first_seen(part, ["name"], ["first_key"]).select("name", F.coalesce("slug", F.lit("none")).alias("slug"), "first_key")
 
 
-@query("""
-    WITH cur AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1998-07-01' AND o_custkey % 10 < 6),
-    prev AS (SELECT * FROM orders WHERE o_orderdate < DATE '1998-07-01'),
-    k AS (SELECT DISTINCT o_custkey FROM orders)
-    SELECT o_orderkey, o_custkey FROM cur
-    UNION ALL SELECT o_orderkey, o_custkey FROM prev WHERE o_custkey IN (SELECT o_custkey FROM k) AND o_custkey NOT IN (SELECT o_custkey FROM cur)""")
-def q24_source_fallback(spark, sf_dir):
-    """Customers without current orders keep their earlier ones."""
-    orders = table(spark, sf_dir, "orders")
-    current = orders.where("o_orderdate >= DATE'1998-07-01' AND o_custkey % 10 < 6").select("o_orderkey", "o_custkey")
-    previous = orders.where("o_orderdate < DATE'1998-07-01'").select("o_orderkey", "o_custkey")
-    return ordered.fall_back(current, previous, orders, "o_custkey")
-
-
 @query("""
     WITH cur AS (SELECT * FROM orders WHERE o_orderdate >= DATE '1998-07-01'),
     prev AS (SELECT * FROM orders WHERE o_orderdate < DATE '1998-07-01'),
     k AS (SELECT DISTINCT o_custkey FROM orders)
     SELECT o_orderkey, o_custkey FROM cur
     UNION ALL SELECT o_orderkey, o_custkey FROM prev WHERE o_custkey IN (SELECT o_custkey FROM k) AND o_custkey NOT IN (SELECT o_custkey FROM cur)""")
-def q24_source_fallback_whole(spark, sf_dir):
+def q24_source_fallback(spark, sf_dir):
     """Customers without current orders keep their earlier ones; every customer's current orders count."""
     orders = table(spark, sf_dir, "orders")
     current = orders.where("o_orderdate >= DATE'1998-07-01'").select("o_orderkey", "o_custkey")
@@ -364,40 +332,20 @@ def q26_shortest_title(spark, sf_dir):
     return merge.shortest_title_merge(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_name", "p_partkey").select("p_partkey", "p_name")
 
 
-@query("""
-    SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY q, k) AS pos, k AS ref FROM (
-        SELECT l_orderkey AS o_orderkey, l_partkey::VARCHAR AS k, max(l_quantity)::INT AS q FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2)""")
-def q27_map_order_refs(spark, sf_dir):
-    """Ids of a map by their values."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").groupBy("l_orderkey", F.col("l_partkey").cast("string").alias("k")).agg(F.max("l_quantity").cast("int").alias("q"))
-    maps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
-    return maps.select("o_orderkey", F.posexplode(ordered.map_order(F.col("m"))).alias("p", "ref")).select("o_orderkey", (F.col("p") + 1).cast("long").alias("pos"), "ref")
-
-
 @query("""
     SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY q, k) AS pos, k AS ref FROM (
         SELECT l_orderkey AS o_orderkey, l_partkey::VARCHAR AS k, max(l_quantity)::INT AS q FROM lineitem GROUP BY 1, 2)""")
-def q27_map_order_refs_whole(spark, sf_dir):
+def q27_map_order_refs(spark, sf_dir):
     """Ids of a map by their values, for every order."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_partkey").cast("string").alias("k")).agg(F.max("l_quantity").cast("int").alias("q"))
     maps = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
     return maps.select("o_orderkey", F.posexplode(ordered.map_order(F.col("m"))).alias("p", "ref")).select("o_orderkey", (F.col("p") + 1).cast("long").alias("pos"), "ref")
 
 
-@query("""
-    SELECT doc_id, unnest(t) AS item, unnest(list_transform(range(1, len(t) + 1), lambda k: y[least(k, len(y))])) AS value FROM (
-        SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS t, [1990 + (doc_id % 20)::INT, 2000 + (doc_id % 7)::INT] AS y FROM documents)""")
-def q28_parallel_pad(spark, sf_dir):
-    """Lists zipped, the last value repeated."""
-    years = F.array((1990 + F.col("doc_id") % 20).cast("int"), (2000 + F.col("doc_id") % 7).cast("int"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(ordered.padded(F.split(F.substring("text", 1, 40), " "), years)).alias("x"))
-    return docs.select("doc_id", "x.item", "x.value")
-
-
 @query("""
     SELECT doc_id, unnest(t) AS item, unnest(list_transform(range(1, len(t) + 1), lambda k: y[least(k, len(y))])) AS value FROM (
         SELECT doc_id, string_split(text, ' ') AS t, [1990 + (doc_id % 20)::INT, 2000 + (doc_id % 7)::INT] AS y FROM documents)""")
-def q28_parallel_pad_whole(spark, sf_dir):
+def q28_parallel_pad(spark, sf_dir):
     """Lists zipped over whole texts, the last value repeated."""
     years = F.array((1990 + F.col("doc_id") % 20).cast("int"), (2000 + F.col("doc_id") % 7).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(ordered.padded(F.split("text", " "), years)).alias("x"))
@@ -422,40 +370,20 @@ def q29_multi_title_split(spark, sf_dir):
     return rows.select("p_partkey", "part", (F.col("p") + 1).alias("idx"))
 
 
-@query(f"""
-    WITH d AS (SELECT doc_id, substr(text, 1, 30) AS a, substr(text, 1, 12) AS q FROM documents),
-    k AS (SELECT *, {_NORM.format('a')} AS na, {_NORM.format('q')} AS nq FROM d)
-    SELECT doc_id, contains(strip_accents(lower(a)), regexp_split_to_array(trim(strip_accents(lower(q))), '\\s+')[-1]) AS agrees,
-           nq <> na AND starts_with(na, nq) AND length(nq) / length(na) < 0.6 AS overrun FROM k""")
-def q30_name_guards(spark, sf_dir):
-    """Last-name agreement and title overrun."""
-    long, short = F.substring("text", 1, 30), F.substring("text", 1, 12)
-    return table(spark, sf_dir, "documents").select("doc_id", X.last_word_in(long, short).alias("agrees"), X.overruns(short, long).alias("overrun"))
-
-
 @query(f"""
     WITH d AS (SELECT p_partkey, p_name AS a, p_type AS q FROM part),
     k AS (SELECT *, {_NORM.format('a')} AS na, {_NORM.format('q')} AS nq FROM d)
     SELECT p_partkey, contains(strip_accents(lower(a)), regexp_split_to_array(trim(strip_accents(lower(q))), '\\s+')[-1]) AS agrees,
            nq <> na AND starts_with(na, nq) AND length(nq) / length(na) < 0.6 AS overrun FROM k""")
-def q30_name_guards_whole(spark, sf_dir):
+def q30_name_guards(spark, sf_dir):
     """Last-name agreement and title overrun, of whole names and types."""
     return table(spark, sf_dir, "part").select("p_partkey", X.last_word_in(F.col("p_name"), F.col("p_type")).alias("agrees"), X.overruns(F.col("p_type"), F.col("p_name")).alias("overrun"))
 
 
-@query("""
-    SELECT doc_id, g[1] AS g1, g[2] AS g2, g[3] AS g3 FROM (
-        SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1:3] AS g FROM documents)""")
-def q31_genre_topk(spark, sf_dir):
-    """the first three parts between commas."""
-    g = X.comma_parts(F.substring("text", 1, 200), 3)
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.try_element_at(g, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
-
-
 @query("""
     SELECT doc_id, g[1] AS g1, g[2] AS g2, g[3] AS g3 FROM (
         SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> '')[1:3] AS g FROM documents)""")
-def q31_genre_topk_whole(spark, sf_dir):
+def q31_genre_topk(spark, sf_dir):
     """the first three parts between commas of whole texts."""
     g = X.comma_parts(F.col("text"), 3)
     return table(spark, sf_dir, "documents").select("doc_id", *[F.try_element_at(g, F.lit(k)).alias(f"g{k}") for k in (1, 2, 3)])
@@ -541,3 +469,209 @@ def q40_cache_hits(spark, sf_dir):
     cache = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("title"), F.lit(None).cast("int").alias("year")).distinct()
     hits, misses = enrich.cache_split(movies, cache)
     return hits.select(F.col("title").cast("long").alias("c_custkey"), F.lit(True).alias("hit")).unionByName(misses.select(F.col("title").cast("long").alias("c_custkey"), F.lit(False).alias("hit")))
+
+
+# -- functions over texts that are written and read back ------------------------------------------------------------
+
+
+@query("""
+    SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS en_date, lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_custkey % 60)::VARCHAR, 2, '0') AS clock,
+           strftime(o_orderdate, '%Y-%m-%d') AS heading_date, (o_custkey % 150 + 1)::INT AS length, year(o_orderdate)::INT AS year, NULL::VARCHAR AS ranged FROM orders""")
+def q41_written_dates(spark, sf_dir):
+    """English dates, headings, timestamps, clock times and leading numbers; a range has no date."""
+    c = F.col
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hour, minute = two(c("o_orderkey") % 24), two(c("o_custkey") % 60)
+    english = F.concat(F.upper(F.date_format("o_orderdate", "dd MMM yyyy")), F.lit(" WED "), hour, F.lit(":"), minute)
+    heading = T.heading_time(F.concat(F.date_format("o_orderdate", "MMM dd yyyy, EEEE, "), hour, F.lit(":"), minute, F.lit(" ("), (c("o_custkey") % 150 + 1).cast("string"), F.lit("')")))
+    stamp = T.iso_parts(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), hour, F.lit(":"), minute, F.lit(":00Z")))
+    told = T.en_date_time(english)
+    same = F.when((told["time"] == heading["time"]) & (told["time"] == stamp["time"]) & (told["time"] == T.pt_time(F.concat(hour, F.lit("h"), minute))) & (stamp["date"] == told["date"]), told["time"])
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", told["date"].alias("en_date"), same.alias("clock"), heading["date"].alias("heading_date"), heading["duration"].alias("length"),
+        T.leading_int(F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("/97")), 4).alias("year"), T.en_date_time(F.concat(F.lit("1 MAY – "), english))["date"].alias("ranged"),
+    )
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey, o_orderdate::DATE AS a, (o_orderdate + to_days((o_custkey % 40)::INT))::DATE AS b FROM orders),
+    -- the year is written once, so a range over New Year runs backwards and is empty
+    w AS (SELECT o_orderkey, make_date(year(b), month(a), least(day(a), 28)) AS a, make_date(year(b), month(b), least(day(b), 28)) AS b FROM r)
+    SELECT o_orderkey, count(*) AS days, min(d)::VARCHAR AS first_day, max(d)::VARCHAR AS last_day
+    FROM (SELECT o_orderkey, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM w WHERE a <= b) GROUP BY o_orderkey""")
+def q42_day_range(spark, sf_dir):
+    """the days of a written range."""
+    a = F.col("o_orderdate")
+    b = F.timestamp_add("DAY", (F.col("o_custkey") % 40).cast("int"), a)
+    part = lambda d: F.concat(F.least(F.dayofmonth(d), F.lit(28)).cast("string"), F.lit(" "), F.upper(F.date_format(d, "MMM")))
+    days = T.day_range(F.concat(part(a), F.lit(" – "), part(b), F.lit(" "), F.date_format(b, "yyyy")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(days).alias("d"))
+    return rows.groupBy("o_orderkey").agg(F.count("*").alias("days"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))
+
+
+_WORDS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+@query(f"""
+    SELECT p_partkey, {_WORDS.format('p_name')} || '’s' AS titled, {_WORDS.format('p_name')} || chr(39) || 's' AS worded, strip_accents('É ' || p_name || ' ção') AS bare,
+           regexp_replace(upper(p_name) || ' E ' || p_type, '[^A-Z0-9]+', '-', 'g') AS venue, {_WORDS.format('p_name')} AS shown,
+           p_name || CASE WHEN p_size % 2 = 0 THEN ', ' || p_brand ELSE '' END AS names,
+           CASE WHEN p_size % 3 = 0 THEN {_WORDS.format('p_name')} ELSE 'INDIE ' || p_name END AS indie, p_size % 3 = 0 AS is_indie FROM part""")
+def q43_titles(spark, sf_dir):
+    """cases, slugs and lists of names."""
+    name, capitals = F.col("p_name"), F.upper("p_name")
+    indie = X.indie_title(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("INDIE "), capitals, F.lit(" "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("INDIE "), name)), {})
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.title_case(F.concat(capitals, F.lit("'S"))).alias("titled"), X.word_case(F.concat(capitals, F.lit("'S"))).alias("worded"),
+        X.strip_accents(F.concat(F.lit("É "), name, F.lit(" ção"))).alias("bare"), X.venue_slug(F.concat(name, F.lit(" & é "), F.col("p_type"), F.lit("!"))).alias("venue"),
+        X.slug_title(F.replace(name, F.lit(" "), F.lit("-"))).alias("shown"), X.joined_names(name, F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("")).alias("names"),
+        indie["title"].alias("indie"), indie["is_indie"].alias("is_indie"),
+    )
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Presença do realizador e equipa' WHEN c_custkey % 3 = 1 THEN 'Presença da equipa e elenco' ELSE 'presença de ' || c_name END AS guests,
+           c_name AS head, CASE WHEN c_custkey % 2 = 0 THEN 'Sessão de Abertura' END AS suffix,
+           CASE c_custkey % 4 WHEN 0 THEN 'Legendas em inglês|Última sessão' WHEN 1 THEN 'Sessão especial' WHEN 2 THEN 'Última sessão' ELSE '' END AS keywords,
+           CASE c_custkey % 3 WHEN 0 THEN 'Com a presença de ' || c_name WHEN 1 THEN 'Conversa com ' || c_name END AS info,
+           CASE WHEN c_custkey % 2 = 0 THEN 'Drama' ELSE 'Ficção Científica' END || '|New Wave' AS genres FROM customer""")
+def q44_labels(spark, sf_dir):
+    """Labels and genres."""
+    from .sources.sao_jorge import genres
+
+    c, name = F.col("c_custkey"), F.col("c_name")
+    guests = F.when(c % 3 == 0, F.concat(F.lit("Presença do realizador, "), name)).when(c % 3 == 1, F.concat(F.lit("presença dos actores A, B e "), name)).otherwise(F.concat(F.lit("presença de "), name))
+    suffix = X.special_suffix(F.concat(name, F.when(c % 2 == 0, F.lit(" | SESSÃO DE ABERTURA")).otherwise("")))
+    line = F.when(c % 4 == 0, F.lit("with English subtitles - ÚLTIMA SESSÃO")).when(c % 4 == 1, F.lit("SESSAO ESPECIAL")).when(c % 4 == 2, F.lit("última sessao")).otherwise("21h00")
+    info = F.when(c % 3 == 0, F.concat(F.lit("Sessão com a presença de "), name)).when(c % 3 == 1, F.concat(F.lit("conversa com "), name)).otherwise(F.lit("legendado"))
+    classes = F.array(F.lit("event"), F.when(c % 2 == 0, F.lit("genre-drama")).otherwise("genre-ficcao-cientifica"), F.lit("genre-new-wave"), F.lit("genre-new-wave"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", X.presence_label(guests).alias("guests"), suffix["title"].alias("head"), suffix["label"].alias("suffix"), F.array_join(X.keyword_labels(line), "|").alias("keywords"),
+        X.info_label(info).alias("info"), F.array_join(genres(classes), "|").alias("genres"),
+    )
+
+
+@query("""
+    SELECT p_partkey, p_name || ' & <' || p_brand || '> é' AS plain, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS told,
+           array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS linked FROM part""")
+def q45_markup(spark, sf_dir):
+    """entities, texts by language, the titles of links."""
+    from .sources.fernando import bare_title, tidy
+
+    size, name = F.col("p_size") % 3, F.col("p_name")
+    entry = lambda k, v: F.concat(F.lit(f'{{"{k}": "<b>'), v, F.lit('</b>"}'))
+    value = F.when(size == 0, entry("all", name)).when(size == 1, entry("en", F.col("p_brand"))).otherwise(F.concat(F.lit(" <i>"), F.col("p_type"), F.lit("</i>")))
+    link = F.concat(F.lit("- <i>"), F.upper(name), F.lit("</i> <small>x</small> - última sessão <b>mostra</b>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(name, F.lit(" &amp; &lt;"), F.col("p_brand"), F.lit("&gt; &eacute;")).alias("coded"), value.alias("value"), link.alias("link"))
+    return rows.select("p_partkey", H.unescape(F.col("coded")).alias("plain"), H.localised(F.col("value")).alias("told"), tidy(H.unescape(bare_title(F.col("link")))).alias("linked"))
+
+
+# -- lookups, on movies and catalogues made of parts ----------------------------------------------------------------
+
+_MOVIES = """movies AS (SELECT p_partkey, p_name AS clean, CASE WHEN p_partkey % 4 = 0 THEN lower(p_type) END AS original, p_brand AS director, 1990 + p_size % 10 AS y FROM part)"""
+_ALIASES = """aliases AS (SELECT upper(p_name) || CASE WHEN p_size = 2 THEN '' ELSE ' (' || p_type || ')' END AS key, arg_max(replace(p_name, ' ', '-') || '-1991', p_partkey) AS slug, arg_max(p_name || ' ii', p_partkey) AS title FROM part WHERE p_size IN (2, 3) GROUP BY 1),
+    asked AS (SELECT m.*, coalesce(a.slug, b.slug) AS alias_slug, coalesce(a.title, b.title) AS alias_title FROM movies m
+        LEFT JOIN aliases a ON a.key = upper(clean) || CASE WHEN original IS NULL THEN '' ELSE ' (' || upper(original) || ')' END LEFT JOIN aliases b ON b.key = upper(clean))"""
+_LBXD = """lbxd AS (SELECT slug, CASE WHEN k % 3 <> 0 THEN k % 5 END AS rating, CASE WHEN k % 2 = 0 THEN 'p' || k END AS poster, CASE WHEN k % 4 <> 0 THEN brand END AS lb_director FROM (
+        SELECT slug, max(p_partkey) AS k, min(p_brand) AS brand FROM (
+            SELECT p_partkey, p_brand, replace(p_name, ' ', '-') || '-' || (1990 + p_size % 10) AS slug FROM part WHERE p_size % 2 = 0
+            UNION ALL SELECT p_partkey, p_brand, lower(p_type) FROM part UNION ALL SELECT p_partkey, p_brand, replace(p_name, ' ', '-') FROM part) GROUP BY slug)),
+    slugs AS (SELECT p_partkey, director, unnest(s) AS slug, generate_subscripts(s, 1) AS pos FROM (SELECT *, [alias_slug, original || '-' || y, original || '-' || (y - 1), original || '-' || (y - 2), original,
+        replace(clean, ' ', '-') || '-' || y, replace(clean, ' ', '-') || '-' || (y - 1), replace(clean, ' ', '-') || '-' || (y - 2), replace(clean, ' ', '-')] AS s FROM asked)),
+    best AS (SELECT * FROM (SELECT p_partkey, rating, poster, lb_director, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN coalesce(rating, 0) <> 0 THEN 0 ELSE 1 END, pos) AS n
+        FROM slugs JOIN lbxd USING (slug) WHERE (coalesce(rating, 0) <> 0 OR poster IS NOT NULL) AND (lb_director IS NULL OR contains(lower(lb_director), lower(director)))) WHERE n = 1)"""
+_OMDB = """omdb AS (SELECT t, qy, k % 7 <> 0 AS good, (qy + k % 5)::VARCHAR AS yr, CASE WHEN k % 6 = 0 THEN 'N/A' ELSE brand END AS who, t || CASE WHEN k % 5 = 0 THEN ' and what came after that' ELSE '' END AS found, CASE WHEN k % 3 = 0 THEN 'N/A' ELSE 'o' || k END AS poster FROM (
+        SELECT t, qy, max(p_partkey) AS k, max(p_brand) AS brand FROM (SELECT p_partkey, p_brand, p_name AS t, CASE WHEN p_size % 3 > 0 THEN 1990 + p_size % 10 END AS qy FROM part
+            UNION ALL SELECT p_partkey, p_brand, p_name || ' ii', 1990 + p_size % 10 FROM part UNION ALL SELECT p_partkey, p_brand, upper(p_type), NULL FROM part) GROUP BY t, qy)),
+    attempts AS (SELECT p_partkey, director, unnest(a).t AS t, unnest(a).qy AS qy, generate_subscripts(a, 1) AS pos FROM (SELECT *, CASE WHEN original IS NULL THEN
+        [{'t': clean, 'qy': y}, {'t': clean, 'qy': y - 1}, {'t': clean, 'qy': y - 2}, {'t': alias_title, 'qy': y}, {'t': alias_title, 'qy': y - 1}, {'t': alias_title, 'qy': y - 2}, {'t': clean, 'qy': NULL}, {'t': alias_title, 'qy': NULL}]
+        ELSE [{'t': upper(original), 'qy': y}, {'t': upper(original), 'qy': y - 1}, {'t': upper(original), 'qy': y - 2}, {'t': upper(original), 'qy': NULL},
+        {'t': alias_title, 'qy': y}, {'t': alias_title, 'qy': y - 1}, {'t': alias_title, 'qy': y - 2}, {'t': alias_title, 'qy': NULL}] END AS a FROM asked)),
+    taken AS (SELECT * FROM (SELECT p_partkey, found, yr, who, poster, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS n FROM attempts JOIN omdb ON omdb.t = attempts.t AND omdb.qy IS NOT DISTINCT FROM attempts.qy
+        WHERE good AND who <> 'N/A' AND contains(lower(who), lower(director)) AND coalesce(abs(yr::INT - attempts.qy) <= 2, true) AND NOT (found <> attempts.t AND length(attempts.t) / length(found) < 0.6)) WHERE n = 1)"""
+
+
+def _movies(spark, sf_dir):
+    part, c = table(spark, sf_dir, "part"), F.col
+    have = {
+        "id": c("p_partkey").cast("string"), "src_rank": F.lit(0), "src_ord": c("p_partkey").cast("int"), "director": c("p_brand"), "year": (1990 + c("p_size") % 10).cast("int"),
+        "title": F.concat("p_name", F.when(c("p_partkey") % 4 == 0, F.concat(F.lit(" ("), c("p_type"), F.lit(")"))).otherwise("")), "poster": F.when(c("p_size") % 3 == 0, F.lit("own.jpg")).when(c("p_size") % 3 == 1, F.lit("placeholder-2-i.jpg")),
+        "duration": F.when(c("p_size") % 4 == 0, c("p_size")), "sessions": F.when(c("p_size") % 5 > 0, F.array(F.struct(F.concat(F.lit("2026-01-"), F.lpad(c("p_size").cast("string"), 2, "0")).alias("date"), F.lit("10:00").alias("time"), c("p_type").alias("cinema"), F.lit(None).cast("array<string>").alias("labels")))),
+    }
+    return as_movies(part.select(*[v.alias(k) for k, v in have.items()]), 0)
+
+
+def _aliases(spark, sf_dir, value):
+    part = table(spark, sf_dir, "part").where("p_size in (2, 3)")
+    key = F.concat(F.upper("p_name"), F.when(F.col("p_size") == 2, F.lit("")).otherwise(F.concat(F.lit(" ("), F.col("p_type"), F.lit(")"))))
+    return part.select(key.alias("key"), value.alias("value"), F.col("p_partkey").cast("int").alias("ordinal"))
+
+
+def _slug_aliases(spark, sf_dir):
+    return _aliases(spark, sf_dir, F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-1991")))
+
+
+def _title_aliases(spark, sf_dir):
+    return _aliases(spark, sf_dir, F.concat("p_name", F.lit(" ii")))
+
+
+def _lbxd(spark, sf_dir):
+    part, c = table(spark, sf_dir, "part"), F.col
+    slug = F.replace("p_name", F.lit(" "), F.lit("-"))
+    dated = F.when(c("p_size") % 2 == 0, F.concat(slug, F.lit("-"), (1990 + c("p_size") % 10).cast("string")))
+    rows = part.select("p_partkey", "p_brand", F.explode(F.array_compact(F.array(dated, F.lower("p_type"), slug))).alias("slug")).groupBy("slug").agg(F.max("p_partkey").alias("k"), F.min("p_brand").alias("b"))
+    none = F.lit(None).cast("string")
+    return rows.select("slug", F.when(c("k") % 3 != 0, (c("k") % 5).cast("double")).alias("rating"), F.when(c("k") % 2 == 0, F.concat(F.lit("p"), c("k").cast("string"))).alias("poster"), none.alias("description"), F.lit(None).cast("array<string>").alias("genres"),
+                       none.alias("country"), F.when(c("k") % 4 != 0, c("b")).alias("lb_director"), none.alias("lb_director_slug"), F.lit(None).cast("int").alias("lb_year"))
+
+
+def _omdb(spark, sf_dir):
+    part, c = table(spark, sf_dir, "part"), F.col
+    year = (1990 + c("p_size") % 10).cast("int")
+    asked = F.array(F.struct(c("p_name").alias("t"), F.when(c("p_size") % 3 > 0, year).alias("qy")), F.struct(F.concat("p_name", F.lit(" ii")).alias("t"), year.alias("qy")), F.struct(F.upper("p_type").alias("t"), F.lit(None).cast("int").alias("qy")))
+    rows = part.select("p_partkey", "p_brand", F.inline(asked)).groupBy("t", "qy").agg(F.max("p_partkey").alias("k"), F.max("p_brand").alias("b"))
+    na, none = F.lit("N/A"), F.lit(None).cast("string")
+    return rows.select(c("t").alias("query_title"), c("qy").alias("query_year"), F.when(c("k") % 7 != 0, "True").otherwise("False").alias("Response"), F.concat("t", F.when(c("k") % 5 == 0, F.lit(" and what came after that")).otherwise("")).alias("Title"),
+                       (c("qy") + c("k") % 5).cast("string").alias("Year"), F.when(c("k") % 6 == 0, na).otherwise(c("b")).alias("Director"), F.when(c("k") % 3 == 0, na).otherwise(F.concat(F.lit("o"), c("k").cast("string"))).alias("Poster"),
+                       none.alias("Genre"), none.alias("Plot"), none.alias("Country"), F.lit("95 min").alias("Runtime"))
+
+
+@query(f"WITH {_MOVIES}, {_ALIASES}, {_LBXD} SELECT p_partkey::VARCHAR AS id, rating::DOUBLE AS rating, poster, lb_director FROM best")
+def q46_catalogue_lookup(spark, sf_dir):
+    """Aliases, then slugs by title and year; the first with a rating, else with a poster, whose director agrees."""
+    return enrich.lbxd_lookup(_movies(spark, sf_dir), _lbxd(spark, sf_dir), _slug_aliases(spark, sf_dir)).select("id", "rating", "poster", "lb_director")
+
+
+@query(f"WITH {_MOVIES}, {_ALIASES}, {_OMDB} SELECT p_partkey::VARCHAR AS id, found AS title, yr AS year, who AS director FROM taken")
+def q47_title_lookup(spark, sf_dir):
+    """Attempts by title and year; the first whose director, year and title agree."""
+    found = enrich.omdb_lookup(_movies(spark, sf_dir), _omdb(spark, sf_dir), _title_aliases(spark, sf_dir))
+    return found.select("id", F.col("om_Title").alias("title"), F.col("om_Year").alias("year"), F.col("om_Director").alias("director"))
+
+
+@query(f"""
+    WITH {_MOVIES}, {_ALIASES}, {_LBXD}, {_OMDB}
+    SELECT p_partkey::VARCHAR AS id, coalesce(b.poster, CASE WHEN p_size % 3 = 0 THEN 'own.jpg' END, nullif(t.poster, 'N/A')) AS poster, nullif(b.rating, 0)::DOUBLE AS rating,
+           1990 + p_size % 10 AS year, p_brand AS director, CASE WHEN p_size % 4 = 0 AND p_size <> 0 THEN p_size WHEN t.p_partkey IS NOT NULL THEN 95 END AS duration
+    FROM part LEFT JOIN best b USING (p_partkey) LEFT JOIN taken t USING (p_partkey)""")
+def q48_resolved_fields(spark, sf_dir):
+    """2.H: which value wins for poster, rating, year, director and length."""
+    done = enrich.enrich(_movies(spark, sf_dir), _lbxd(spark, sf_dir), _omdb(spark, sf_dir), _slug_aliases(spark, sf_dir), _title_aliases(spark, sf_dir))
+    return done.select("id", "poster", "rating", "year", "director", "duration")
+
+
+@query("""
+    SELECT p_partkey::VARCHAR AS id, '2026-01-' || lpad(p_size::VARCHAR, 2, '0') AS date FROM part WHERE p_size % 5 > 0 AND p_size >= 20""")
+def q49_upcoming(spark, sf_dir):
+    """Sessions from a day on; movies without any go."""
+    shown = refresh.upcoming(_movies(spark, sf_dir), F.lit("2026-01-20").cast("date"))
+    return shown.select("id", F.explode("sessions").alias("s")).select("id", "s.date")
+
+
+@query("""
+    SELECT count(*) AS movies, count(*) FILTER (WHERE p_size % 5 > 0) AS sessions, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS failed FROM part""")
+def q50_metrics(spark, sf_dir):
+    """K3: movies, sessions, failed venues."""
+    failed = table(spark, sf_dir, "region").select(F.col("r_name").alias("cinema"), F.lit("x").alias("error"))
+    movies = _movies(spark, sf_dir).withColumn("sessions", F.coalesce("sessions", F.array().cast(f"array<{SESSION}>")))
+    return publish.metrics(movies, failed).select("movies", F.col("sessions").cast("long").alias("sessions"), F.array_join("failed", ",").alias("failed"))

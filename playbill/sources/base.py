@@ -27,7 +27,7 @@ class Source:
 
 
 def pages(landing: DataFrame, source: str, like: str = "") -> DataFrame:
-    """The latest page of each address that was fetched and is not empty: url, body."""
+    """The latest page of each address that was fetched and is not empty: url, body. Retries are the fetch layer's."""
     good = landing.where((F.col("source") == source) & (F.col("status") == 200) & truthy("body") & F.col("url").rlike(like))
     return good.groupBy("url").agg(F.max_by("body", "fetched_at").alias("body"))
 
@@ -56,6 +56,11 @@ def gather(rows: DataFrame, keys: list[str], heads: list[str], dedupe: bool = Tr
     return grouped.withColumn("sessions", F.transform("_s", lambda x: x["s"])).drop("_s")
 
 
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """src_ord: the movies' places by the order columns, which are total. One venue's listing, so one partition is enough."""
+    return df.withColumn("src_ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
 def as_movies(df: DataFrame, rank: int) -> DataFrame:
     """The movie's columns, those that a source lacks as null; genres are never null."""
     have = set(df.columns)

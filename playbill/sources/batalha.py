@@ -10,7 +10,7 @@ from ..functions.temporal import lisbon_time
 from ..functions.text import capitals, joined_names
 from ..functions.truthy import first_truthy, truthy
 from ..operators.ordered import map_order
-from .base import as_movies, gather, pages, session
+from .base import as_movies, gather, numbered, pages, session
 
 CINEMA = "batalha"
 BASE = "https://www.batalhacentrodecinema.pt"
@@ -28,7 +28,7 @@ def parse(landing: DataFrame, asof: Column, rank: int, civil_time: bool = False)
     local = lisbon_time(F.col("i.datetime_date").try_cast("timestamp"), civil_time)
     label = H.unescape(H.localised(F.col("i.text_presencas")))
     rows = items.withColumn("label", label).withColumn("session", session(F.date_format(local, "yyyy-MM-dd"), F.date_format(local, "HH:mm"), CINEMA, F.filter(F.array("label"), lambda x: F.coalesce(x != "", F.lit(False)))))
-    rows = rows.select(F.col("ord").alias("item"), "session", F.posexplode(ids).alias("pos", "film")).withColumn("ord", F.col("item") * 1000 + F.col("pos"))
+    rows = rows.select(F.col("ord").alias("item"), "session", F.posexplode(ids).alias("pos", "film")).withColumn("ord", F.struct("item", "pos"))
     movies = gather(rows, ["film"], [])
     # By id, then by id in lower case
     related = body.select(F.explode("b.related").alias("rid", "r"))
@@ -39,7 +39,7 @@ def parse(landing: DataFrame, asof: Column, rank: int, civil_time: bool = False)
     movies = movies.withColumns({k: text(c) for k, c in {"shown": "text_display_title", "plain": "text_title", "slug": "_slug", "d1": "text_director1", "d2": "text_director2", "poster": "image_photo"}.items()})
     fallback = capitals(F.lower(F.replace(first_truthy("slug", "film"), F.lit("-"), F.lit(" "))))
     return as_movies(
-        movies.withColumns(
+        numbered(movies, "src_ord").withColumns(
             {
                 "id": F.concat(F.lit("batalha_"), "film"), "title": first_truthy(F.col("shown"), F.col("plain"), fallback), "director": joined_names(F.col("d1"), F.col("d2")),
                 "year": F.col("r.number_year_of_production").cast("int"), "duration": F.col("r.number_minutes").cast("int"),

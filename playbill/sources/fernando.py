@@ -17,27 +17,27 @@ CINEMA = "fernando"
 BASE = "https://cinemafernandolopes.pt"
 _TIME = r"(?<![:/\d])(\d{1,2}h\d{2})(?!\d)"
 _DASH = r"[-–]"
-# Notes that follow a title
-_NOTES = (r"mostra\s+essencial", r"última\s+sessão", r"with\s+english\s+subtitles")
+# Page patterns, and notes that follow a title
+LINK = r"<a\s[^>]*href=[\"']([^\"'#?][^\"']*)[\"'][^>]*>(.*?)</a>"
+_BOLD_NOTE = r"(?siu)<b>.*?(?:mostra|última\s+sessão|essencial|with\s+english).*?</b>"
+_SMALL = r"(?s)<small>.*?</small>"
+_NOTE = r"(?:mostra\s+essencial|última\s+sessão|with\s+english\s+subtitles)"
 
 
-def anchor_title(raw: Column) -> Column:
-    """the title of a link, without notes, small print and dashes; capitals become title case."""
-    text = F.regexp_replace(raw, r"(?siu)<b>.*?(?:mostra|última\s+sessão|essencial|with\s+english).*?</b>", "")
-    text = H.strip_tags(F.regexp_replace(text, r"(?s)<small>.*?</small>", ""))
-    for note in _NOTES:
-        text = F.regexp_replace(text, rf"(?iu)\s*{_DASH}?\s*{note}.*$", "")
-    return tidy(F.regexp_replace(F.regexp_replace(text, rf"^\s*{_DASH}\s*", ""), rf"\s*{_DASH}\s*$", ""))
+def bare_title(raw: Column) -> Column:
+    """F11, first half: a link's markup without notes and small print; entities are still there, as they may look like tags."""
+    return F.regexp_replace(H.strip_tags(F.regexp_replace(F.regexp_replace(raw, _BOLD_NOTE, ""), _SMALL, "")), rf"(?iu)\s*{_DASH}?\s*{_NOTE}.*$", "")
 
 
 def tidy(text: Column) -> Column:
-    text = F.btrim(F.regexp_replace(text, r"\s+", " "))
+    """F11, second half: single blanks, no dash at either end, and title case for capitals."""
+    text = F.btrim(F.regexp_replace(F.regexp_replace(text, rf"^\s*{_DASH}\s*|\s*{_DASH}\s*$", ""), r"\s+", " "))
     return F.when((F.upper(text) == text) & (F.length(text) > 1), capitals(F.lower(text))).otherwise(text)
 
 
 def schedule(landing: DataFrame, asof: Column) -> DataFrame:
     """(pos, title, slug, date, time, labels) of every session."""
-    body = pages(landing, CINEMA, "Programacao").select(H.unescape(F.col("body")).alias("body"))
+    body = pages(landing, CINEMA, "Programacao").select("body")
     start = F.instr("body", ">Programação<")
     body = body.select(F.when(start > 0, F.substr("body", start)).otherwise(F.col("body")).alias("body"))
     lines = body.select(F.posexplode(F.split(F.regexp_replace("body", r"(?i)<br\s*/?>|</h2>", "\n"), "\n")).alias("pos", "raw")).withColumn("line", F.btrim("raw")).where("line <> ''")
@@ -48,10 +48,10 @@ def schedule(landing: DataFrame, asof: Column) -> DataFrame:
     rows = dated.where("date is not null").withColumn("time", pt_time(F.nullif(clock, F.lit("")))).where("time is not null")
     rows = rows.where(~F.col("line").rlike("(?i)(?:screenings|newsletter|subscriv)"))
     rows = rows.withColumn("rest", F.substr("line", F.instr("line", clock)))
-    link = r"<a\s[^>]*href=[\"']([^\"'#?][^\"']*)[\"'][^>]*>(.*?)</a>"
-    slugs = F.filter(F.transform(H.all_of(F.col("rest"), link, 1), lambda s: F.btrim(s)), lambda s: s != "")
-    titles = F.filter(F.transform(H.all_of(F.col("rest"), link, 2), lambda t: anchor_title(t)), lambda t: F.length(t) > 2)
-    plain = F.regexp_replace(F.regexp_replace(H.strip_tags(F.col("rest")), rf"^\s*\d{{1,2}}h\d{{2}}\s*{_DASH}?\s*", ""), rf"(?iu)\s*{_DASH}\s*sess[aã]o\s+especial.*$", "")
+    slugs = F.filter(F.transform(H.all_of(F.col("rest"), LINK, 1), lambda s: F.btrim(s)), lambda s: s != "")
+    rows = rows.withColumn("linked", H.unescape_all(F.transform(H.all_of(F.col("rest"), LINK, 2), lambda t: bare_title(t))))
+    titles = F.filter(F.transform("linked", lambda t: tidy(t)), lambda t: F.length(t) > 2)
+    plain = F.regexp_replace(F.regexp_replace(H.unescape(H.strip_tags(F.col("rest"))), rf"^\s*\d{{1,2}}h\d{{2}}\s*{_DASH}?\s*", ""), rf"(?iu)\s*{_DASH}\s*sess[aã]o\s+especial.*$", "")
     rows = rows.withColumn("title", first_truthy(F.try_element_at(titles, F.lit(1)), tidy(plain))).where(F.length("title") >= 2)
     rows = rows.withColumn("slug", F.coalesce(F.try_element_at(slugs, F.lit(1)), venue_slug(F.col("title"))))
     rows = rows.select("pos", "title", "slug", "date", "time", keyword_labels(F.col("line")).alias("labels"))
@@ -61,18 +61,18 @@ def schedule(landing: DataFrame, asof: Column) -> DataFrame:
 def film_pages(landing: DataFrame) -> DataFrame:
     """(slug, page_title, director, year, duration, genres, poster)."""
     page = F.col("body")
-    heads = F.filter(F.transform(H.all_of(page, r"<h1[^>]*>(.*?)</h1>"), lambda h: F.btrim(H.strip_tags(h))), lambda h: (F.length(h) > 2) & ~h.rlike("[{}]"))
-    parts = F.transform(F.split(H.inner(page, r"(?i)<small>([^<]{8,}MIN[^<]*)</small>"), " / "), lambda p: F.btrim(p))
+    heads = F.filter(F.transform(H.unescape_all(F.transform(H.all_of(page, r"<h1[^>]*>(.*?)</h1>"), lambda h: H.strip_tags(h))), lambda h: F.btrim(h)), lambda h: (F.length(h) > 2) & ~h.rlike("[{}]"))
+    parts = F.transform(F.split(H.unescape(H.inner(page, r"(?i)<small>([^<]{8,}MIN[^<]*)</small>")), " / "), lambda p: F.btrim(p))
     year, length = r"^(19|20)\d{2}$", r"(?i)^\d{2,3}\s*MIN\.?$"
     genre = lambda p: ~p.rlike(year) & ~p.rlike(length) & ~p.rlike(r'^M/\d+$|^["“”]|^\d') & (F.length(p) > 1)
     images = F.transform(
         H.all_of(page, r"<img\s([^>]+)>"),
         lambda a: F.struct(F.regexp_extract(a, r'width="(\d+)"', 1).try_cast("int").alias("w"), F.regexp_extract(a, r'height="(\d+)"', 1).try_cast("int").alias("h"), F.regexp_extract(a, r'data-src="(https://freight\.cargo\.site[^"]+)"', 1).alias("src")),
     )
-    films = pages(landing, CINEMA).where("url not like '%Programacao'").select(F.regexp_replace("url", f"^{BASE}/", "").alias("slug"), H.unescape(page).alias("body"))
+    films = pages(landing, CINEMA).where("url not like '%Programacao'").select(F.regexp_replace("url", f"^{BASE}/", "").alias("slug"), "body")
     return films.select(
         "slug", F.try_element_at(heads, F.lit(1)).alias("page_title"),
-        F.nullif(F.btrim(H.strip_tags(H.inner(page, r"(?iu)<h2>\s*<small>\s*REALIZA[ÇC][ÃA]O\s*</small>\s*</h2>\s*<h2>(.*?)</h2>"))), F.lit("")).alias("director"),
+        F.nullif(F.btrim(H.unescape(H.strip_tags(H.inner(page, r"(?iu)<h2>\s*<small>\s*REALIZA[ÇC][ÃA]O\s*</small>\s*</h2>\s*<h2>(.*?)</h2>")))), F.lit("")).alias("director"),
         F.try_element_at(F.filter(parts, lambda p: p.rlike(year)), F.lit(-1)).try_cast("int").alias("year"),
         F.regexp_extract(F.try_element_at(F.filter(parts, lambda p: p.rlike(length)), F.lit(-1)), r"\d+", 0).try_cast("int").alias("duration"),
         F.filter(parts, genre).alias("genres"), F.try_element_at(F.filter(images, lambda i: (i["w"] < i["h"]) & (i["src"] != "")), F.lit(1))["src"].alias("poster"),

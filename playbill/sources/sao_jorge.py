@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import capital_first, capitals, special_suffix
-from .base import as_movies, gather, pages, session
+from .base import as_movies, gather, numbered, pages, session
 
 CINEMA = "sao_jorge"
 EVENTS = "ARRAY<STRUCT<id: STRING, link: STRING, class_list: ARRAY<STRING>, title: STRUCT<rendered: STRING>, _embedded: STRUCT<`wp:featuredmedia`: ARRAY<STRUCT<source_url: STRING>>>>>"
@@ -28,15 +28,19 @@ _GUESTS = (
     r"(?iuU)presen[çc]a\s+d[oa]\s+realizador[a]?(?:\s+e\s+[\w\s]+)?",
     r"(?iuU)seguida\s+de\s+(debate|conversa)",
 )
+# A page's tag, its length in minutes, and its pairs of day and hour
+TAG = r'<span[^>]+class="[^"]*\btag\b[^"]*"[^>]*>([^<]{4,80})</span>'
+MINUTES = r"\b(\d{2,3})['′’]"
+SHOWING = r'<time datetime="(\d{4}-\d{2}-\d{2})"[^>]*>.*?<time datetime="(\d{2}:\d{2})"'
 
 
 def metadata(text: Column, page: Column) -> dict[str, Column]:
     """length, director, festival and guest from a page and its visible text."""
     raw = F.btrim(F.regexp_replace(F.regexp_extract(text, _DIRECTOR, 1), _ENDS, ""))
-    tag = F.btrim(H.unescape(F.regexp_extract(page, r'<span[^>]+class="[^"]*\btag\b[^"]*"[^>]*>([^<]{4,80})</span>', 1)))
+    tag = F.btrim(H.unescape(F.regexp_extract(page, TAG, 1)))
     guest = F.coalesce(*[F.nullif(F.regexp_extract(text, g, 0), F.lit("")) for g in _GUESTS])
     return {
-        "duration": F.regexp_extract(text, r"\b(\d{2,3})['′’]", 1).try_cast("int"),
+        "duration": F.regexp_extract(text, MINUTES, 1).try_cast("int"),
         "director": F.nullif(raw, F.lit("")),
         "festival": F.when((tag != "") & ~tag.rlike(r"^M/\d+$"), tag),
         "guest": capital_first(F.btrim(guest)),
@@ -58,10 +62,9 @@ def parse(landing: DataFrame, asof: Column, rank: int) -> DataFrame:
     details = pages(landing, CINEMA).select("url", F.col("body").alias("page"), H.unescape(H.visible_text(F.col("body"))).alias("text"))
     joined = events.join(details, events["e.link"] == details["url"])
     joined = joined.withColumns(metadata(F.col("text"), F.col("page"))).withColumn("labels", F.array_compact(F.array("t.label", "guest")))
-    pair = r'<time datetime="(\d{4}-\d{2}-\d{2})"[^>]*>.*?<time datetime="(\d{2}:\d{2})"'
-    pairs = F.arrays_zip(H.all_of(F.col("page"), pair, 1).alias("d"), H.all_of(F.col("page"), pair, 2).alias("h"))
+    pairs = F.arrays_zip(H.all_of(F.col("page"), SHOWING, 1).alias("d"), H.all_of(F.col("page"), SHOWING, 2).alias("h"))
     rows = joined.select("*", F.posexplode(pairs).alias("pos", "x")).withColumn("session", session(F.col("x.d"), F.col("x.h"), CINEMA, F.col("labels")))
-    rows = rows.select((F.col("ord") * 1000 + F.col("pos")).alias("ord"), F.col("e.id").alias("event"), F.col("t.title").alias("title"), "director", "duration", "festival", F.try_element_at(F.col("e._embedded.wp:featuredmedia"), F.lit(1))["source_url"].alias("poster"),
+    rows = rows.select(F.struct("ord", "pos").alias("ord"), F.col("e.id").alias("event"), F.col("t.title").alias("title"), "director", "duration", "festival", F.try_element_at(F.col("e._embedded.wp:featuredmedia"), F.lit(1))["source_url"].alias("poster"),
                        genres(F.col("e.class_list")).alias("genres"), F.col("e.link").alias("link"), "session")
     movies = gather(rows, ["event"], ["title", "director", "duration", "festival", "poster", "genres", "link"])
-    return as_movies(movies.withColumns({"title": H.unescape(F.col("title")), "id": F.concat(F.lit("sao_jorge_"), "event")}), rank)
+    return as_movies(numbered(movies, "src_ord").withColumns({"title": H.unescape(F.col("title")), "id": F.concat(F.lit("sao_jorge_"), "event")}), rank)

@@ -9,10 +9,10 @@ from ..functions import html as H
 from ..functions.text import last_segment
 from ..functions.truthy import first_truthy, truthy
 from ..operators.ordered import joined_list
-from .base import as_movies, gather, pages, session
+from .base import as_movies, gather, numbered, pages, session
 
 CINEMA = "trindade"
-BASE = "https://www.cinematrindade.pt"
+BASE = "https://cinematrindade.pt"
 FILM = "id STRING, slug STRING, title STRING, year INT, runtime INT, poster STRING, directors ARRAY<STRING>, sessions ARRAY<STRUCT<date: STRING, time: STRUCT<start: STRING>, notes: STRING>>"
 
 
@@ -33,13 +33,13 @@ def parse(landing: DataFrame, asof: Column, rank: int) -> DataFrame:
     rows = rows.where(truthy("s.date") & truthy("s.time.start") & (F.col("s.date") >= F.date_format(asof, "yyyy-MM-dd")))
     note = F.btrim(F.coalesce("s.notes", F.lit("")))
     labels = F.filter(F.array(note), lambda n: n != "")
-    rows = rows.withColumn("session", session(F.col("s.date"), F.col("s.time.start"), CINEMA, labels)).withColumn("ord", F.col("ord") * 100_000 + F.col("pos"))
+    rows = rows.withColumn("session", session(F.col("s.date"), F.col("s.time.start"), CINEMA, labels)).withColumn("ord", F.struct("ord", "pos"))
     movies = gather(rows, ["film"], ["title", "year", "runtime", "slug", "poster", "directors"], dedupe=False)
     people = pages(landing, CINEMA, "/director").select(last_segment(F.col("url")).alias("did"), F.get_json_object("body", "$.title.rendered").alias("raw")).withColumn("name", F.btrim(H.unescape(F.col("raw"))))
     names = joined_list(movies.where(F.size("directors") > 0), "directors", people, "did", "name", ["film"])
     size = lambda s: F.get_json_object("body", f"$.media_details.sizes.{s}.source_url")
     media = pages(landing, CINEMA, "/media").select(last_segment(F.col("url")).alias("mid"), first_truthy(size("medium_large"), size("medium"), F.get_json_object("body", "$.source_url")).alias("image"))
-    movies = movies.join(names, "film", "left").join(media, movies["poster"] == media["mid"], "left")
+    movies = numbered(movies, "src_ord").join(names, "film", "left").join(media, movies["poster"] == media["mid"], "left")
     return as_movies(
         movies.withColumns({"id": F.concat(F.lit("trindade_"), "film"), "director": F.col("names"), "poster": F.col("image"), "duration": F.col("runtime"), "link": F.concat(F.lit(f"{BASE}/pt/filmes/"), "slug")}), rank
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..scratch import remove
 
 
 def latest(pages: DataFrame) -> DataFrame:
@@ -20,15 +21,20 @@ def latest(pages: DataFrame) -> DataFrame:
 def listen(spark: SparkSession, path: str, state: str, checkpoint: str, refresh: Callable[[DataFrame, int], None]):
     """Start the stream: `refresh(landing, batch)` gets the newest page of every address.
 
-    The state is a table for each batch, so a batch that is run again after a failure gives the same table.
+    The state is a table for each batch, so a batch that is run again after a failure gives the same table; the two last are
+    kept. A batch whose predecessor's state is gone fails, as it would lose all earlier pages.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         fresh = batch
-        if number and _exists(spark, f"{state}/{number - 1}"):
+        if number:
+            if not _exists(spark, f"{state}/{number - 1}"):
+                raise RuntimeError(f"the state of batch {number - 1} is missing in {state}")
             fresh = spark.read.schema(model.LANDING).parquet(f"{state}/{number - 1}").unionByName(batch)
         latest(fresh).write.mode("overwrite").parquet(f"{state}/{number}")
         refresh(spark.read.schema(model.LANDING).parquet(f"{state}/{number}"), number)
+        if number > 1:
+            remove(spark, f"{state}/{number - 2}")
 
     arriving = spark.readStream.schema(model.LANDING).parquet(path)
     return arriving.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

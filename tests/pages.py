@@ -57,8 +57,13 @@ PAGES = [
     ("sao_jorge", "https://s/e1", "<script>x</script><span class='a'></span><span class=\"big tag x\">Festa do Cinema</span> 127' Realização João Canijo Com Rita Blanco. Conversa com Rita Silva, hoje "
      '<time datetime="2026-03-30">seg</time> <time datetime="20:00">20</time><time datetime="2026-03-30">seg</time> <time datetime="20:00">20</time><time datetime="2026-03-29">dom</time> <time datetime="19:00">19</time>'),
     # events with a page each, and festival days
-    ("culturgest", "https://www.culturgest.pt/programacao/um-filme/", '<div class="event-info-block date"><p>13 MAY 2026<br />WED 19:00</p></div><header class="event-detail-header"><h1>Ana Vaz</h1><p class="subtitle">Um Filme</p></header><div class="x highlight-banner y"><source srcset="/a.jpg"></div>'),
-    ("culturgest", "https://www.culturgest.pt/programacao/velho/", '<div class="event-info-block date"><p>13 JAN 2026<br />WED 19:00</p></div><header class="event-detail-header"><h1>Velho</h1></header>'),
+    ("culturgest", "https://www.culturgest.pt/en/whats-on/schedule/events/?typology=5", '<a href="/en/whats-on/full-view/">x</a><a href="/en/whats-on/indie/?a=1">I</a><a href="/en/whats-on/velho/">v</a><a href="/en/whats-on/um-filme/#top">f</a>'
+     '<a href="/en/whats-on/indie">again</a><a href="/en/whats-on/another/">z</a><a href="/en/about">no</a>'),
+    ("culturgest", "https://www.culturgest.pt/en/whats-on/indie", 'IndieLisboa <div class="event-info-block date"><p>30 APR – 3 MAY 2026</p></div><header class="event-detail-header"><h1>Festival</h1></header>'),
+    ("culturgest", "https://www.culturgest.pt/en/whats-on/another", '<div class="event-info-block date"><p>14 MAY 2026<br />THU 21:30</p></div><header class="event-detail-header"><h1>Another &lt;3&gt;</h1></header>'),
+    ("culturgest", "https://www.culturgest.pt/en/whats-on/unlisted", '<div class="event-info-block date"><p>14 MAY 2026<br />THU 21:30</p></div><header class="event-detail-header"><h1>Unlisted</h1></header>'),
+    ("culturgest", "https://www.culturgest.pt/en/whats-on/um-filme", '<div class="event-info-block date"><p>13 MAY 2026<br />WED 19:00</p></div><header class="event-detail-header"><h1>Ana Vaz</h1><p class="subtitle">Um Filme</p></header><div class="x highlight-banner y"><source srcset="/a.jpg"></div>'),
+    ("culturgest", "https://www.culturgest.pt/en/whats-on/velho", '<div class="event-info-block date"><p>13 JAN 2026<br />WED 19:00</p></div><header class="event-detail-header"><h1>Velho</h1></header>'),
     ("culturgest", "https://indielisboa.com/en/festival/schedule/?caldt=2026-05-02", '<h2>X</h2><a href="https://indielisboa.com/en/screening/aa"><b>Blue Heron</b></a><h2>May 02 2026, Saturday, 15:00 (96\')</h2><h2>Culturgest, A</h2>'
      '<a href="https://indielisboa.com/en/screening/bb">Lisbon Talk</a><h2>May 02 2026, Saturday, 18:00</h2><h2>Culturgest</h2><a href="https://indielisboa.com/en/screening/cc">Else</a><h2>May 02 2026, Saturday, 19:00</h2><h2>São Jorge</h2>'),
     # a schedule in lines
@@ -67,10 +72,10 @@ PAGES = [
     ("fernando", "https://cinemafernandolopes.pt/DOGFIGHT", '<h1>{css}</h1><h1>Dogfight</h1><small>"Duelo" / 1991 / M/12 / Drama / 94 MIN.</small><h2><small>REALIZAÇÃO</small></h2><h2>Nancy Savoca</h2>'
      '<img width="900" height="500" data-src="https://freight.cargo.site/w.jpg"><img width="500" height="700" data-src="https://freight.cargo.site/p.jpg">'),
     # daily pages and a joint programme
-    ("cinemateca", "https://www.cinemateca.pt/Programacao.aspx?date=2026-03-25", '<a href="?id=11&date=x"><div class="infoDate">25/03/2026, 15h30 | Sala</div><div class="infoTitle a">THE SHINING</div><div><span class="colorPink">de </span>Stanley Kubrick</div><div>EUA, 1980 - 142 min </div>'
+    ("cinemateca", "https://cinemateca.pt/Programacao.aspx?date=2026-03-25", '<a href="?id=11&date=x"><div class="infoDate">25/03/2026, 15h30 | Sala</div><div class="infoTitle a">THE SHINING</div><div><span class="colorPink">de </span>Stanley Kubrick</div><div>EUA, 1980 - 142 min </div>'
      '<div class="infoText">com a presença de Zé</div></a><a href="?id=12"><div>25/03/2026, 19h00</div><div class="infoTitle">FIRST SHORT | SECOND SHORT</div></a>'),
-    ("cinemateca", "https://www.cinemateca.pt/Programacao.aspx?date=2026-03-26", '<a href="?id=11"><div>26/03/2026, 21h30</div><div class="infoTitle">THE SHINING</div></a>'),
-    ("cinemateca", "https://www.cinemateca.pt/Programacao.aspx?id=12&date=2026-03-25", '<div class="infoText">nada</div><div class="infoText x">FIRST SHORT\n“Primeiro”\nSECOND SHORT\nde Ana Lima\nPortugal, 1966, 1979 – 4, 44 min\n\nDuração total: 48 min</div>'),
+    ("cinemateca", "https://cinemateca.pt/Programacao.aspx?date=2026-03-26", '<a href="?id=11"><div>26/03/2026, 21h30</div><div class="infoTitle">THE SHINING</div></a>'),
+    ("cinemateca", "https://cinemateca.pt/Programacao.aspx?id=12&date=2026-03-25", '<div class="infoText">nada</div><div class="infoText x">FIRST SHORT\n“Primeiro”\nSECOND SHORT\nde Ana Lima\nPortugal, 1966, 1979 – 4, 44 min\n\nDuração total: 48 min</div>'),
 ]
 
 

@@ -92,6 +92,20 @@ def test_star_owners_follow_the_scan(spark):
     assert merge.star_owners(spark.createDataFrame([], "i long, j long")).count() == 0
 
 
+def test_equal_titles_share_their_fate(spark):
+    """Popular titles are linked once; the scan over all records gives the same owners."""
+    rnd = random.Random(6)
+    words = ["abcdefgh", "abcdefgi", "abcdefhi", "abcdehhi", "abcdefghx", "zzzzzzzzzz"]
+    nodes = [(k, rnd.choice(words), rnd.choice([None, 2000, 2001, 2002])) for k in range(70)]
+    near = lambda a, b: a[1] != b[1] and distance(a[1], b[1]) <= 1 and (a[2] is None or b[2] is None or abs(a[2] - b[2]) <= 1)
+    owner = {}
+    for x in nodes:
+        if x[0] not in owner:
+            owner.update({y[0]: x[0] for y in nodes if y[0] > x[0] and y[0] not in owner and near(x, y)})
+    got = merge.absorbed(spark.createDataFrame(nodes, "ord long, k string, year int")).collect()
+    assert {r["ord"]: r["owner"] for r in got} == owner and len(owner) > 20
+
+
 def test_fuzzy_merge(spark):
     rows = [
         movie("Projeto Global", 2025, 0, 0, [("2026-05-04", "10:00", "a", None)]),

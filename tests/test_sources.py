@@ -8,6 +8,8 @@ from pages import ASOF, landing
 from pyspark.sql import functions as F
 
 from playbill import model
+from playbill.functions import html as H
+from playbill.functions.temporal import lisbon_time
 from playbill.plans import publish, refresh
 from playbill.sources import catalogue, registry
 from playbill.sources.cinemateca import films_of
@@ -62,7 +64,16 @@ def test_culturgest(movies):
     assert (m["title"], m["director"], m["poster"], times(m)) == ("Um Filme", "Ana Vaz", "https://www.culturgest.pt/a.jpg", [("2026-05-13", "19:00")])
     f = movies["culturgest_indie_blue_heron"]
     assert (f["duration"], f["festival"], times(f)) == (96, "INDIE", [("2026-05-02", "15:00")]) and f["link"].endswith("/aa")
-    assert not any("talk" in k or "else" in k or "velho" in k for k in movies if k.startswith("culturgest"))
+    assert not any("talk" in k or "else" in k or "velho" in k or "unlisted" in k for k in movies if k.startswith("culturgest"))
+    # the listing's order, which is not that of the addresses; the festival's films stand where the festival does
+    ours = sorted((m for k, m in movies.items() if k.startswith("culturgest")), key=lambda m: m["src_ord"])
+    assert [m["id"] for m in ours] == ["culturgest_indie_blue_heron", "culturgest_um-filme", "culturgest_another"] and movies["culturgest_another"]["title"] == "Another <3>"
+
+
+def test_festival_days_need_a_listed_festival(spark):
+    pages = landing(spark)
+    day = pages.where("url not like '%/whats-on/indie'")
+    assert {r["id"] for r in registry.extract(day.where("source = 'culturgest'"), F.lit(ASOF)).collect()} == {"culturgest_um-filme", "culturgest_another"}
 
 
 def test_fernando(movies):
@@ -84,13 +95,47 @@ def test_cinemateca(movies):
     assert [(movies[f"cinemateca_12_{k}"]["title"], movies[f"cinemateca_12_{k}"]["year"], movies[f"cinemateca_12_{k}"]["duration"]) for k in (0, 1)] == [("First Short", 1966, 4), ("Second Short", 1979, 44)]
 
 
-def test_descriptions():
-    assert films_of("A VIDA\nde Rui Sá\nPortugal, 1999 – 20 min\n\nOUTRA\nde Ana\nFrança, 2001/2002 - 30 min\nlegendado") == [
-        {"title": "A Vida", "director": "Rui Sá", "year": 1999, "duration": 20}, {"title": "Outra", "director": "Ana", "year": 2001, "duration": 30},
+def described(spark, *texts):
+    rows = films_of(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"]).collect()
+    found = {r["k"]: [(f["title"], f["director"], f["year"], f["duration"]) for f in r["films"]] for r in rows}
+    return [found.get(k, []) for k in range(len(texts))]
+
+
+def test_descriptions(spark):
+    texts = [
+        "A VIDA\nde Rui Sá\nPortugal, 1999 – 20 min\n\nOUTRA\nde Ana\nFrança, 2001/2002 - 30 min\nlegendado",
+        "PRIMEIRO\r\nDOIS\nTRÊS\nde Ana\nPortugal, 1966, 1979 – 4, 44 min",
+        None, "só texto", "",
+        "UM FILME\n“Um”\nDOIS\ncom Zé e outros\nde Ana\nPortugal, 1966, 1979 – 4, 44 min\nUltimo\nde\u00a0Rui\nEUA, 2000 – 90 min\nDuração total: 138 min\nDEPOIS\nde Eva\nEUA, 2001 - 5 min",
+        "Sem director\n1999 – 20 min\n\n\nBOM\nfrase em minúsculas\nde Eva\nde Rui e Eva\n1980 - 7 min",
+    ]
+    assert described(spark, *texts) == [
+        [("A Vida", "Rui Sá", 1999, 20), ("Outra", "Ana", 2001, 30)],
+        [("Primeiro", "Ana", 1966, 4), ("Dois", "Ana", 1979, 44), ("Três", "Ana", 1979, 44)],
+        [], [], [],
+        [("Um Filme", "Ana", 1966, 4), ("Dois", "Ana", 1979, 44), ("Ultimo", "Rui", 2000, 90)],
+        [("Bom", "Rui e Eva", 1980, 7)],
     ]
-    many = films_of("PRIMEIRO\nDOIS\nTRÊS\nde Ana\nPortugal, 1966, 1979 – 4, 44 min")
-    assert [(f["title"], f["year"], f["duration"]) for f in many] == [("Primeiro", 1966, 4), ("Dois", 1979, 44), ("Três", 1979, 44)]
-    assert films_of(None) == [] and films_of("só texto") == []
+
+
+def test_entities_that_look_like_tags_stay(spark):
+    from playbill.sources.fernando import bare_title, tidy
+
+    raw = "<i>A &lt;MIL&gt; &amp; UM</i> <small>x</small> - última sessão"
+    df = spark.createDataFrame([(raw,)], "raw string").select(bare_title(F.col("raw")).alias("bare"))
+    assert df.select(tidy(H.unescape(F.col("bare")))).first()[0] == "A <Mil> & Um"
+    assert spark.createDataFrame([(["a &amp; b", "", "c"],), ([],)], "t array<string>").select(H.unescape_all(F.col("t")).alias("t")).collect() == [(["a & b", "", "c"],), ([],)]
+
+
+def test_local_time_does_not_depend_on_the_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.createDataFrame([("2026-07-01T20:15:00Z",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
+            assert df.select(F.date_format(lisbon_time(F.col("t"), civil=True), "yyyy-MM-dd HH:mm")).first()[0] == "2026-07-01 21:15"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 @cache
@@ -120,8 +165,15 @@ def test_refresh_publish_and_fall_back(spark, tmp_path):
     back = publish.previous(spark, path)
     assert {r["id"]: r["sessions"] for r in back.collect()} == {k: v["sessions"] for k, v in got.items()}
     assert publish.previous(spark, f"file://{tmp_path}/nothing").count() == 0
+    # an update that failed half way leaves the earlier document aside
+    (tmp_path / "out").rename(tmp_path / "out.old")
+    assert publish.previous(spark, path).count() == len(got)
+    publish.publish(publish.document(movies, people, errors, "2026-03-20T00:00:00Z"), path)
+    publish.publish(publish.document(movies, people, errors, "2026-03-21T00:00:00Z"), path)
+    assert "2026-03-21" in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")) and {p.name for p in tmp_path.iterdir()} == {"out"}
+    assert [json.loads(r["value"])["id"] for r in publish.source_dump(movies, 0).collect()] == ["sao_jorge_1"]
     # a venue that fails keeps what it had
-    kept = refresh.merged(landing(spark, skip=("fernando",)), back, F.lit(ASOF))
+    kept = refresh.merged(landing(spark, skip=("fernando",)), publish.previous(spark, path), F.lit(ASOF))
     assert "fernando_dogfight" in {r["id"] for r in kept.collect()}
     assert [tuple(r) for r in registry.errors(landing(spark, skip=("fernando", "ideal"))).collect()] == [("Fernando Lopes", "https://x: status 500")]
     counted = publish.metrics(movies, errors).first()
