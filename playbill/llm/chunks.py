@@ -125,7 +125,9 @@ def _near_firsts(held: DataFrame) -> DataFrame:
     it too is then to be asked: at most two questions for a chunk.
     """
     place = Window.partitionBy(*UNIT).orderBy("start")
-    back, ahead = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
+    # running values in either direction: a frame that ends at the last row would be gone through again for each row
+    back = place.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*UNIT).orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, 0)
     begins = F.coalesce((F.lag("end").over(place) != F.col("start")) | (F.lag("first").over(place) != F.col("first")), F.lit(True))
     ends = F.coalesce((F.lead("start").over(place) != F.col("end")) | (F.lead("first").over(place) != F.col("first")), F.lit(True))
     # of the neighbours only those that touch
@@ -133,7 +135,7 @@ def _near_firsts(held: DataFrame) -> DataFrame:
     after = F.when(F.lead("start").over(place) == F.col("end"), F.lead("first").over(place))
     # a struct around the value tells a run without a neighbour from a chunk inside a run
     marked = held.withColumns({"_b": F.when(begins, F.struct(before.alias("x"))), "_a": F.when(ends, F.struct(after.alias("x")))})
-    marked = marked.withColumns({"_b": F.last("_b", ignorenulls=True).over(back)["x"], "_a": F.first("_a", ignorenulls=True).over(ahead)["x"]})
+    marked = marked.withColumns({"_b": F.last("_b", ignorenulls=True).over(back)["x"], "_a": F.last("_a", ignorenulls=True).over(ahead)["x"]})
     asked = marked.withColumn("source", F.explode(F.array_distinct(F.array("_b", "_a")))).drop("_b", "_a")
     return asked.where((F.col("source") > F.col("first")) & (F.col("source") < _unit()))
 
