@@ -18,7 +18,7 @@ classes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -89,14 +89,16 @@ def _ones_before(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk(bits: np.ndarray, groups: np.ndarray, budget: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaf pairs (places in `bits`) within the budget.
+def walk(bits: np.ndarray, groups: np.ndarray, budget: Sequence[int], depth: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaf pairs (places in `bits`) that are near.
 
     `bits`: leaves, sorted within each tree; `groups`: rows (a_lo, a_hi, b_lo, b_hi) of root pairs whose first `depth`
-    bits are equal; a root pair with the same range twice is a self-join.
+    bits are equal; a root pair with the same range twice is a self-join. `budget`: how many bits may differ down to each
+    depth, beginning with the first; a pair of nodes that differs in more is dropped. `near` tests pairs of leaves.
     """
     if not len(groups):
         return
+    last = len(budget)
     ones = _ones_before(bits)
     stack = [(np.asarray(groups, np.int64), np.zeros(len(groups), np.int64), depth)]
     while stack:
@@ -108,9 +110,9 @@ def walk(bits: np.ndarray, groups: np.ndarray, budget: int, depth: int) -> Itera
         a_lo, a_hi, b_lo, b_hi = nodes.T
         own = a_lo == b_lo
         size = (a_hi - a_lo) * (b_hi - b_lo)
-        small = (size <= LEAF_PAIRS) | (at >= 64)
+        small = (size <= LEAF_PAIRS) | (at >= last)
         if small.any():
-            yield from _leaf_pairs(bits, nodes[small], size[small], budget)
+            yield from _leaf_pairs(nodes[small], size[small], near)
             keep = ~small
             nodes, spent, own = nodes[keep], spent[keep], own[keep]
             if not len(nodes):
@@ -125,23 +127,25 @@ def walk(bits: np.ndarray, groups: np.ndarray, budget: int, depth: int) -> Itera
         back = np.stack((a_mid, a_hi, b_lo, b_mid), 1)[~own], spent[~own] + 1
         nodes = np.concatenate([left[0], right[0], cross[0], back[0]])
         spent = np.concatenate([left[1], right[1], cross[1], back[1]])
-        alive = (spent <= budget) & (nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3])
+        alive = (spent <= budget[at]) & (nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3])
         alive &= ~((nodes[:, 0] == nodes[:, 2]) & (nodes[:, 1] - nodes[:, 0] < 2))  # a leaf against itself
         if alive.any():
             stack.append((nodes[alive], spent[alive], at + 1))
 
 
-def _leaf_pairs(bits: np.ndarray, nodes: np.ndarray, size: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    block = max(1, 4_000_000 // int(size.max()))
+def _leaf_pairs(nodes: np.ndarray, size: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    block = max(1, 1_000_000 // int(size.max()))
     for k in range(0, len(nodes), block):
         part, n = nodes[k : k + block], size[k : k + block]
         row = np.repeat(np.arange(len(part)), n)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         width = part[row, 3] - part[row, 2]
         i, j = part[row, 0] + offset // width, part[row, 2] + offset % width
-        near = ((i < j) | (part[row, 0] != part[row, 2])) & (np.bitwise_count(bits[i] ^ bits[j]) <= budget)
-        if near.any():
-            yield i[near], j[near]
+        once = (i < j) | (part[row, 0] != part[row, 2])
+        i, j = i[once], j[once]
+        close = near(i, j)
+        if close.any():
+            yield i[close], j[close]
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -214,7 +218,8 @@ def _join_walks(budget: int, tries: list[tuple[list[tuple[int, int]], int]]):
             two = two[two + 1 < len(lo)]
             two = two[(key[:3, lo[two]] == key[:3, lo[two + 1]]).all(axis=0)]
             groups.append(np.stack((lo[two], hi[two], lo[two + 1], hi[two + 1]), 1))
-            root = forest(len(own), walk(bits, np.concatenate(groups), budget, length))
+            near = lambda i, j, bits=bits: np.bitwise_count(bits[i] ^ bits[j]) <= budget
+            root = forest(len(own), walk(bits, np.concatenate(groups), [budget] * 64, length, near))
             linked = np.flatnonzero(root != np.arange(len(own)))
             out_u.append(cols["fp"][own[linked]])
             out_v.append(cols["fp"][own[root[linked]]])
@@ -289,21 +294,33 @@ def links(leaves: DataFrame, budget: int = 4) -> DataFrame:
     return tasks.mapInArrow(_join_walks(budget, tries), "u long, v long")
 
 
-def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """(fp, n, lead): for each distinct fingerprint of ROW and fp its number of rows, and the least row of its class."""
+def classes(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(fp, n, lead): for each distinct fingerprint of ROW and fp its number of rows, and the least row of its class.
+
+    `linked` makes links (u, v) between the nodes of leaves (fp, node); a node is a number of the leaf's own.
+    """
     leaves = prints.groupBy("fp").agg(F.min(F.struct(*ROW)).alias("first"), F.count("*").alias("n"))
-    leaves, _ = persist_table(leaves, "leaves")
-    roots, _ = components(links(leaves.select("fp"), budget))
-    member = leaves.join(roots, leaves["fp"] == roots["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("class"))
+    # the written table keeps the numbers from changing
+    leaves, _ = persist_table(leaves.withColumn("node", F.monotonically_increasing_id()), "leaves")
+    roots, _ = components(linked(leaves.select("fp", "node")))
+    member = leaves.join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("class"))
     member, _ = persist_table(member, "members")
     lead = member.groupBy("class").agg(F.min("first").alias("lead"), F.count("*").alias("prints"))
     return join_groups(member, lead, "class", "prints", member.count()).select("fp", "n", "lead")
 
 
+def _by_node(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Links between fingerprints as links between their nodes."""
+    for end in ("u", "v"):
+        pairs = pairs.join(leaves.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end).drop(end).withColumnRenamed(f"{end}_node", end)
+    return pairs.select("u", "v")
+
+
 def _judged(docs: DataFrame, words: int, budget: int) -> DataFrame:
     """ROW, fp, n and lead of every document."""
     prints, _ = persist_table(fingerprints(docs, words), "prints")
-    found, _ = persist_table(classes(prints, budget), "classes")
+    # a fingerprint of 64 bits is a number of its own already
+    found, _ = persist_table(classes(prints, lambda leaves: _by_node(links(leaves.select("fp"), budget), leaves)), "classes")
     return join_groups(prints, found, "fp", "n", prints.count())
 
 

@@ -14,8 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from playbill.llm import decontam, exact, packing, quality, queries, simhash
-from test_dedup import brute_exact, brute_near, prose
+from playbill.llm import decontam, exact, packing, quality, queries, similar
+from test_dedup import brute_exact, brute_similar, prose
 
 # -- tiling ---------------------------------------------------------------------------------------------------------
 
@@ -264,7 +264,7 @@ def test_pipeline_equals_brute_force(spark, corpus):
     kept = {r["doc_id"] for r in quality.score(docs, model).where("score >= 0.5").collect()}
     assert 300 < len(kept) < len(texts) - 60
     kept = {r[0] for r in brute_exact([(k, texts[k]) for k in sorted(kept)]) if r[3]}
-    kept = {r[0] for r in brute_near([(k, texts[k]) for k in sorted(kept)]) if r[0] == r[2]}
+    kept = {i for i, c in brute_similar([(k, texts[k]) for k in sorted(kept)]).items() if i == c}
 
     def leaks(text):
         doc = decontam.tokens(text)
@@ -285,5 +285,5 @@ def test_stages_keep_the_columns(spark, corpus):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).schema == docs.schema
-    assert len(corpus_pipeline.STAGES) == 5 and exact.drop_duplicates(docs).count() < docs.count() and simhash.keep_one(docs).count() < docs.count()
+    assert len(corpus_pipeline.STAGES) == 5 and exact.drop_duplicates(docs).count() < docs.count() and similar.keep_one(docs).count() < docs.count()
     assert quality.keep_good(docs.where(F.lit(False)), None).count() == 0

@@ -14,7 +14,7 @@ from helpers import CLASHING, ODD, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from playbill.llm import chunks, components, exact, line_spread, simhash
+from playbill.llm import chunks, components, exact, line_spread, similar, simhash
 
 
 def classes(n, linked):
@@ -225,6 +225,78 @@ def test_near_decides_row_by_row(spark):
     assert len(kept) == len(best) and got == best
 
 
+# -- similar --------------------------------------------------------------------------------------------------------
+
+
+def brute_wide(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+    votes = [0] * 512
+    for g in grams:
+        for w in range(8):
+            x = xxhash.xxh64_intdigest(g.encode(), 42) ^ (w + 1) * 0x9E3779B97F4A7C15 % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            x ^= x >> 31
+            for b in range(64):
+                votes[64 * w + b] += x >> b & 1
+    return sum(1 << b for b in range(512) if votes[b] * 2 > len(grams))
+
+
+def brute_similar(rows):
+    """The least id of each one's class: all pairs of fingerprints."""
+    prints = [int.from_bytes(similar.wide_fingerprint(t), "little") for _, t in rows]
+    most = int(similar.apart(0.8) * 512)
+    cls = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= most])
+    ids = defaultdict(list)
+    for (i, _), c in zip(rows, cls):
+        ids[c] += [i] if i is not None else []
+    return {i: min(ids[c], default=None) for (i, _), c in zip(rows, cls)}
+
+
+@pytest.mark.parametrize("text", [*(t for _, t in ODD if t is None or len(t) < 1000), "a b c d e f", "One two THREE four five six  seven\teight nine"])
+def test_wide_fingerprints_equal_brute_force(text):
+    assert int.from_bytes(similar.wide_fingerprint(text), "little") == brute_wide(text)
+
+
+def edited(rnd, text, share):
+    return " ".join(rnd.choice(["omega", "psi", "chi"]) if rnd.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("crowd, subtree", [(256, 512), (8, 16)])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd, subtree):
+    """One trie, and very many small ones: copies with few changed words are found, others stay apart."""
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "SUBTREE", subtree)
+    rnd = random.Random(31)
+    base = [prose(rnd, 150) for _ in range(40)]
+    rows = [(k, edited(rnd, rnd.choice(base), rnd.choice([0, 0.005, 0.01, 0.2]))) for k in range(200)] + [(300 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, base[0]), (None, prose(rnd, 50))]
+    got = Counter((r["doc_id"], r["component_id"]) for r in similar.similar_classes(documents(spark, rows)).collect() if r["doc_id"] is not None)
+    want = brute_similar([r for r in rows if r[0] is not None])
+    assert got == Counter(want.items()) and len(set(want.values())) < 150
+
+
+def test_a_dense_cluster_is_one_class(spark, monkeypatch):
+    """Very many distinct near copies of one text, in subtrees of few leaves."""
+    monkeypatch.setattr(similar, "SUBTREE", 64)
+    rnd = random.Random(33)
+    base = prose(rnd, 200).split()
+    rows = [(k, " ".join([*base[: k % 200], f"w{k}", *base[k % 200 + 1 :]])) for k in range(1500)] + [(5000 + k, prose(rnd, 60)) for k in range(50)]
+    kept = [r["doc_id"] for r in similar.keep_one(documents(spark, rows)).select("doc_id").collect()]
+    assert sorted(kept) == [0, *range(5000, 5050)]
+    assert similar.keep_one(documents(spark, [])).count() == 0
+
+
+def test_subtrees_are_cut_by_bits_then_by_number():
+    deep = np.sort(np.random.default_rng(0).integers(0, 2**similar.DEEP, 5000))
+    cut = np.zeros(5000, bool)
+    cut[[0, 3000]] = True
+    begin = similar._segments(cut, deep)
+    assert {0, 3000} <= set(begin.tolist()) and np.diff(np.append(begin, 5000)).max() <= similar.SUBTREE
+    same = similar._segments(np.array([True] + [False] * 1299), np.zeros(1300, np.int64))
+    assert same.tolist() == [0, 512, 1024]
+
+
 # -- chunks ---------------------------------------------------------------------------------------------------------
 
 
