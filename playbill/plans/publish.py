@@ -39,13 +39,11 @@ def document(movies: DataFrame, directors: DataFrame, errors: DataFrame, generat
     )
 
 
-def publish(doc: DataFrame, path: str) -> None:
-    """Write beside the target, put the earlier document aside, move the new one in, then drop the earlier one.
+def replace_folder(spark: SparkSession, path: str) -> None:
+    """Put what is at the path aside, move in what was written beside it (.next), then drop the earlier one.
 
-    A failure at any point leaves a whole document, at the target or aside, where `previous` finds it.
+    A failure at any point leaves a whole folder, at the path or aside (.old).
     """
-    spark = doc.sparkSession
-    doc.coalesce(1).write.mode("overwrite").text(path + ".next")
     target, fresh, aside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".next", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
@@ -53,10 +51,16 @@ def publish(doc: DataFrame, path: str) -> None:
         if not fs.rename(target, aside):
             raise OSError(f"cannot put {path} aside")
     if not fs.rename(fresh, target):
-        raise OSError(f"cannot move the new document to {path}")
+        raise OSError(f"cannot move the new version to {path}")
     fs.delete(aside, True)
 
 
+def publish(doc: DataFrame, path: str) -> None:
+    """Write beside the target, then replace it; `previous` finds a whole document whenever that fails."""
+    doc.coalesce(1).write.mode("overwrite").text(path + ".next")
+    replace_folder(doc.sparkSession, path)
+
+
 def previous(spark: SparkSession, path: str) -> DataFrame:
     """The movies of a published document, or of the one put aside by an update that failed; none if there is no document."""
     text = None

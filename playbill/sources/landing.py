@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import http.cookiejar
+import json
+import re
+import time
 import urllib.request
 from datetime import UTC, datetime
 
@@ -11,24 +15,63 @@ from ..model import LANDING
 
 
 class _Pages(DataSourceReader):
-    def __init__(self, source: str, urls: list[str], timeout: float) -> None:
-        self.source, self.urls, self.timeout = source, urls, timeout
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(u) for u in self.urls]
+        return [InputPartition(u) for u in self.options.get("urls", "").split("\n") if u]
 
     def read(self, partition: InputPartition):
-        url, status, body = partition.value, None, None
+        """The page, or the last failure: its status (null if there was no answer) and, as body, what was wrong."""
+        get, url, status, body = self.options.get, partition.value, None, None
+        for attempt in range(int(get("attempts", "1"))):
+            if attempt:
+                time.sleep(float(get("pause", "3")))
+            status, body = self._fetch(url)
+            if status == 200:
+                break
+        yield get("source", ""), url, datetime.now(UTC), status, body
+
+    def _fetch(self, url: str) -> tuple[int | None, str | None]:
+        get = self.options.get
+        jar = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+        wait = float(get("timeout", "15"))
+        headers = {"User-Agent": get("useragent", "playbill/1.0")}
         try:
-            with urllib.request.urlopen(url, timeout=self.timeout) as answer:
+            if first := get("prime"):  # its cookies go with the request
+                jar.open(urllib.request.Request(first, headers=headers), timeout=wait).read()
+                headers["Referer"] = first
+            if get("ajax", "false").lower() == "true":
+                headers["X-Requested-With"] = "XMLHttpRequest"
+            data = get("post")
+            if data is not None:
+                headers["Content-Type"] = "application/json"
+            with jar.open(urllib.request.Request(url, None if data is None else data.encode(), headers), timeout=wait) as answer:
                 status, body = getattr(answer, "status", None) or 200, answer.read().decode("utf-8", errors="ignore")
         except OSError as failure:
-            status = getattr(failure, "code", None)
-        yield self.source, url, datetime.now(UTC), status, body
+            return getattr(failure, "code", None), None
+        if (field := get("errorfield")) and (wrong := _field(body, field)):
+            return None, f"{field}: {wrong}"
+        if (wanted := get("expect")) and not re.search(wanted, body):
+            return None, f"nothing like {wanted}"
+        return status, body
+
+
+def _field(body: str, name: str) -> object:
+    try:
+        answer = json.loads(body)
+    except ValueError:
+        return "no JSON"
+    return answer.get(name) if isinstance(answer, dict) else None
 
 
 class LandingSource(DataSource):
-    """`spark.read.format("landing").option("source", …).option("urls", "a\\nb").load()`: one partition per address."""
+    """`spark.read.format("landing").option("source", …).option("urls", "a\\nb").load()`: one partition per address.
+
+    Options: `useragent`; `timeout` in seconds; `prime`, an address that is fetched first, for its cookies and as referer;
+    `ajax` for that header; `post`, a JSON body to send; `errorfield`, a field of a JSON answer that means failure; `expect`, a
+    pattern that a good page has; `attempts` and `pause` in seconds, for pages that fail.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -38,5 +81,4 @@ class LandingSource(DataSource):
         return LANDING
 
     def reader(self, schema) -> DataSourceReader:
-        urls = [u for u in self.options.get("urls", "").split("\n") if u]
-        return _Pages(self.options.get("source", ""), urls, float(self.options.get("timeout", "15")))
+        return _Pages(dict(self.options))

@@ -199,3 +199,104 @@ def test_catalogues(spark):
 
     got = {r["name"]: r for r in wiki_entries(catalogue.wiki_pages(df), catalogue.wikidata_search(df), catalogue.wikidata_entities(df)).collect()}
     assert (got["Ana L"]["photo"], got["Ana L"]["bio"]) == ("t.jpg", "One. Two. Three.") and got["Rui"]["bio"] == "director" and "A_b.jpg" in got["Rui"]["photo"]
+
+
+@pytest.fixture
+def site():
+    """A server that counts requests, sets a cookie, fails twice, and answers posts."""
+    import http.server
+    import threading
+
+    seen = []
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def answer(self, code, body, **headers):
+            self.send_response(code)
+            for k, v in headers.items():
+                self.send_header(k.replace("_", "-"), v)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def do_GET(self):  # noqa: N802
+            seen.append((self.path, dict(self.headers)))
+            if self.path == "/home":
+                self.answer(200, "home", Set_Cookie="k=v")
+            elif self.path == "/shaky" and sum(p == "/shaky" for p, _ in seen) < 3:
+                self.answer(503, "later")
+            elif self.path == "/empty":
+                self.answer(200, "no films")
+            else:
+                self.answer(200, "page é")
+
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.answer(200, json.dumps({"error": asked.get("fail"), "items": [asked]}))
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_fetching(spark, site):
+    from playbill.sources.landing import LandingSource
+
+    base, seen = site
+    spark.dataSource.register(LandingSource)
+
+    def fetch(*paths, **options):
+        reader = spark.read.format("landing").option("source", "s").option("urls", "\n".join(base + p for p in paths)).option("pause", "0")
+        return {r["url"].removeprefix(base): (r["status"], r["body"]) for r in reader.options(**options).load().collect()}
+
+    assert fetch("/a", "/b", useragent="me") == {"/a": (200, "page é"), "/b": (200, "page é")}
+    assert {h["User-Agent"] for _, h in seen} == {"me"}
+    assert fetch("/list", prime=f"{base}/home", ajax="true") == {"/list": (200, "page é")}
+    headers = next(h for p, h in seen if p == "/list")
+    assert (headers["Cookie"], headers["Referer"], headers["X-Requested-With"]) == ("k=v", f"{base}/home", "XMLHttpRequest")
+    assert fetch("/shaky") == {"/shaky": (503, None)} and fetch("/shaky", attempts="3") == {"/shaky": (200, "page é")}
+    assert fetch("/empty", expect="<script", attempts="2") == {"/empty": (None, "nothing like <script")} and sum(p == "/empty" for p, _ in seen) == 2
+    assert json.loads(fetch("/q", post='{"page": 0}', errorfield="error")["/q"][1])["items"] == [{"page": 0}]
+    assert fetch("/q", post='{"fail": "bad"}', errorfield="error") == {"/q": (None, "error: bad")}
+    assert fetch("/a", errorfield="error") == {"/a": (None, "error: no JSON")}
+
+
+def test_cache_is_written_only_if_it_changed(spark, tmp_path):
+    from playbill.sources import cache
+
+    path, schema = f"file://{tmp_path}/cache", "title string, year int, slug string"
+    rows = [("É um", 2000, "e-um"), ("Dois", None, None)]
+    assert cache.load(spark, path, schema).count() == 0
+    assert cache.save(spark.createDataFrame(rows, schema), path) and not cache.save(spark.createDataFrame(rows[::-1], schema), path)
+    assert cache.save(spark.createDataFrame([*rows, rows[0]], schema), path)
+    assert sorted(cache.load(spark, path, schema).collect(), key=repr) == sorted([*rows, rows[0]], key=repr)
+    (tmp_path / "cache").rename(tmp_path / "cache.old")
+    assert cache.load(spark, path, schema).count() == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from playbill import scratch
+
+    conf = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://m:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.folder(session)
+    session.sparkContext.master = "local[2]"
+    assert scratch.folder(session) == conf["spark.checkpoint.dir"]
+
+
+def test_a_step_removes_what_it_wrote(spark):
+    from pathlib import Path
+
+    from playbill import scratch
+
+    with scratch.step(spark) as keep:
+        kept, path = scratch.stored(spark.range(3), "kept")
+        _, other = scratch.stored(spark.range(4), "other")
+        keep.append(path)
+    assert kept.count() == 3 and Path(path.removeprefix("file://")).exists() and not Path(other.removeprefix("file://")).exists()
+    scratch.remove(spark, path)
