@@ -37,7 +37,8 @@ def union_sessions(df: DataFrame, keys: list[str], order: list[str], session: st
     """
     s = F.col(session)
     parts = Window.partitionBy(*keys, s["date"], s["time"], s["cinema"]).orderBy(*order)
-    once = df.withColumn("_n", F.row_number().over(parts)).where("_n = 1")
+    # dealt by the keys alone, which serves the window and the grouping: one shuffle
+    once = df.repartition(*[F.col(k) for k in keys]).withColumn("_n", F.row_number().over(parts)).where("_n = 1")
     head = [s["date"].alias("a"), s["time"].alias("b")] if by_time else []
     tagged = F.struct(*head, *[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], s.alias("s"))
     return once.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(tagged)), lambda x: x["s"]).alias("sessions"))
