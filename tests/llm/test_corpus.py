@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from playbill.llm import decontam, exact, packing, quality, queries, similar
-from test_dedup import brute_exact, brute_similar, prose
+from test_dedup import TANGLED, brute_exact, brute_similar, prose
 
 # -- tiling ---------------------------------------------------------------------------------------------------------
 
@@ -287,3 +287,15 @@ def test_stages_keep_the_columns(spark, corpus):
         assert stage(spark, docs, folder).schema == docs.schema
     assert len(corpus_pipeline.STAGES) == 5 and exact.drop_duplicates(docs).count() < docs.count() and similar.keep_one(docs).count() < docs.count()
     assert quality.keep_good(docs.where(F.lit(False)), None).count() == 0
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, corpus):
+    """Nulls, repeated and missing ids, very long blanks, columns whose names clash, no rows at all."""
+    folder, _, _ = corpus
+    odd = documents(spark, [*ODD, *TANGLED, (70, " " * 1_000_000 + "a"), (71, "\n" * 1_000_000 + "x")])
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        kept = stage(spark, odd, folder)
+        assert kept.columns == odd.columns and 0 < kept.count() <= odd.count(), name
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.packed(spark, odd, folder).where("bin_id is not null").agg(F.max("token_end")).first()[0] > 400_000
+    assert corpus_pipeline.packed(spark, odd.limit(0), folder).count() == 0
