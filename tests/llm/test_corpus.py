@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -191,6 +192,18 @@ def test_long_blanks_count_as_in_the_plain_encoder(encoders, parts):
     assert count("".join(parts)) == plain("".join(parts))
 
 
+def test_blank_runs_take_linear_time(encoders):
+    count, plain = encoders
+    for run in (31, 32, 33, 100, 1000, 4000, 4095):
+        for sign in (" ", "\n", "\u00a0"):
+            text = (sign * run + "a") * 3 + sign * run
+            assert count(text) == plain(text), (run, sign)
+    for run in (31, 100, 4000, 4095):
+        text = (" " * run + "a") * (4_000_000 // run)
+        begun = time.perf_counter()
+        assert count(text) > 0 and time.perf_counter() - begun < 6, run  # 2 s on an idle machine; it was 20 s and more
+
+
 def test_texts_of_millions_of_one_character_are_packed(spark, encoders):
     count, _ = encoders
     assert count(" " * 20_000_000 + "a") == 20_000_000  # the last blank belongs to the word

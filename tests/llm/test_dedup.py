@@ -228,56 +228,97 @@ def test_near_decides_row_by_row(spark):
 # -- similar --------------------------------------------------------------------------------------------------------
 
 
-def brute_wide(text):
+def grams(text):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    grams = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
-    votes = [0] * 512
-    for g in grams:
-        for w in range(8):
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_wide(text):
+    votes, own = [0] * 256, grams(text)
+    for g in own:
+        for w in range(4):
             x = xxhash.xxh64_intdigest(g.encode(), 42) ^ (w + 1) * 0x9E3779B97F4A7C15 % 2**64
             x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
             x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
             x ^= x >> 31
             for b in range(64):
                 votes[64 * w + b] += x >> b & 1
-    return sum(1 << b for b in range(512) if votes[b] * 2 > len(grams))
+    return sum(1 << b for b in range(256) if votes[b] * 2 > len(own))
 
 
-def brute_similar(rows):
-    """The least id of each one's class: all pairs of fingerprints."""
-    prints = [int.from_bytes(similar.wide_fingerprint(t), "little") for _, t in rows]
-    most = int(similar.apart(0.8) * 512)
-    cls = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= most])
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_similar(rows, least=0.8):
+    """The least id of each one's class: exact Jaccard similarities of all pairs; texts without words are equal to each other."""
+    sets = [grams(t) for _, t in rows]
+    cls = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= least])
     ids = defaultdict(list)
     for (i, _), c in zip(rows, cls):
         ids[c] += [i] if i is not None else []
     return {i: min(ids[c], default=None) for (i, _), c in zip(rows, cls)}
 
 
-@pytest.mark.parametrize("text", [*(t for _, t in ODD if t is None or len(t) < 1000), "a b c d e f", "One two THREE four five six  seven\teight nine"])
+@pytest.mark.parametrize("text", [*(t for _, t in ODD if t is None or len(t) < 1000), "a b c d e f", "a b c d e a b c d e a b c d e", "One two THREE four five six  seven\teight nine"])
 def test_wide_fingerprints_equal_brute_force(text):
-    assert int.from_bytes(similar.wide_fingerprint(text), "little") == brute_wide(text)
+    assert int.from_bytes(similar.wide_fingerprint(similar.shingles(text)[0]), "little") == brute_wide(text)
 
 
 def edited(rnd, text, share):
     return " ".join(rnd.choice(["omega", "psi", "chi"]) if rnd.random() < share else w for w in text.split())
 
 
-@pytest.mark.parametrize("crowd, subtree", [(256, 512), (8, 16)])
-def test_similar_texts_equal_brute_force(spark, monkeypatch, crowd, subtree):
-    """One trie, and very many small ones: copies with few changed words are found, others stay apart."""
-    monkeypatch.setattr(similar, "CROWD", crowd)
+@pytest.mark.parametrize("subtree, part, shingles", [(512, 20_000, 2_000_000), (16, 60, 500)])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, subtree, part, shingles):
+    """Copies with more or fewer changed words, near the threshold too; pivots, subtrees in parts, classes in parts."""
     monkeypatch.setattr(similar, "SUBTREE", subtree)
+    monkeypatch.setattr(similar, "PART", part)
+    monkeypatch.setattr(similar, "PART_SHINGLES", shingles)
     rnd = random.Random(31)
-    base = [prose(rnd, 150) for _ in range(40)]
-    rows = [(k, edited(rnd, rnd.choice(base), rnd.choice([0, 0.005, 0.01, 0.2]))) for k in range(200)] + [(300 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, base[0]), (None, prose(rnd, 50))]
+    base = [prose(rnd, 150) for _ in range(30)]
+    rows = [(k, edited(rnd, rnd.choice(base), rnd.choice([0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.2]))) for k in range(240)] + [(300 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, base[0]), (None, prose(rnd, 50))]
     got = Counter((r["doc_id"], r["component_id"]) for r in similar.similar_classes(documents(spark, rows)).collect() if r["doc_id"] is not None)
     want = brute_similar([r for r in rows if r[0] is not None])
-    assert got == Counter(want.items()) and len(set(want.values())) < 150
+    assert got == Counter(want.items()) and 60 < len(set(want.values())) < 220
+
+
+def test_many_tries_find_the_pairs_and_link_no_others(spark, monkeypatch):
+    """Small subtrees and many tries: at least 0.97 of the pairs at 0.8 or more share a class, and every class is one of brute force or a part of it."""
+    monkeypatch.setattr(similar, "CROWD", 8)
+    rnd = random.Random(37)
+    rows = []
+    for k in range(250):
+        text = prose(rnd, rnd.choice([60, 200]))
+        rows += [(2 * k, text), (2 * k + 1, edited(rnd, text, rnd.choice([0.01, 0.015, 0.02, 0.025, 0.03])))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_classes(documents(spark, rows)).collect()}
+    want = brute_similar(rows)
+    pairs = [k for k in range(0, 500, 2) if want[k] == want[k + 1]]
+    assert 100 < len(pairs) < 240 and sum(got[k] == got[k + 1] for k in pairs) >= 0.97 * len(pairs)
+    assert all(want[k] == want[c] for k, c in got.items())
+
+
+@pytest.mark.parametrize("n, most", [(1, 3), (300, 4), (300, 9), (300, 20)])
+def test_cover_equals_brute_force(n, most):
+    rnd = np.random.default_rng(n + most)
+    full = (rnd.integers(0, 2**16, (6, 4), dtype=np.uint64)[rnd.integers(0, 6, n)] ^ (np.uint64(1) << rnd.integers(0, 16, (n, 4)).astype(np.uint64))).astype(np.uint64)
+    linked = [(i, j) for i in range(n) for j in range(i) if sum(int(a ^ b).bit_count() for a, b in zip(full[i].tolist(), full[j].tolist())) <= most]
+    assert similar.cover(full, most).tolist() == classes(n, linked)
+
+
+def test_exact_links_equal_brute_force():
+    rnd = random.Random(3)
+    base = rnd.sample(range(10**6), 60)
+    sets = [{x if rnd.random() > p else rnd.randrange(10**6) for x in rnd.sample(base, rnd.choice([1, 5, 30, 55, 60]))} for p in [0, 0.01, 0.02, 0.05, 0.1] * 40] + [set(), set()]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    for side in (None, np.arange(len(sets)) % 2):
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8 and (side is None or side[i] != side[j])]
+        got = similar.exact_links(arrays, side, 0.8)
+        assert classes(len(sets), got) == classes(len(sets), near) and all((max(p), min(p)) in near for p in got)
 
 
 def test_a_dense_cluster_is_one_class(spark, monkeypatch):
-    """Very many distinct near copies of one text, in subtrees of few leaves."""
+    """Very many distinct near copies of one text, in subtrees that are searched from pivots."""
     monkeypatch.setattr(similar, "SUBTREE", 64)
     rnd = random.Random(33)
     base = prose(rnd, 200).split()
@@ -287,16 +328,6 @@ def test_a_dense_cluster_is_one_class(spark, monkeypatch):
     assert similar.keep_one(documents(spark, [])).count() == 0
 
 
-def test_subtrees_are_cut_by_bits_then_by_number():
-    deep = np.sort(np.random.default_rng(0).integers(0, 2**similar.DEEP, 5000))
-    cut = np.zeros(5000, bool)
-    cut[[0, 3000]] = True
-    begin = similar._segments(cut, deep)
-    assert {0, 3000} <= set(begin.tolist()) and np.diff(np.append(begin, 5000)).max() <= similar.SUBTREE
-    same = similar._segments(np.array([True] + [False] * 1299), np.zeros(1300, np.int64))
-    assert same.tolist() == [0, 512, 1024]
-
-
 # -- chunks ---------------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Cohort retention, byte-level BPE and the filter audit, against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -152,10 +153,10 @@ def test_bpe_without_rows(spark):
 
 def test_bpe_refuses_a_changing_order(spark, monkeypatch):
     monkeypatch.setattr(bpe, "FREQUENT", 20)
-    by_chance = F.udf(lambda _: random.random(), "double").asNondeterministic()
-    rows = documents(spark, [(k, f"some words {k} {k * k} and more") for k in range(300)]).withColumn("chance", by_chance("doc_id"))
+    rows = documents(spark, [(k, f"some words {k} {k * k} and more") for k in range(300)])
+    mixed = lambda batches: (b.sample(frac=1, random_state=int.from_bytes(os.urandom(4))) for b in batches)
     with pytest.raises(Exception, match="another order"):
-        bpe.encode(rows.orderBy("chance"), queries.VOCABULARY).collect()
+        bpe.encode(rows.mapInPandas(mixed, rows.schema), queries.VOCABULARY).collect()
 
 
 def test_op12_over_the_documents(spark, plain):
