@@ -32,15 +32,15 @@ GROUP = 20_000
 END = 1
 # fixed value: the public vocabulary's own way to part words
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-# what that pattern takes for white space, in runs that are too long for its search
-_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+# what that pattern takes for white space, in runs on which its search would take long
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{32,}")
 
 
 def counter(vocabulary: bytes) -> Callable[[str], int]:
     """Counts a text's tokens, as the public tokenizer's pattern and vocabulary make them.
 
     The pattern takes a run of white space as one word, but for its last character, which begins the next word if there is
-    one. Its search remembers every character of a run and breaks on very long ones; those are cut out here, by that rule, and
+    one. Its search goes back over a run from each of its characters and breaks on very long ones; longer runs are cut out here, by that rule, and
     encoded as the one word that they are.
     """
     import tiktoken
