@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .runtime import join_groups, persist_table
 
 #: Rows of a client that one chunk holds, about.
-CHUNK = 50_000
+CHUNK = 2_000
 #: Rows that a task gathers before it searches them.
 BATCH = 200_000
 DAY = 86_400_000_000
