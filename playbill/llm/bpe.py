@@ -30,7 +30,7 @@ FREQUENT = 1_000_000
 #: Bytes of a word that may be sent to all tasks.
 FREQUENT_BYTES = 48
 #: Rows, and bytes of text, of a piece; a longer text is a piece of its own.
-PIECE_ROWS, PIECE_BYTES = 4096, 8 << 20
+PIECE_ROWS, PIECE_BYTES = 4096, 2 << 20
 #: Distinct words, and pre-tokens, of the corpus for each bucket of the shuffle on words.
 BUCKET_WORDS, BUCKET_TOKENS = 50_000, 5_000_000
 OTHER, LETTER, NUMBER, SPACE = range(4)
