@@ -10,6 +10,9 @@ from ..functions.truthy import first_truthy, truthy
 from .ordered import last_wins, ranked_pick
 
 KEY = ["id", "src_rank", "src_ord"]
+#: The columns that the two lookups give besides KEY.
+LBXD_ANSWER = "rating DOUBLE, poster STRING, description STRING, genres ARRAY<STRING>, country STRING, lb_director STRING, lb_director_slug STRING, lb_year INT"
+OMDB_ANSWER = ", ".join(f"om_{c} STRING" for c in ("Response", "Title", "Year", "Director", "Poster", "Genre", "Plot", "Country", "Runtime"))
 
 
 def original_title(title: Column) -> Column:

@@ -25,10 +25,9 @@ def movie_json(movies: DataFrame) -> DataFrame:
 
 
 def document(movies: DataFrame, directors: DataFrame, errors: DataFrame, generated: str) -> DataFrame:
-    """K1: one row, `value`: the whole document. A document is one text by nature, so it meets in one row."""
+    """K1: one row, `value`: the whole document, for small ones; `sink.write_document` writes it in parts."""
     films = movie_json(movies).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src_rank", "src_ord", "js"))), lambda m: m["js"]), ",\n").alias("movies"))
-    entry = F.concat(F.substring(F.to_json(F.struct(F.col("name").alias("k"))), 6, 1 << 20), F.lit(""))
-    key = F.regexp_replace(entry, r"\}$", "")
+    key = F.regexp_replace(F.expr("substring(to_json(struct(name as k)), 6)"), r"\}$", "")
     people = directors.select(F.struct("name", F.concat(key, F.lit(":"), F.to_json(F.struct("lbxd_slug", "photo", "bio"), {"ignoreNullFields": "false"})).alias("js")).alias("d"))
     people = people.agg(F.array_join(F.transform(F.array_sort(F.collect_list("d")), lambda d: d["js"]), ",\n").alias("directors"))
     failed = errors.agg(F.to_json(F.array_sort(F.collect_list(F.struct("cinema", "error")))).alias("errors"))

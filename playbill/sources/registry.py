@@ -32,12 +32,13 @@ def sources() -> list[Source]:
 
 
 def errors(landing: DataFrame) -> DataFrame:
-    """Failed fetches of the venues that report them: cinema, error."""
+    """Failed fetches of the venues that report them: cinema, error: what was wrong with the answer if that is known, else its status."""
     spark = landing.sparkSession
     house = {"nimas": "medeia", "campo_alegre": "medeia"}
     rows = [(house.get(s.cinema, s.cinema), s.name) for s in sources() if not s.swallows]
     named = spark.createDataFrame(rows, "source STRING, cinema STRING")
-    failed = landing.where("status is null or status <> 200").select("source", F.format_string("%s: status %s", "url", F.coalesce(F.col("status").cast("string"), F.lit("none"))).alias("error"))
+    wrong = F.when(F.col("status").isNull(), F.nullif("body", F.lit("")))
+    failed = landing.where("status is null or status <> 200").select("source", F.concat(F.coalesce("url", F.lit("")), F.lit(": "), F.coalesce(wrong, F.concat(F.lit("status "), F.coalesce(F.col("status").cast("string"), F.lit("none"))))).alias("error"))
     good = landing.where("status = 200").select("source").distinct()
     return failed.join(good, "source", "left_anti").join(named, "source").groupBy("cinema").agg(F.min("error").alias("error"))
 

@@ -12,6 +12,7 @@ from .base import as_movies, gather, numbered, pages, session
 CINEMA = "sao_jorge"
 EVENTS = "ARRAY<STRUCT<id: STRING, link: STRING, class_list: ARRAY<STRING>, title: STRUCT<rendered: STRING>, _embedded: STRUCT<`wp:featuredmedia`: ARRAY<STRUCT<source_url: STRING>>>>>"
 #: Classes of events that are films, and the names of genres.
+NO_FILM = r"(?iu)cinema\s+de\s+colo"
 FILM_CLASS = "categoria-de-evento-(filme|sessao-de-festival|afim-de-filmes)"
 GENRES = {
     "drama": "Drama", "comedia": "Comédia", "thriller": "Thriller", "terror": "Terror", "documentario": "Documentário", "animacao": "Animação",
@@ -54,11 +55,16 @@ def genres(classes: Column) -> Column:
     return F.array_distinct(F.transform(names, lambda g: F.coalesce(known[g], capitals(F.replace(g, F.lit("-"), F.lit(" "))))))
 
 
-def parse(landing: DataFrame, asof: Column, rank: int) -> DataFrame:
-    """Events that are films, with the date and time pairs of their pages."""
+def film_events(landing: DataFrame) -> DataFrame:
+    """(ord, e, plain) of the listed events that are films."""
     events = pages(landing, CINEMA, "wp-json").select(F.posexplode(F.from_json("body", EVENTS)).alias("ord", "e"))
     events = events.where(F.exists("e.class_list", lambda c: c.rlike(FILM_CLASS))).withColumn("plain", H.unescape(F.col("e.title.rendered")))
-    events = events.where(~F.col("plain").rlike(r"(?iu)cinema\s+de\s+colo")).withColumn("t", special_suffix(F.col("e.title.rendered")))
+    return events.where(~F.col("plain").rlike(NO_FILM))
+
+
+def parse(landing: DataFrame, asof: Column, rank: int) -> DataFrame:
+    """Events that are films, with the date and time pairs of their pages."""
+    events = film_events(landing).withColumn("t", special_suffix(F.col("e.title.rendered")))
     details = pages(landing, CINEMA).select("url", F.col("body").alias("page"), H.unescape(H.visible_text(F.col("body"))).alias("text"))
     joined = events.join(details, events["e.link"] == details["url"])
     joined = joined.withColumns(metadata(F.col("text"), F.col("page"))).withColumn("labels", F.array_compact(F.array("t.label", "guest")))

@@ -1,4 +1,4 @@
-"""The job as a stream: landed pages arrive as files, each batch refreshes the movies from all pages so far."""
+"""The job as a stream: landed pages arrive as files, each batch refreshes the venues that it changes."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..scratch import remove
+from ..sources.keyed import KeyedTable
+from .state import changed_pages, with_state_store
 
 
 def latest(pages: DataFrame) -> DataFrame:
@@ -18,31 +19,36 @@ def latest(pages: DataFrame) -> DataFrame:
     return newest.select("source", "url", "p.fetched_at", "p.status", "p.body")
 
 
-def listen(spark: SparkSession, path: str, state: str, checkpoint: str, refresh: Callable[[DataFrame, int], None]):
-    """Start the stream: `refresh(landing, batch)` gets the newest page of every address.
+def pages_table(spark: SparkSession, path: str) -> KeyedTable:
+    """The newest page of every address, by source and bucket of addresses."""
+    return KeyedTable(spark, path, model.LANDING, ["source", "url"], lead=("source",))
 
-    The state is a table for each batch, so a batch that is run again after a failure gives the same table; the two last are
-    kept. A batch whose predecessor's state is gone fails, as it would lose all earlier pages.
+
+def listen(spark: SparkSession, path: str, state: str, checkpoint: str, refresh: Callable[[DataFrame, int], None], every: int = 20):
+    """Start the stream: `refresh(landing, batch)` gets the newest pages of the sources that the batch has changed.
+
+    A batch passes on the pages that differ from what the stream has seen; these are a delta of the table of pages at `state`,
+    and of the table only the folders of changed sources are read. So the work of a batch grows with what it brings and with
+    the sources that this touches. A batch that is run again puts nothing twice. Deltas are put together `every` so many batches.
     """
+    with_state_store(spark)
+    table = pages_table(spark, state)
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch
-        if number:
-            if not _exists(spark, f"{state}/{number - 1}"):
-                raise RuntimeError(f"the state of batch {number - 1} is missing in {state}")
-            fresh = spark.read.schema(model.LANDING).parquet(f"{state}/{number - 1}").unionByName(batch)
-        latest(fresh).write.mode("overwrite").parquet(f"{state}/{number}")
-        refresh(spark.read.schema(model.LANDING).parquet(f"{state}/{number}"), number)
-        if number > 1:
-            remove(spark, f"{state}/{number - 2}")
+        batch = batch.persist()
+        try:
+            touched = [r[0] for r in batch.select("source").distinct().collect()]  # sources are venues and catalogues: some tens
+            if touched:
+                table.put(batch, "stream", number)
+                if number % every == every - 1:
+                    table.compact()
+                    table.tidy()
+                refresh(table.read(F.col("source").isin(touched)), number)
+        finally:
+            batch.unpersist()
 
     arriving = spark.readStream.schema(model.LANDING).parquet(path)
-    return arriving.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return changed_pages(arriving).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rolling_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
