@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,20 @@ def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)" + pattern), F.lit(group))
 
 
+def matches(texts: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
+    """(keys, pos, start, end, match): where each match of a pattern is, in characters from 0, `end` exclusive.
+
+    The text is parted by the pattern; a match begins where the parts and matches before it end. `keys` are a row's own, and the
+    pattern, which has no look-around across its ends, never matches nothing. A null text and one without a match have no rows.
+    """
+    inside = f"(?s){pattern}"
+    # the last part has no match after it
+    each = F.arrays_zip(F.split(text, inside, -1).alias("before"), F.regexp_extract_all(text, F.lit(inside), F.lit(0)).alias("match"))
+    rows = texts.select(*keys, F.posexplode(each).alias("pos", "x")).select(*keys, "pos", F.length("x.before").alias("before"), F.col("x.match").alias("match")).where("match is not null")
+    end = F.sum(F.col("before") + F.length("match")).over(Window.partitionBy(*keys).orderBy("pos"))
+    return rows.select(*keys, "pos", (end - F.length("match")).alias("start"), end.alias("end"), "match")
+
+
 def anchors(text: Column) -> Column:
     """G1: array of (href, text) in order."""
     pattern = r'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'

@@ -26,6 +26,11 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_bases()), r"\p{Mn}", "")
 
 
+def folded(text: Column) -> Column:
+    """The text under a collation that ignores case and accents in every script: equal names join, group and compare equal."""
+    return F.collate(text, "UNICODE_CI_AI")
+
+
 def norm_key(text: Column) -> Column:
     """lower case, no accents, only a-z, 0-9 and single spaces; null becomes empty."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_bases())

@@ -150,7 +150,7 @@ def wiki_entries(pages: DataFrame, search: DataFrame, entities: DataFrame) -> Da
     """
     from ..functions.text import first_sentences
 
-    hit = search.withColumn("other", F.lower("label") != F.lower("name")).groupBy("name").agg(F.min_by("id", F.struct("other", "pos")).alias("id"))
+    hit = search.withColumn("other", F.collate("label", "UNICODE_CI") != F.collate("name", "UNICODE_CI")).groupBy("name").agg(F.min_by("id", F.struct("other", "pos")).alias("id"))
     linked = hit.join(entities.withColumnsRenamed({"photo": "e_photo", "description": "e_bio"}), "id")
     bio = F.nullif(first_sentences(F.col("extract")), F.lit(""))
     out = pages.join(linked, "name", "full")

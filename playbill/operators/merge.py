@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
 from ..functions.truthy import truthy
 from ..scratch import remove, stored, written
+from .components import components
+
+#: Links of a component that one task scans: some MB.
+COMPONENT = 500_000
 
 #: Fields that a merged record takes from later ones where it has none, with their kinds.
 FILLED = {"director": "string", "year": "number", "duration": "number", "poster": "string", "genres": "array", "link": "string", "festival": "string"}
@@ -101,15 +106,43 @@ def fuzzy_links(classes: DataFrame) -> DataFrame:
     return left.join(both, "a").join(right, "b").where((F.col("i") < F.col("j")) & close).select("i", "j")
 
 
+def scanned(links: pd.DataFrame) -> pd.DataFrame:
+    """(j, owner) of one component's links (i, j), i < j, by the greedy scan."""
+    absorbed: dict[int, int] = {}
+    for i, j in zip(*(links.sort_values(["j", "i"])[c].tolist() for c in "ij")):
+        if j not in absorbed and i not in absorbed:
+            absorbed[j] = i
+    return pd.DataFrame({"j": list(absorbed), "owner": list(absorbed.values())}, dtype="int64")
+
+
 def star_owners(links: DataFrame) -> DataFrame:
     """(j, owner) of every class that is absorbed, by the greedy scan in order.
 
-    A class is absorbed by its least earlier neighbour that is not absorbed itself; absorbed ones absorb nothing. Each round
-    settles those whose earlier neighbours are settled, or of which one leads; a round is written before the next, and the one
-    before it removed. Rounds are as many as the longest chain of undecided neighbours.
+    A class is absorbed by its least earlier neighbour that is not absorbed itself; absorbed ones absorb nothing. The scan never
+    leaves a connected component: those of up to COMPONENT links are scanned by one task each, however long their chains,
+    and only larger ones are settled in rounds.
+    """
+    links, path = stored(links.distinct(), "links")
+    roots, scratch = components(links.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    # every j is the greater end of a link, so it is no root
+    joined, joined_path = stored(links.join(roots.select(F.col("node").alias("j"), "root"), "j"), "rooted")
+    giants, giants_path = stored(joined.groupBy("root").count().where(F.col("count") > COMPONENT).select("root"), "giants")
+    small = joined.join(giants, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: scanned(rows[["i", "j"]]), "j long, owner long")
+    owners = small if giants.isEmpty() else small.unionByName(_by_rounds(joined.join(giants, "root", "left_semi").select("i", "j")))
+    owners = written(owners, "owners")
+    for done in (path, joined_path, giants_path, *scratch):
+        remove(links.sparkSession, done)
+    return owners
+
+
+def _by_rounds(links: DataFrame) -> DataFrame:
+    """(j, owner) by rounds over all links at once, each written before the next.
+
+    A round settles those whose earlier neighbours are settled, or of which one leads: as many rounds as the longest chain of
+    undecided neighbours.
     """
     spark = links.sparkSession
-    links, links_path = stored(links.distinct(), "links")
+    links, links_path = stored(links, "links")
     nodes = links.select(F.col("i").alias("n")).union(links.select("j")).distinct()
     first = nodes.join(links.select(F.col("j").alias("n")).distinct(), "n", "left_anti").select("n", F.lit(True).alias("leads"))
     state, path = stored(first, "state")

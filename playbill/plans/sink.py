@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row
 
+from ..scratch import remove, stored
 from .publish import PREFIX, movie_json, replace_folder
 
 #: An entry: the section that it belongs to, its place there, and its text.
@@ -101,17 +102,29 @@ def entries(movies: DataFrame, directors: DataFrame, errors: DataFrame) -> DataF
     return rows.toDF(*[c.split()[0] for c in ENTRY.split(", ")])
 
 
-def write_document(movies: DataFrame, directors: DataFrame, errors: DataFrame, generated: str, path: str) -> None:
+def observed(movies: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame, Observation, Observation]:
+    """K3: both frames with their figures attached: movies and sessions, venues that failed. What reads the frames takes them."""
+    one, two = Observation(), Observation()
+    count = (F.count("*").alias("movies"), F.coalesce(F.sum(F.size("sessions")), F.lit(0)).alias("sessions"))
+    return movies.observe(one, *count), errors.observe(two, F.array_sort(F.collect_set("cinema")).alias("failed")), one, two
+
+
+def write_document(movies: DataFrame, directors: DataFrame, errors: DataFrame, generated: str, path: str) -> dict:
     """The published document, written beside the target by many tasks, then put in its place; `publish.previous` reads it.
 
-    The same bytes as `publish.document` gives.
+    The same bytes as `publish.document` gives. Returns movies, sessions and failed venues, counted while the job writes.
     """
     spark = movies.sparkSession
     spark.dataSource.register(DocumentSink)
     frame = [f'{PREFIX}{{"generated":{json.dumps(generated)},"movies":[', [[",\n", '],"directors":{'], [",\n", '},"errors":['], [",", "]};"]]]
-    rows = entries(movies, directors, errors).orderBy("section", "rank", "ord", "name", "js")
+    # entries are made once; ranges of them are found on the written table, so that nothing is counted twice
+    movies, errors, one, two = observed(movies, errors)
+    rows, scratch = stored(entries(movies, directors, errors), "entries")
+    rows = rows.orderBy("section", "rank", "ord", "name", "js")
     rows.write.format("document").option("frame", json.dumps(frame)).mode("overwrite").save(path + ".next")
     replace_folder(spark, path)
+    remove(spark, scratch)
+    return one.get | two.get
 
 
 def write_dump(movies: DataFrame, rank: int, path: str) -> None:

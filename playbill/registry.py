@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html as H
+from .functions import payload as P
 from .functions import temporal as T
 from .functions import text as X
 from .functions.truthy import first_truthy
 from .model import SESSION
 from .operators import enrich, merge, ordered
-from .plans import publish, refresh
+from .plans import publish, refresh, sink
 from .sources.base import as_movies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -675,3 +676,56 @@ def q50_metrics(spark, sf_dir):
     failed = table(spark, sf_dir, "region").select(F.col("r_name").alias("cinema"), F.lit("x").alias("error"))
     movies = _movies(spark, sf_dir).withColumn("sessions", F.coalesce("sessions", F.array().cast(f"array<{SESSION}>")))
     return publish.metrics(movies, failed).select("movies", F.col("sessions").cast("long").alias("sessions"), F.array_join("failed", ",").alias("failed"))
+
+
+# -- payloads, collations, spans, figures ---------------------------------------------------------------------------
+
+
+@query("SELECT event_id, (props ->> '$.k')::INT AS k, props ->> '$.none' AS missing FROM events")
+def q51_variant_fields(spark, sf_dir):
+    """Fields of a payload without a fixed schema."""
+    rows = table(spark, sf_dir, "events").withColumn("v", P.variant(F.col("props")))
+    return rows.select("event_id", P.at(F.col("v"), "$.k", "int").alias("k"), P.at(F.col("v"), "$.none").alias("missing"))
+
+
+@query("""
+    WITH c AS (SELECT click_id, props -> '$.items' AS items, props ->> '$.device.os' AS os FROM clicks WHERE json_valid(props)),
+    e AS (SELECT click_id, os, unnest(items::JSON[]) AS item, generate_subscripts(items::JSON[], 1) - 1 AS pos FROM c WHERE json_type(items) = 'ARRAY')
+    SELECT click_id, os, pos::INT AS pos, (item ->> '$.sku')::BIGINT AS sku, (item ->> '$.qty')::BIGINT AS qty FROM e""")
+def q52_variant_entries(spark, sf_dir):
+    """The elements of lists within payloads that may lack them."""
+    rows = P.entries(table(spark, sf_dir, "clicks").select("click_id", P.variant(F.col("props")).alias("v")), "v", "$.items")
+    return rows.select("click_id", P.at(F.col("v"), "$.device.os").alias("os"), "pos", P.at(F.col("entry"), "$.sku", "long").alias("sku"), P.at(F.col("entry"), "$.qty", "long").alias("qty"))
+
+
+@query("""
+    WITH n AS (SELECT client_id, lower(strip_accents(name)) AS k FROM clients WHERE name IS NOT NULL), c AS (SELECT client_id AS other, lower(strip_accents(upper(name))) AS k FROM clients WHERE name IS NOT NULL)
+    SELECT n.client_id, count(*) AS same, min(other) AS first FROM n JOIN c USING (k) GROUP BY 1""")
+def q53_names_agree(spark, sf_dir):
+    """Names that agree but for case and accents, joined by a collation."""
+    named = table(spark, sf_dir, "clients").where("name is not null")
+    by_name = named.select(F.col("client_id").alias("other"), X.folded(F.upper("name")).alias("k")).groupBy("k").agg(F.count("*").alias("same"), F.min("other").alias("first"))
+    return named.select("client_id", X.folded(F.col("name")).alias("k")).join(by_name, "k").select("client_id", "same", "first")
+
+
+@query(r"""
+    WITH p AS (SELECT page_id, string_split_regex(html, '<a\s[^>]*>') AS parts, regexp_extract_all(html, '<a\s[^>]*>') AS found FROM pages),
+    e AS (SELECT page_id, unnest(found) AS match, generate_subscripts(found, 1) AS k, parts, found FROM p)
+    SELECT page_id, (k - 1)::INT AS pos, (coalesce(list_sum(list_transform(parts[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start, match FROM e""")
+def q54_match_spans(spark, sf_dir):
+    """Where the matches of a pattern begin."""
+    found = H.matches(table(spark, sf_dir, "pages"), ["page_id"], "html", r"<a\s[^>]*>")
+    return found.select("page_id", "pos", "start", "match")
+
+
+@query("""
+    SELECT count(*) AS movies, count(*) FILTER (WHERE p_size % 5 > 0) AS sessions, (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS failed FROM part""")
+def q55_observed_metrics(spark, sf_dir):
+    """K3: the same figures as q50, taken while the frames are written, without a scan of their own."""
+    failed = table(spark, sf_dir, "region").select(F.col("r_name").alias("cinema"), F.lit("x").alias("error"))
+    movies = _movies(spark, sf_dir).withColumn("sessions", F.coalesce("sessions", F.array().cast(f"array<{SESSION}>")))
+    movies, failed, one, two = sink.observed(movies, failed)
+    for frame in (movies, failed):
+        frame.write.format("noop").mode("overwrite").save()
+    figures = one.get | two.get
+    return spark.createDataFrame([(figures["movies"], figures["sessions"], ",".join(figures["failed"]))], "movies long, sessions long, failed string")
