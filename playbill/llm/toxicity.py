@@ -31,14 +31,16 @@ TRAIN_SEQUENCES, SEQUENCE = 4000, 48
 #: Marks are this many times as frequent in toxic documents (as a natural logarithm), and a share of them, at most, is due to chance.
 MARK_LIFT, MARK_FALSE = 3.0, 0.05
 BUCKETS = 1 << 16
+#: Letters of a word that count as its own mark.
+LONG = 48
 _TOKEN = re.compile(r"[^\W_]+")
 #: Scores of distinct tokens that a worker keeps; beyond this it starts anew.
 MEMO = 200_000
 
 
 def stems(token: str) -> list[str]:
-    """The word itself and its first 4 to 6 letters, if it has more."""
-    return [token, *(token[:k] + "~" for k in (4, 5, 6) if len(token) > k)]
+    """The word itself, or the start of a very long one, and its first 4 to 6 letters, if it has more."""
+    return [token[:LONG], *(token[:k] + "~" for k in (4, 5, 6) if len(token) > k)]
 
 
 def token_features(token: str) -> list[int]:
@@ -215,7 +217,8 @@ def _marks(rows: DataFrame) -> set[str]:
 
     A likelihood ratio tests whether a word is in more of the toxic documents than of the others. Of all words in toxic
     documents, those pass that keep the expected share of chance findings at MARK_FALSE (Benjamini and Hochberg's rule): the
-    fewer labelled documents there are, the more witnesses a word needs, at any size.
+    fewer labelled documents there are, the more witnesses a word needs, at any size. The chance of a finding is Chernoff's bound,
+    which holds for few witnesses too; a chi-square would make it ten times too small there and let chance words pass.
     """
 
     def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -233,9 +236,9 @@ def _marks(rows: DataFrame) -> set[str]:
     n = F.col("t") + F.col("c")
     ratio = 2 * (F.col("t") * F.log(F.col("t") / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0))
     tested, _ = persist_table(sums.where("t > 0").select("stem", ratio.alias("ratio"), (lift > MARK_LIFT).alias("lifted")), "stems")
-    found = tested.where("lifted").orderBy(F.desc("ratio"), "stem").toArrow()
-    # the ratio is the square of a normal variable where a word tells nothing
-    chance = np.array([math.erfc(math.sqrt(max(0.0, r) / 2)) / 2 for r in found.column("ratio").to_pylist()])
+    # no rank lets a greater chance than MARK_FALSE pass
+    found = tested.where("lifted").where(F.col("ratio") >= -2 * math.log(MARK_FALSE)).orderBy(F.desc("ratio"), "stem").toArrow()
+    chance = np.exp(-found.column("ratio").to_numpy() / 2)
     passing = np.flatnonzero(chance <= MARK_FALSE * np.arange(1, len(chance) + 1) / max(1, tested.count()))
     return set(found.column("stem").to_pylist()[: passing[-1] + 1]) if len(passing) else set()
 
