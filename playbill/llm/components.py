@@ -1,47 +1,5 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table; see the operator."""
 
-from __future__ import annotations
+from ..operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .runtime import drop_table, persist_table
-
-#: Rounds needed grow with the logarithm of the longest chain; this is only a guard against a defect.
-MAX_ROUNDS = 60
-
-
-def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-
-
-def _small_star(links: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the least of those."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    lower = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return lower.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-
-
-def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The least node reachable from every node that has a link.
-
-    `links`: columns u and v (long), in any direction, repeats and loops allowed; rows with a null are ignored. Returns a
-    frame (node, root) without the roots themselves, and the scratch tables it reads. No links: an empty frame. Each round
-    is written to the shared folder, so a lost executor costs at most one round.
-    """
-    spark = links.sparkSession
-    links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    table, path = persist_table(links, "links")
-    state = None
-    for _ in range(MAX_ROUNDS):
-        seen = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == state or not seen["n"]:
-            return table.select(F.col("u").alias("node"), F.col("v").alias("root")), [path]
-        state = (seen["n"], seen["h"])
-        stepped, new = persist_table(_small_star(_large_star(table).distinct()).distinct(), "links")
-        drop_table(spark, path)
-        table, path = stepped, new
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+__all__ = ["components"]
