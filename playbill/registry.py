@@ -15,7 +15,10 @@ from .functions.truthy import first_truthy
 from .model import SESSION
 from .operators import enrich, merge, ordered
 from .plans import publish, refresh, sink
+from .scratch import place
+from .sources import catalogue, cinemateca, frontier, medeia, sao_jorge, store, trindade
 from .sources.base import as_movies
+from .sources.keyed import KeyedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -729,3 +732,181 @@ def q55_observed_metrics(spark, sf_dir):
         frame.write.format("noop").mode("overwrite").save()
     figures = one.get | two.get
     return spark.createDataFrame([(figures["movies"], figures["sessions"], ",".join(figures["failed"]))], "movies long, sessions long, failed string")
+
+
+# -- parsers and stores over pages written out from the tables -------------------------------------------------------
+
+_AT = "2026-03-20 08:00:00"
+
+
+def _landing(rows, source, url, body):
+    """model.LANDING of one page for each row."""
+    return rows.select(F.lit(source).alias("source"), url.alias("url"), F.lit(_AT).cast("timestamp").alias("fetched_at"), F.lit(200).alias("status"), body.alias("body"))
+
+
+@query("""
+    SELECT 'trindade_' || p_partkey AS id, p_name AS title, 1990 + p_size AS year, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 60 + p_size END AS duration,
+           CASE WHEN p_size % 4 = 0 THEN NULL ELSE (SELECT n_name FROM nation WHERE n_nationkey = p_size % 25) || ', ' || (SELECT n_name FROM nation WHERE n_nationkey = (p_size + 1) % 25) END AS director,
+           CASE WHEN p_size % 5 > 0 THEN 'https://img/' || (p_size % 5) END AS poster, '2026-04-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0') AS date, '21:30' AS time, CASE WHEN p_size % 2 = 0 THEN p_type END AS labels
+    FROM part""")
+def q56_hydration_films(spark, sf_dir):
+    """A venue's films from records in hydration payloads, directors and posters from keyed records."""
+    size, c = F.col("p_size"), F.col
+    shown = F.struct(F.concat(F.lit("2026-04-"), F.lpad((1 + size % 28).cast("string"), 2, "0")).alias("date"), F.struct(F.lit("21:30").alias("start")).alias("time"), F.when(size % 2 == 0, F.concat(F.lit(" "), c("p_type"))).alias("notes"))
+    people = F.when(size % 4 == 0, F.array().cast("array<int>")).otherwise(F.array(size % 25, (size + 1) % 25))
+    film = F.struct(c("p_partkey").alias("id"), F.concat(F.lit("s"), c("p_partkey")).alias("slug"), c("p_name").alias("title"), (1990 + size).alias("year"), F.when(size % 3 > 0, 60 + size).alias("runtime"),
+                    F.when(size % 5 > 0, size % 5).alias("poster"), people.alias("directors"), F.array(shown, shown.withField("date", F.lit("2026-01-01"))).alias("sessions"))
+    pad = F.lit(" " * 1000)
+    part = table(spark, sf_dir, "part").withColumn("film", F.to_json(film)).groupBy((c("p_partkey") % 1000).alias("page")).agg(F.collect_list("film").alias("films"))
+    script = F.concat(F.lit("<script>x</script><script>"), F.to_json(F.concat(F.array(F.lit("x"), pad), c("films"))), F.lit("</script>"))
+    pages = _landing(part, "trindade", F.concat(F.lit("https://t/programa/"), "page"), script)
+    named = _landing(table(spark, sf_dir, "nation"), "trindade", F.concat(F.lit("https://t/directors/"), "n_nationkey"), F.to_json(F.struct(F.struct(c("n_name").alias("rendered")).alias("title"))))
+    images = _landing(spark.range(1, 5), "trindade", F.concat(F.lit("https://t/media/"), "id"), F.to_json(F.struct(F.concat(F.lit("https://img/"), "id").alias("source_url"))))
+    films = trindade.parse(pages.unionByName(named).unionByName(images), F.lit("2026-03-20").cast("date"), 0)
+    return films.select("id", "title", "year", "duration", "director", "poster", F.explode("sessions").alias("s")).select("id", "title", "year", "duration", "director", "poster", "s.date", "s.time", F.array_join("s.labels", ",").alias("labels"))
+
+
+@query("""
+    SELECT 'nimas_f' || p_partkey AS id, p_name AS title, nullif(CASE WHEN p_size % 4 > 0 THEN p_brand ELSE '' END, '') AS director, 1990 + p_size AS year, 60 + p_size AS duration, '2026-04-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0') AS date, unnest(['21:30', '15:00']) AS time
+    FROM part WHERE p_size % 3 > 0""")
+def q57_script_events(spark, sf_dir):
+    """A house's list page and film pages, JSON in scripts; what is shown elsewhere is left out."""
+    size, c = F.col("p_size"), F.col
+    part = table(spark, sf_dir, "part")
+    url = F.concat(F.lit("https://m/filmes/f"), "p_partkey")
+    script = lambda data: F.concat(F.lit("<script>var x;</script><script>global.data = "), F.to_json(data), F.lit(";</script>"))
+    event = F.struct(c("p_name").alias("title"), F.when(size % 4 > 0, c("p_brand")).otherwise("").alias("director"), url.alias("url"), F.create_map(F.when(size % 3 > 0, F.lit("cinema-medeia-nimas")).otherwise(F.lit("elsewhere")), F.lit("{}")).alias("theaters"))
+    lists = part.withColumn("event", event).groupBy((c("p_partkey") % 1000).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(c("p_partkey").cast("string"), "event"))).alias("events"))
+    lists = _landing(lists, "medeia", F.concat(F.lit("https://m/filmes-em-exibicao/"), "page"), script(F.struct(F.struct("events").alias("schedule"))))
+    date = F.concat(F.lit("2026-04-"), F.lpad((1 + size % 28).cast("string"), 2, "0"))
+    shown = F.struct(date.alias("date"), F.array(F.lit("21:30"), F.lit("15:00")).alias("hours"), F.create_map().cast("map<string, struct<type: string, text: string>>").alias("info"))
+    programme = F.create_map(F.lit("a"), F.struct(F.lit("cinema-medeia-nimas").alias("slug"), F.create_map(F.lit("s"), shown).alias("sessions")), F.lit("b"), F.struct(F.lit("elsewhere").alias("slug"), F.create_map(F.lit("s"), shown).alias("sessions")))
+    length = F.concat(F.floor((60 + size) / 60), F.lit("h"), F.lpad(((60 + size) % 60).cast("string"), 2, "0"))
+    films = _landing(part, "medeia", url, script(F.struct(F.struct(F.concat((1990 + size).cast("string"), F.lit("/2")).alias("production_year"), length.alias("length"), programme.alias("programme")).alias("film"))))
+    movies = medeia.parse(lists.unionByName(films), F.lit("2026-03-20").cast("date"), 0, "nimas", "cinema-medeia-nimas")
+    return movies.select("id", "title", "director", "year", "duration", F.explode("sessions").alias("s")).select("id", "title", "director", "year", "duration", "s.date", "s.time")
+
+
+@query("""
+    SELECT 'p' || p_partkey AS slug, (p_size % 10 / 2.0)::DOUBLE AS rating, 'https://a.ltrbxd.com/' || p_partkey || '-0-500-0-750-crop.jpg' AS poster, p_type || ' & <more>' AS description,
+           CASE WHEN p_size % 3 > 0 THEN 'Science Fiction,War' END AS genres, CASE WHEN p_size % 4 > 0 THEN p_brand END AS country, p_name AS lb_director, 1990 + p_size AS lb_year
+    FROM part""")
+def q58_catalogue_pages(spark, sf_dir):
+    """Catalogue records from film pages."""
+    size, c = F.col("p_size"), F.col
+    page = F.concat(
+        F.lit("<title>A film ("), (1990 + size).cast("string"), F.lit(") directed</title><meta name=\"twitter:data2\" content=\""), F.format_number((size % 10) / 2, 1), F.lit(" out\">"), F.lit('<script>"image": "https://a.ltrbxd.com/'), c("p_partkey").cast("string"),
+        F.lit('-0-230-0-345-crop.jpg"</script><meta property="og:description" content=" '), c("p_type"), F.lit(' &amp; &lt;more&gt; ">'), F.when(size % 3 > 0, F.lit('<a href="/films/genre/science-fiction/">x</a><a href="/films/genre/war/">y</a><a href="/films/genre/war/">y</a>')).otherwise(""),
+        F.when(size % 4 > 0, F.concat(F.lit('<a href="/films/country/x/"> '), c("p_brand"), F.lit(" </a>"))).otherwise(""), F.lit('<a href="/director/d/"> '), c("p_name"), F.lit(" </a>"),
+    )
+    found = catalogue.lbxd_pages(_landing(table(spark, sf_dir, "part"), "lbxd", F.concat(F.lit("https://l/film/p"), c("p_partkey"), F.lit("/")), page))
+    return found.select("slug", "rating", "poster", "description", F.array_join("genres", ",").alias("genres"), "country", "lb_director", "lb_year")
+
+
+@query("""
+    SELECT p_name || ' ' || p_partkey AS query_title, CASE WHEN p_size % 2 = 0 THEN 1990 + p_size END AS query_year, 'True' AS response, p_type AS title, (1990 + p_size)::VARCHAR AS year FROM part""")
+def q59_query_records(spark, sf_dir):
+    """Catalogue records by query; the query is in the address."""
+    size, c = F.col("p_size"), F.col
+    url = F.concat(F.lit("https://o/?t="), F.url_encode(F.concat_ws(" ", "p_name", c("p_partkey").cast("string"))), F.when(size % 2 == 0, F.concat(F.lit("&y="), (1990 + size).cast("string"))).otherwise(F.lit("&y=")))
+    body = F.to_json(F.struct(F.lit("True").alias("Response"), c("p_type").alias("Title"), (1990 + size).cast("string").alias("Year")))
+    return catalogue.omdb_records(_landing(table(spark, sf_dir, "part"), "omdb", url, body)).select("query_title", "query_year", c("Response").alias("response"), c("Title").alias("title"), c("Year").alias("year"))
+
+
+@query("""
+    SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'photo' || c_custkey WHEN c_custkey % 2 = 0 THEN 'https://commons.wikimedia.org/wiki/Special:FilePath/' || c_custkey || '_b.jpg?width=300' END AS photo,
+           CASE WHEN c_custkey % 5 > 0 THEN 'One. Two. Three.' WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN c_mktsegment END AS bio
+    FROM customer""")
+def q60_people(spark, sf_dir):
+    """Photo and biography of people: the page's, else those of the best search hit."""
+    c, k = F.col, F.col("c_custkey")
+    people = table(spark, sf_dir, "customer")
+    asked = lambda base: F.concat(F.lit(base), F.url_encode("c_name"))
+    page = F.struct(F.when(k % 5 > 0, F.lit("One. Two. Three. Four.")).otherwise(F.lit("")).alias("extract"), F.when(k % 3 == 0, F.struct(F.concat(F.lit("photo"), k).alias("source"))).alias("thumbnail"))
+    wiki = _landing(people, "wiki", asked("https://w/?titles="), F.to_json(F.struct(F.struct(F.create_map(k.cast("string"), page).alias("pages")).alias("query"))))
+    hit = lambda mark, label: F.struct(F.concat(F.lit(mark), k).alias("id"), label.alias("label"))
+    search = _landing(people, "wikidata_search", asked("https://d/?search="), F.to_json(F.struct(F.array(hit("X", F.lit("Other")), hit("Q", F.upper("c_name"))).alias("search"))))
+    image = F.struct(F.array(F.struct(F.struct(F.struct(F.concat(k.cast("string"), F.lit(" b.jpg")).alias("value")).alias("datavalue")).alias("mainsnak"))).alias("P18"))
+    entity = F.struct(image.alias("claims"), F.struct(F.struct(c("c_mktsegment").alias("value")).alias("en")).alias("descriptions"))
+    entities = _landing(people.where(k % 2 == 0), "wikidata_entity", F.concat(F.lit("https://d/entity/Q"), k), F.to_json(entity))
+    return enrich.wiki_entries(catalogue.wiki_pages(wiki), catalogue.wikidata_search(search), catalogue.wikidata_entities(entities))
+
+
+@query("""
+    SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1""")
+def q61_keyed_table(spark, sf_dir):
+    """A keyed table over two runs: the later run's rows replace the earlier ones; a lookup of every key."""
+    orders = table(spark, sf_dir, "orders")
+    middle = orders.agg(F.expr("percentile_approx(o_orderkey, 0.5)")).first()[0]
+    newest = lambda rows: rows.groupBy(F.col("o_custkey").alias("k")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
+    kept = KeyedTable(spark, place(spark, "q61"), "k BIGINT, status STRING", ["k"])
+    for rows in (orders.where(F.col("o_orderkey") <= middle), orders.where(F.col("o_orderkey") > middle)):
+        kept.put(newest(rows))
+    return kept.look_up(orders.select(F.col("o_custkey").alias("k")))
+
+
+@query("""
+    WITH pages AS (SELECT 'https://n/page/' || p_partkey AS url, p_name AS body, p_size FROM part)
+    SELECT l_orderkey AS id, l_linenumber AS line, body FROM lineitem JOIN pages ON url = 'https://n/page/' || l_partkey WHERE p_size % 4 > 0""")
+def q62_looked_up_pages(spark, sf_dir):
+    """Details from landed pages by their address, from the folder by source and shard."""
+    part, c = table(spark, sf_dir, "part"), F.col
+    page = lambda key: F.concat(F.lit("https://n/page/"), key)
+    path = place(spark, "q62")
+    good = _landing(part, "n", page(c("p_partkey")), c("p_name"))
+    older = good.withColumns({"fetched_at": c("fetched_at") - F.expr("interval 1 day"), "body": F.lit("older")})
+    store.land(good.where(F.col("p_size") % 4 > 0).unionByName(older.where(F.col("p_size") % 4 > 0)).unionByName(good.where(F.col("p_size") % 4 == 0).withColumn("status", F.lit(500))), path)
+    wanted = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), page(c("l_partkey")).alias("url"))
+    return store.looked_up(wanted, store.landed(spark, path), "n").select("id", "line", "body")
+
+
+@query("""
+    SELECT DISTINCT 'medeia' AS source, 'https://m/filmes/f' || p_partkey AS url FROM part WHERE p_size % 2 > 0 AND p_size % 5 > 0""")
+def q63_frontier(spark, sf_dir):
+    """The addresses that landed list pages lead to, without those that have landed."""
+    size, c = F.col("p_size"), F.col
+    part = table(spark, sf_dir, "part")
+    url = F.concat(F.when(size % 2 > 0, F.lit("https://m/filmes/f")).otherwise(F.lit("https://m/eventos/f")), "p_partkey")
+    lists = part.withColumn("event", F.struct(c("p_name").alias("title"), url.alias("url"))).groupBy((c("p_partkey") % 1000).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(c("p_partkey").cast("string"), "event"))).alias("events"))
+    script = F.concat(F.lit("<script>global.data = "), F.to_json(F.struct(F.struct("events").alias("schedule"))), F.lit(";</script>"))
+    landed = _landing(lists, "medeia", F.concat(F.lit("https://m/filmes-em-exibicao/"), "page"), script).unionByName(_landing(part.where(size % 5 == 0), "medeia", url, F.lit("x")))
+    return frontier.frontier(landed, F.lit("2026-03-20").cast("date"), starts=()).select("source", "url")
+
+
+@query("""
+    SELECT 'sao_jorge_' || p_partkey AS id, p_name AS title, CASE WHEN p_size % 4 > 0 THEN 'João da Silva' END AS director, CASE WHEN p_size % 5 > 0 THEN 60 + p_size END AS duration, CASE WHEN p_size % 2 = 0 THEN 'Festa ' || p_brand END AS festival,
+           'Drama,Ficção Científica,New Wave' AS genres, '2026-04-' || lpad((1 + p_size % 28)::VARCHAR, 2, '0') AS date, unnest(['15:00', '21:30']) AS time
+    FROM part WHERE p_size % 3 > 0""")
+def q64_events_and_details(spark, sf_dir):
+    """Events that are films, with what their pages say."""
+    size, c = F.col("p_size"), F.col
+    part = table(spark, sf_dir, "part")
+    link = F.concat(F.lit("https://s/e"), "p_partkey")
+    classes = F.array(F.when(size % 3 > 0, F.lit("categoria-de-evento-filme")).otherwise(F.lit("categoria-de-evento-concerto")), F.lit("genre-drama"), F.lit("genre-ficcao-cientifica"), F.lit("genre-new-wave"), F.lit("genre-drama"))
+    event = F.struct(c("p_partkey").alias("id"), link.alias("link"), classes.alias("class_list"), F.struct(c("p_name").alias("rendered")).alias("title"))
+    lists = part.withColumn("event", event).groupBy((c("p_partkey") % 1000).alias("page")).agg(F.to_json(F.collect_list("event")).alias("events"))
+    date = F.concat(F.lit('<time datetime="2026-04-'), F.lpad((1 + size % 28).cast("string"), 2, "0"), F.lit('">x</time> '))
+    page = F.concat(
+        F.lit("<style>9'</style><script>99' x</script>"), F.when(size % 2 == 0, F.concat(F.lit('<span id="x" class="big tag x">Festa '), c("p_brand"), F.lit("</span>"))).otherwise(F.lit('<span class="tag">M/12</span>')),
+        F.when(size % 5 > 0, F.concat((60 + size).cast("string"), F.lit("' "))).otherwise(""), F.when(size % 4 > 0, F.lit("Realização <b>João da Silva</b> Com Rita Blanco ")).otherwise(F.lit("Com Rita ")),
+        date, F.lit('<time datetime="21:30">x</time>'), date, F.lit('<time datetime="15:00">x</time>'), date, F.lit('<time datetime="21:30">x</time>'),
+    )
+    landed = _landing(lists, "sao_jorge", F.concat(F.lit("https://s/wp-json/"), "page"), c("events")).unionByName(_landing(part, "sao_jorge", link, page))
+    movies = sao_jorge.parse(landed, F.lit("2026-03-20").cast("date"), 0)
+    return movies.select("id", "title", "director", "duration", "festival", F.array_join("genres", ",").alias("genres"), F.explode("sessions").alias("s")).select("id", "title", "director", "duration", "festival", "genres", "s.date", "s.time")
+
+
+@query("""
+    SELECT 'cinemateca_' || p_partkey AS id, 'Film ' || p_partkey AS title, 'Ana Sá' AS director, 1950 + p_size AS year, 60 + p_size AS duration, unnest(['2026-04-' || lpad((1 + p_size % 14)::VARCHAR, 2, '0'), '2026-04-' || lpad((15 + p_size % 14)::VARCHAR, 2, '0')]) AS date, '19:30' AS time
+    FROM part""")
+def q65_daily_pages(spark, sf_dir):
+    """Films from daily pages; a film's sessions of several days, each once."""
+    size, c = F.col("p_size"), F.col
+    shows = table(spark, sf_dir, "part").withColumn("day", F.explode(F.array(1 + size % 14, 15 + size % 14)))
+    shows = shows.withColumn("dd", F.lpad(c("day").cast("string"), 2, "0"))
+    block = F.concat(F.lit('<a href="?id='), c("p_partkey"), F.lit('&x"><div>'), "dd", F.lit('/04/2026, 19h30 | Sala</div><div class="infoTitle x">FILM '), c("p_partkey"), F.lit('</div><span class="colorPink">de </span>Ana S&aacute;<p>'), (1950 + size).cast("string"), F.lit(" - "), (60 + size).cast("string"), F.lit(" min</p></a>"))
+    # a day's page in parts, each of which shows every film twice
+    pages = shows.withColumn("block", block).groupBy("dd", (c("p_partkey") % 100).alias("part")).agg(F.array_join(F.flatten(F.array(F.collect_list("block"), F.collect_list("block"))), "").alias("body"))
+    landed = _landing(pages, "cinemateca", F.concat(F.lit("https://cinemateca.pt/Programacao.aspx?date=2026-04-"), "dd", F.lit("&part="), "part"), c("body"))
+    movies = cinemateca.parse(landed, F.lit("2026-03-20").cast("date"), 0)
+    return movies.select("id", "title", "director", "year", "duration", F.explode("sessions").alias("s")).select("id", "title", "director", "year", "duration", "s.date", "s.time")

@@ -31,10 +31,16 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `release` removes with the tables."""
+    path = f"{folder(spark)}/playbill_{name}_{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The frame, written and read back, and its path: its lineage ends there, and a lost executor costs no earlier work."""
-    path = f"{folder(df.sparkSession)}/playbill_{name}_{uuid.uuid4().hex}"
-    _STORED.append(path)
+    path = place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

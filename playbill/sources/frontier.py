@@ -64,7 +64,7 @@ RECORDS, FESTIVAL = "https://api.cinematrindade.pt/wp-json/wp/v2", "https://indi
 
 def first_pages(spark: SparkSession, asof: Column, starts: tuple[Start, ...] = STARTS) -> DataFrame:
     """ADDRESS of the starts, one row for each day of a window."""
-    rows = spark.createDataFrame([(s.source, s.url, s.days, s.back) for s in starts], "source STRING, url STRING, days INT, back INT")
+    rows = spark.createDataFrame([(s.source, s.url, s.days, s.back) for s in starts or ()], "source STRING, url STRING, days INT, back INT")
     day = F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("k")
     on = lambda days: F.date_format(F.date_add(asof.cast("date"), days), "yyyy-MM-dd")
     url = F.replace(F.replace("url", F.lit("{day}"), on(F.col("k"))), F.lit("{since}"), on(-F.col("back")))
