@@ -108,6 +108,7 @@ def test_descriptions(spark):
         None, "só texto", "",
         "UM FILME\n“Um”\nDOIS\ncom Zé e outros\nde Ana\nPortugal, 1966, 1979 – 4, 44 min\nUltimo\nde\u00a0Rui\nEUA, 2000 – 90 min\nDuração total: 138 min\nDEPOIS\nde Eva\nEUA, 2001 - 5 min",
         "Sem director\n1999 – 20 min\n\n\nBOM\nfrase em minúsculas\nde Eva\nde Rui e Eva\n1980 - 7 min",
+        "de Ana\nA VIDA\nde Rui Sá\nPortugal, 1999 – 20 min\n\nFrança, 1999 – 20 min\nUM\nde Eva\nEUA, 2000 – 5 min",
     ]
     assert described(spark, *texts) == [
         [("A Vida", "Rui Sá", 1999, 20), ("Outra", "Ana", 2001, 30)],
@@ -115,6 +116,7 @@ def test_descriptions(spark):
         [], [], [],
         [("Um Filme", "Ana", 1966, 4), ("Dois", "Ana", 1979, 44), ("Ultimo", "Rui", 2000, 90)],
         [("Bom", "Rui e Eva", 1980, 7)],
+        [("de Ana", "Rui Sá", 1999, 20), ("França, 1999 – 20 min", "Eva", 2000, 5)],
     ]
 
 
