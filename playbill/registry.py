@@ -212,7 +212,7 @@ def q13_url_slug(spark, sf_dir):
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def q14_json_props(spark, sf_dir):
-    """A number from JSON."""
+    """A3: a number from JSON of a fixed schema; q51 and q57 have the payloads without one."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
@@ -220,7 +220,7 @@ def q14_json_props(spark, sf_dir):
     SELECT o_orderkey, count(*) AS n_lines, min(l_linenumber) AS first_line FROM orders JOIN lineitem ON l_orderkey = o_orderkey
     WHERE o_orderdate >= DATE '1996-01-01' AND l_shipdate >= DATE '1996-06-01' GROUP BY o_orderkey""")
 def q15_future_filter(spark, sf_dir):
-    """Orders from a day on that still have lines from a later day on."""
+    """The rule of B2 and B3 on orders and lines; q49 runs the operator on sessions."""
     orders = table(spark, sf_dir, "orders").where("o_orderdate >= DATE'1996-01-01'").select("o_orderkey")
     lines = table(spark, sf_dir, "lineitem").where("l_shipdate >= DATE'1996-06-01'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.min("l_linenumber").alias("first_line"))
     return orders.join(lines, "o_orderkey")
@@ -230,7 +230,7 @@ def q15_future_filter(spark, sf_dir):
     WITH s AS (SELECT c_mktsegment, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
     SELECT c_mktsegment, strftime(unnest(generate_series(a, b, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM s""")
 def q16_date_expand(spark, sf_dir):
-    """Every day between a segment's first and last order."""
+    """Every day between a segment's first and last order; q68 reads ranges of days from text."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     ends = joined.groupBy("c_mktsegment").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
     return ends.where("a <= b").select("c_mktsegment", F.explode(F.sequence("a", "b")).alias("day")).select("c_mktsegment", F.date_format("day", "yyyy-MM-dd").alias("day"))
@@ -301,7 +301,7 @@ def q22_blocklist(spark, sf_dir):
 @query("""
     SELECT p_brand AS name, arg_min(coalesce(nullif(p_size % 3, 0)::VARCHAR, 'none'), p_partkey) AS slug, min(p_partkey) AS first_key FROM part GROUP BY p_brand""")
 def q23_director_dimension(spark, sf_dir):
-    """2.I: the first row of each name, its null kept."""
+    """The rule of 2.I on parts: the first row of each name, its null kept; q67 runs the operator."""
     part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.nullif(F.col("p_size") % 3, F.lit(0)).cast("string").alias("slug"), F.col("p_partkey").alias("first_key"))
     return ordered.first_seen(part, ["name"], ["first_key"]).select("name", F.coalesce("slug", F.lit("none")).alias("slug"), "first_key")
 
@@ -395,7 +395,7 @@ def q31_genre_topk(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(value * 100 AS BIGINT))::BIGINT AS cents FROM events GROUP BY event_type")
 def q32_venue_summary(spark, sf_dir):
-    """K3: counts by venue."""
+    """Counts by venue, on events; q50 and q55 run the operators."""
     cents = F.round(F.col("value") * 100).cast("long")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.sum(cents).alias("cents"))
 
@@ -419,7 +419,7 @@ def q34_first_sentences(spark, sf_dir):
 
 @query("SELECT p_partkey, p_name AS title, p_size AS year, p_brand AS brand FROM part")
 def q35_payload_rows(spark, sf_dir):
-    """Records through the published JSON and back."""
+    """Records through JSON behind an assignment and back; q66 publishes and reads documents."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.col("p_brand").alias("brand"))
     wrapped = part.select(F.concat(F.lit("window.DATA = "), F.to_json(F.struct(*part.columns)), F.lit(";")).alias("js"))
     bare = F.regexp_replace(F.regexp_replace("js", r"^window\.DATA = ", ""), ";$", "")
@@ -910,3 +910,42 @@ def q65_daily_pages(spark, sf_dir):
     landed = _landing(pages, "cinemateca", F.concat(F.lit("https://cinemateca.pt/Programacao.aspx?date=2026-04-"), "dd", F.lit("&part="), "part"), c("body"))
     movies = cinemateca.parse(landed, F.lit("2026-03-20").cast("date"), 0)
     return movies.select("id", "title", "director", "year", "duration", F.explode("sessions").alias("s")).select("id", "title", "director", "year", "duration", "s.date", "s.time")
+
+
+@query("""
+    SELECT p_partkey::VARCHAR AS id, p_name || CASE WHEN p_partkey % 4 = 0 THEN ' (' || p_type || ')' ELSE '' END AS title, p_brand AS director, 1990 + p_size % 10 AS year, CASE WHEN p_size % 4 = 0 THEN p_size END AS duration,
+           CASE WHEN p_size % 5 > 0 THEN '2026-01-' || lpad(p_size::VARCHAR, 2, '0') END AS date, row_number() OVER (ORDER BY p_partkey) - 1 AS place
+    FROM part""")
+def q66_published_and_read(spark, sf_dir):
+    """A document written in parts by many tasks, and its movies read back in their order."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("lbxd_slug", "photo", "bio")])
+    failed = table(spark, sf_dir, "region").select(F.col("r_name").alias("cinema"), F.lit('x "y"').alias("error"))
+    movies = _movies(spark, sf_dir).withColumn("sessions", F.coalesce("sessions", F.array().cast(f"array<{SESSION}>")))
+    path = place(spark, "q66")
+    sink.write_document(movies, names, failed, "2026-03-20T08:00:00Z", path)
+    back = publish.previous(spark, path)
+    return back.select("id", "title", "director", "year", "duration", F.try_element_at("sessions", F.lit(1))["date"].alias("date"), F.col("src_ord").cast("long").alias("place"))
+
+
+@query("""
+    WITH d AS (SELECT p_brand AS name, arg_min(coalesce(CASE WHEN p_size % 3 > 0 THEN 's' || p_size END, ''), p_partkey) AS slug FROM part GROUP BY 1),
+    w AS (SELECT p_brand AS name, min(p_type) AS photo FROM part WHERE p_size % 2 = 0 GROUP BY 1)
+    SELECT name, nullif(slug, '') AS lbxd_slug, photo, CASE WHEN photo IS NULL THEN NULL ELSE 'b' END AS bio FROM d LEFT JOIN w USING (name)""")
+def q67_directors(spark, sf_dir):
+    """2.I: one row for each director: the first movie's slug even if null, photo and biography of the best entry."""
+    size = F.col("p_size")
+    slugs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.when(size % 3 > 0, F.concat(F.lit("s"), size)).alias("slug"))
+    movies = _movies(spark, sf_dir).join(slugs, "id").withColumn("director_lbxd_slug", F.col("slug")).drop("slug")
+    wiki = table(spark, sf_dir, "part").where(size % 2 == 0).select(F.col("p_brand").alias("name"), F.col("p_type").alias("photo"), F.lit("b").alias("bio"))
+    return enrich.directors(movies, wiki.unionByName(wiki.withColumn("photo", F.lit(None).cast("string"))))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 9)::INT AS z FROM orders)
+    SELECT o_orderkey, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE::VARCHAR AS day FROM o WHERE year(a) = year(z)""")
+def q68_day_ranges(spark, sf_dir):
+    """the days of ranges that are written out, as in 30 APR - 10 MAY 2026."""
+    a = F.col("o_orderdate").cast("date")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), F.date_add(a, (F.col("o_orderkey") % 9).cast("int")).alias("z")).where("year(a) = year(z)")
+    text = F.upper(F.concat(F.date_format("a", "d MMM"), F.lit("<br />\u2013 "), F.date_format("z", "d MMM yyyy")))
+    return orders.select("o_orderkey", F.explode(T.day_range(F.regexp_replace(text, "<BR />", " "))).alias("day"))

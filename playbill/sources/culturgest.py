@@ -67,8 +67,8 @@ def festival_days(landing: DataFrame) -> DataFrame:
     return first_seen(spans.select("place", F.explode(day_range(F.col("block"))).alias("day")), ["day"], ["place"])
 
 
-def festival(landing: DataFrame, asof: Column, label: str = "INDIE Lisboa 2026") -> DataFrame:
-    """Headings of date and venue in pairs, each with the nearest link before it."""
+def festival(landing: DataFrame, asof: Column, label: str = "INDIE Lisboa") -> DataFrame:
+    """The label is followed by the year of the day. G10, D5, D6, F18, C14: headings of date and venue in pairs, each with the nearest link before it."""
     token = r'(<h2[^>]*>.*?</h2>|<a href="https://indielisboa\.com/en/screening/[^"]+"[^>]*>.*?</a>)'
     day = F.regexp_extract("url", r"caldt=(\d{4}-\d{2}-\d{2})", 1)
     dated = pages(landing, CINEMA, "caldt=").withColumn("day", day).join(festival_days(landing), "day")
@@ -80,7 +80,7 @@ def festival(landing: DataFrame, asof: Column, label: str = "INDIE Lisboa 2026")
     heads = tokens.where("h2").withColumn("venue", F.lead("text").over(by_pos)).withColumn("at", heading_time(F.col("text")))
     rows = heads.where(F.col("venue").contains("Culturgest") & F.col("at.date").isNotNull() & F.col("link").isNotNull() & ~F.col("link.text").rlike(SKIP))
     rows = rows.select(F.btrim(F.lower("link.text")).alias("key"), F.col("link.text").alias("title"), F.col("link.href").alias("link"), F.col("at.duration").alias("duration"),
-                       F.struct("place", "day", "pos").alias("ord"), session(F.col("at.date"), F.col("at.time"), CINEMA, F.array(F.lit(label))).alias("session"))
+                       F.struct("place", "day", "pos").alias("ord"), session(F.col("at.date"), F.col("at.time"), CINEMA, F.array(F.concat_ws(" ", F.lit(label), F.substring("day", 1, 4)))).alias("session"))
     movies = gather(rows, ["key"], ["title", "link", "duration"], dedupe=False)
     return movies.select(F.concat(F.lit("culturgest_indie_"), id_slug(F.col("key"))).alias("id"), "title", "duration", "link", F.lit("INDIE").alias("festival"), "sessions", F.col("src_ord.place").alias("place"), F.col("src_ord").alias("ord"))
 
