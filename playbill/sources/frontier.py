@@ -71,8 +71,9 @@ def first_pages(spark: SparkSession, asof: Column, starts: tuple[Start, ...] = S
     return rows.select("*", day).select("source", url.alias("url")).distinct()
 
 
-def _site(url: Column) -> Column:
-    return F.regexp_extract(url, r"^\w+://[^/]+", 0)
+def _site(landing: DataFrame, source: str, like: str) -> str:
+    """The site that the source's list pages are on; empty if none has landed, and then nothing is listed either."""
+    return pages(landing, source, like).agg(F.min(F.regexp_extract("url", r"^\w+://[^/]+", 0))).first()[0] or ""
 
 
 def links(landing: DataFrame, asof: Column, records: str = RECORDS, festival: str = FESTIVAL) -> DataFrame:
@@ -83,22 +84,20 @@ def links(landing: DataFrame, asof: Column, records: str = RECORDS, festival: st
 
     shows = sao_jorge.film_events(landing)
     house = pages(landing, "medeia", "filmes-em-exibicao").select(F.explode(F.map_values(F.from_json(H.script_json(F.col("body")), medeia.LIST)["schedule"]["events"])).alias("e"))
-    site = lambda source, like: pages(landing, source, like).select(_site(F.col("url")).alias("site")).distinct()
-    slugs = fernando.schedule(landing, asof).select("slug").distinct().crossJoin(F.broadcast(site("fernando", "Programacao").limit(1)))
+    site = {source: _site(landing, source, like) for source, like in (("fernando", "Programacao"), ("culturgest", culturgest.LISTING), ("cinemateca", r"Programacao\.aspx"))}
     film = trindade.films(landing)
-    events = culturgest.listed(landing).crossJoin(F.broadcast(site("culturgest", culturgest.LISTING).limit(1)))
     # joint titles, and films whose listing lacks a director or a year, are described on pages of their own
     lacking = cinemateca.listed(landing).where(is_multi_title(F.col("title")) | F.col("director").isNull() | F.col("year").isNull())
-    lacking = lacking.groupBy("film_id").agg(F.min("session.date").alias("day")).crossJoin(F.broadcast(site("cinemateca", r"Programacao\.aspx").limit(1)))
+    lacking = lacking.groupBy("film_id").agg(F.min("session.date").alias("day"))
     found = [
         out("sao_jorge", shows, F.col("e.link")),
         out("medeia", house.where(F.col("e.url").contains("/filmes/")), F.col("e.url")),
-        out("fernando", slugs, F.concat("site", F.lit("/"), "slug")),
+        out("fernando", fernando.schedule(landing, asof), F.concat(F.lit(site["fernando"] + "/"), "slug")),
         out("trindade", film.select(F.explode("directors").alias("did")), F.concat(F.lit(f"{records}/directors/"), "did")),
         out("trindade", film.where("poster is not null"), F.concat(F.lit(f"{records}/media/"), "poster")),
-        out("culturgest", events, F.concat("site", "path")),
+        out("culturgest", culturgest.listed(landing), F.concat(F.lit(site["culturgest"]), "path")),
         out("culturgest", culturgest.festival_days(landing), F.concat(F.lit(f"{festival}?caldt="), "day")),
-        out("cinemateca", lacking, F.concat("site", F.lit("/Programacao.aspx?id="), "film_id", F.lit("&date="), "day")),
+        out("cinemateca", lacking, F.concat(F.lit(site["cinemateca"] + "/Programacao.aspx?id="), "film_id", F.lit("&date="), "day")),
     ]
     every = found[0]
     for more in found[1:]:
