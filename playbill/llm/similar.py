@@ -36,8 +36,8 @@ CROWD, MISS = 256, 0.01
 DOUBT = 3.0
 #: Leaves of a subtree from which on it is searched from pivots; leaves of which one task searches all at once.
 SUBTREE, PART = 512, 20_000
-#: Leaves that a task gathers before it walks them.
-WALK = 40_000
+#: Leaves that a task gathers before it walks them; bytes that a task gathers at most, but for groups that are larger.
+WALK, GATHER = 40_000, 64 << 20
 #: Shingles of a group that one task compares, about.
 PART_SHINGLES = 2_000_000
 
@@ -142,14 +142,14 @@ def _keys(paths: list[np.ndarray], whole: bool):
 
 
 def _groups(keys: tuple[str, ...], solve: Callable[[pa.Table], pa.RecordBatch | None], size: int):
-    """mapInArrow body over sorted rows: `solve` gets about `size` rows at a time, or more, but always whole groups."""
+    """mapInArrow body over sorted rows: `solve` gets about `size` rows at a time, or GATHER bytes, but always whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, most = [], 0, size
+        held, n, most, room = [], 0, size, GATHER
         for batch in (b for b in batches if b.num_rows):
             held.append(batch)
             n += batch.num_rows
-            if n < most:
+            if n < most and sum(b.nbytes for b in held) < room:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             key = np.stack([rows.column(c).to_numpy() for c in keys])
@@ -157,7 +157,7 @@ def _groups(keys: tuple[str, ...], solve: Callable[[pa.Table], pa.RecordBatch |
             if at and (done := solve(rows.slice(0, at))) is not None:
                 yield done
             held, n = rows.slice(at).to_batches(), rows.num_rows - at
-            most = max(size, 2 * n)  # a group that goes on is looked at again when it has doubled
+            most, room = max(size, 2 * n), max(GATHER, 2 * sum(b.nbytes for b in held))  # a group that goes on is looked at again when it has doubled
         if held and (done := solve(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield done
 
