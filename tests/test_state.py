@@ -70,7 +70,7 @@ def test_lookup_reads_the_wanted_buckets(spark, tmp_path):
     assert len(table.read(F.col("s") == "p").inputFiles()) > 0 and rows(table.read(F.col("s") == "q").select("s").distinct()) == [("q",)]
 
 
-CATALOGUE = [("o-filme-2024", 4.0, "p.jpg", "plot", ["Drama"], "Portugal", "Eva", "eva", 2024), ("dogfight-1991", 3.0, "d.jpg", None, ["War"], None, "Nancy", "nancy", 1991)]
+CATALOGUE = [("o-filme-2024", 4.0, "p.jpg", "plot", ["Drama"], "Portugal", "Rui", "rui", 2024), ("dogfight-1991", 3.0, "d.jpg", None, ["War"], None, "Nancy Savoca", "nancy", 1991)]
 
 
 def test_second_run_asks_for_misses_alone(spark, tmp_path):
@@ -90,27 +90,25 @@ def test_second_run_asks_for_misses_alone(spark, tmp_path):
         people.append(sorted(r["name"] for r in names.collect()))
         return look_people(names)
 
-    at = F.lit(datetime.date(2026, 3, 20))
-    run = lambda *skip: refresh.refresh_cached(landing(spark, skip), none(model.MOVIE), at, caches, ask, ask_people)
-    # one venue is missing at first
-    movies, directors, _ = run("fernando")
-    titles = {r["title"] for r in movies.collect()}
-    assert "Dogfight" not in titles and len(asked) == 1 and asked[0][0] and {t for t, _ in asked[0][1]} == titles
+    every = refresh.merged(landing(spark, ("cinemateca", "culturgest", "sao_jorge", "batalha", "trindade", "ideal")), none(model.MOVIE), F.lit(datetime.date(2026, 3, 20)))
+    run = lambda movies: refresh.enrich_cached(movies, caches, ask, ask_people)
+    # one film is missing at first
+    movies, directors = run(every.where("title <> 'Dogfight'"))
     filled = {r["title"]: r for r in movies.collect()}
+    assert len(filled) > 2 and len(asked) == 1 and asked[0][0] and {t for t, _ in asked[0][1]} == set(filled)
     assert filled["O Filme"]["plot"] == "plot" and {r["name"]: r["photo"] for r in directors.collect()}["Eva & Rui"] == "eva.jpg"
     first = people.pop()
     assert set(first) == {r["director"] for r in filled.values() if r["director"]} and asked.pop()
-    movies, _, _ = run()
-    fresh = {r["title"] for r in movies.collect()} - titles
-    assert "Dogfight" in fresh and [c for c, _ in asked] == [True] and {t for t, _ in asked[0][1]} == fresh and not set(people.pop()) & set(first)
+    movies, _ = run(every)
+    assert [(c, {t for t, _ in m}) for c, m in asked] == [(True, {"Dogfight"})] and people.pop() == ["Nancy Savoca"]
     # everything is known now, also what the catalogues lack; what lacks a description is asked for again, whatever the director
     asked.clear()
-    again, directors, _ = run()
+    again, directors = run(every)
     assert rows(again.select("id", "plot", "rating")) == rows(movies.select("id", "plot", "rating")) and not people
-    assert [c for c, _ in asked] == [False] * len(asked) and {t for _, m in asked for t, _ in m} <= {"Dogfight"}
+    assert [(c, {t for t, _ in m}) for c, m in asked] == [(False, {"Dogfight"})]
     assert {r["name"]: r["bio"] for r in directors.collect()}["Eva & Rui"] == "Bio."
     # the same as without caches
-    plain, _, _ = refresh.refresh(landing(spark), none(model.MOVIE), snapshots, at)
+    plain = refresh.E.enrich(every, snapshots.lbxd, snapshots.omdb, snapshots.lbxd_aliases, snapshots.omdb_aliases)
     assert rows(plain.drop("sessions")) == rows(again.drop("sessions"))
 
 
