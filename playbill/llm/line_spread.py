@@ -3,12 +3,13 @@
 Every line has a key of 96 bits of hashes. A HyperLogLog sketch of the sites of each key is built where the lines are and
 merged by aggregation, so a hot line or a hot site sends one sketch from each task. Keys whose estimate is clearly above the
 threshold are boilerplate, keys clearly below are not, and keys near it get an exact count of their distinct sites.
-Boilerplate lines then leave all documents.
+Boilerplate lines then leave all documents. The keys of up to `SENT_KEYS` such lines are sent to the documents as one hashed
+array, so that no text is shuffled; more of them are joined, and the texts meet the lines that they lose.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import narrow, persist_table
@@ -19,6 +20,8 @@ MIN_SITES = 8
 LOG_REGISTERS = 12
 #: Estimates within this share of the threshold are counted exactly: more than ten standard errors.
 NEAR = 0.25
+#: Boilerplate keys that are sent to all tasks: 40 bytes each, 8 MB at most.
+SENT_KEYS = 200_000
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -26,7 +29,11 @@ def lines(docs: DataFrame) -> DataFrame:
     rows = narrow(docs, doc_id="long", text="string", source="string")
     split = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     trimmed = split.select("doc_id", "row_key", "site", "pos", F.trim("line").alias("line")).where("line <> ''")
-    return trimmed.select("doc_id", "row_key", "site", "pos", F.xxhash64("line").alias("k1"), F.hash(F.lit("line"), "line").alias("k2"))
+    return trimmed.select("doc_id", "row_key", "site", "pos", *_key(F.col("line")))
+
+
+def _key(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("k1"), F.hash(F.lit("line"), line).alias("k2")
 
 
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -42,6 +49,36 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.unionByName(exact)
 
 
+def _hashed(keys: DataFrame, slots: int) -> DataFrame:
+    """One row: the keys in an array of `slots` lists, each key in the list of its k1 modulo `slots`."""
+    slot = F.pmod("k1", F.lit(slots)).alias("slot")
+    lists = keys.groupBy(slot).agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
+    every = keys.sparkSession.range(slots).withColumnRenamed("id", "slot").join(lists, "slot", "left")
+    every = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("keys", F.array().cast("array<struct<k1:bigint,k2:int>>")).alias("keys")))).alias("every"))
+    return every.select(F.transform("every", lambda e: e["keys"]).alias("hashed"))
+
+
+def _sent(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """rows and `gone`, the numbers of their boilerplate lines, by looking every line up in the array of `n` keys."""
+    slots = max(1, n)
+
+    def gone(line: Column, pos: Column, hashed: Column) -> Column:
+        k1, k2 = _key(F.trim(line))
+        found = F.get(hashed, F.pmod(k1, F.lit(slots)).cast("int"))
+        return F.when(F.array_contains(found, F.struct(k1.alias("k1"), k2.alias("k2"))), pos)
+
+    looked_up = rows.withColumns({"parts": F.split("text", "\n"), "hashed": _hashed(keys, slots).scalar()})
+    numbers = F.transform("parts", lambda line, pos: gone(line, pos, F.col("hashed")))
+    return looked_up.withColumn("gone", F.filter(numbers, lambda k: k.isNotNull())).drop("hashed")
+
+
+def _joined(rows: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same by joins: of all lines with the keys, and of the texts with the numbers of the lines that they lose."""
+    lost = lines(docs).join(keys, ["k1", "k2"], "left_semi").groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "of")
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    return keyed.join(lost, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumn("parts", F.split("text", "\n"))
+
+
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, text without the lines on at least `min_sites` sites.
 
@@ -49,18 +86,16 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     no lines; empty text is one blank line. A null source counts for no site; a null doc_id is a document like any other.
     Repeated rows are cleaned alike. An empty table gives an empty result; other columns are ignored.
     """
-    found, _ = persist_table(lines(docs), "lines")
-    gone = found.join(boilerplate(found, min_sites), ["k1", "k2"], "left_semi")
-    gone = gone.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "of")
-    rows = narrow(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
-    joined = rows.join(gone, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    # columns of their own, so that they are made once for a row and not for every line
-    joined = joined.withColumns({"parts": F.split("text", "\n"), "cut": F.array_sort(F.coalesce("gone", F.array().cast("array<int>")))})
+    keys, _ = persist_table(boilerplate(lines(docs), min_sites), "boilerplate")
+    rows, n = narrow(docs, doc_id="long", text="string"), keys.count()
+    marked = _sent(rows, keys, n) if n <= SENT_KEYS else _joined(rows, docs, keys)
+    # a column of its own, so that it is made once for a row and not for every line
+    marked = marked.withColumn("cut", F.array_sort(F.coalesce("gone", F.array().cast("array<int>"))))
     # the lines between one that goes and the next, as whole slices: a document's work grows with its lines
     before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("cut", k - 1))
     after = lambda k: F.coalesce(F.get("cut", k), F.size("parts"))
     between = F.transform(F.sequence(F.lit(0), F.size("cut")), lambda k: F.slice("parts", before(k) + 2, after(k) - before(k) - 1))
-    return joined.select(
+    return marked.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
         F.size("cut").cast("long").alias("n_removed"),

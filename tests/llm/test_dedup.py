@@ -455,7 +455,10 @@ def brute_lines(rows, least):
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("sent", [line_spread.SENT_KEYS, 0])
+def test_lines(spark, monkeypatch, sent):
+    """Boilerplate keys sent to the documents, and joined with them."""
+    monkeypatch.setattr(line_spread, "SENT_KEYS", sent)
     rnd = random.Random(11)
     pool = [f"line {k}" for k in range(40)]
     rows = [(k, "\n".join(rnd.choice(pool[: 5 + k % 36]) + rnd.choice(["", "  "]) for _ in range(rnd.randint(1, 9))), "en", rnd.choice([f"site{s}" for s in range(12)] + [None])) for k in range(150)]
