@@ -102,8 +102,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nda
         return pa.array(ids, pa.int64()), np.frombuffer(b"".join(texts), np.uint8), starts
 
     for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            raw = raw or b""
+        # one value at a time: the texts of a whole batch as Python objects would be a second copy of it
+        for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+            raw = text.as_buffer()
+            doc, raw = doc.as_py(), b"" if raw is None else raw.to_pybytes()
             if texts and (len(texts) >= PIECE_ROWS or size + len(raw) > PIECE_BYTES):
                 yield piece()
                 ids, texts, size = [], [], 0
