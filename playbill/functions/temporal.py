@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 #: Portuguese and English months by their first three letters.
 PT_MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
 EN_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# How the venues write days and times
+DAY_MONTH = r"(?U)(\d{1,2})\s+(\w{3})"
+HOURS_MINUTES = r"^(\d{1,2})h(\d{2})"
+DAY_MONTH_YEAR = r"(\d{1,2})\s+([A-Za-z]{3,})\s+(\d{4})"
+COLON_TIME = r"\b(\d{1,2}):(\d{2})\b"
+SEVERAL_DAYS = r"[–—]|\d\s*-\s*\d"
+DAYS = r"(\d{1,2})\s+([A-Za-z]{3,})\s*[–—-]\s*(\d{1,2})\s+([A-Za-z]{3,})\s+(\d{4})"
+HEADING = r"^(\w+)\s+(\d+)\s+(\d{4}),\s*\w+,\s*(\d+:\d+)(?:\s*\((\d+)'?\))?"
+SLASHED = r"(\d{2})/(\d{2})/(\d{4}),\s*(\d{2})h(\d{2})"
+LONG_RUNTIME, SHORT_RUNTIME = r"^(\d+)h(\d+)", r"^(\d+)min"
 
 
 def month_number(name: Column, months: tuple[str, ...] = EN_MONTHS) -> Column:
@@ -35,7 +45,7 @@ def rolled_date(day: Column, month: Column, asof: Column, days: int = 60) -> Col
 def pt_date(text: Column, asof: Column) -> Column:
     """`qua, 25 mar` as YYYY-MM-DD."""
     low = F.lower(text)
-    return rolled_date(digits(low, r"(?U)(\d{1,2})\s+(\w{3})"), month_number(F.regexp_extract(low, r"(?U)(\d{1,2})\s+(\w{3})", 2), PT_MONTHS), asof)
+    return rolled_date(digits(low, DAY_MONTH), month_number(F.regexp_extract(low, DAY_MONTH, 2), PT_MONTHS), asof)
 
 
 def clock(text: Column, pattern: str) -> Column:
@@ -46,22 +56,20 @@ def clock(text: Column, pattern: str) -> Column:
 
 def pt_time(text: Column) -> Column:
     """`21h00` as 21:00."""
-    return clock(F.btrim(text), r"^(\d{1,2})h(\d{2})")
+    return clock(F.btrim(text), HOURS_MINUTES)
 
 
 def en_date_time(text: Column) -> Column:
     """F16: struct(date, time) of `13 MAY 2026 WED 19:00`; nulls for a range of days or without a time."""
-    pattern = r"(\d{1,2})\s+([A-Za-z]{3,})\s+(\d{4})"
-    time = clock(text, r"\b(\d{1,2}):(\d{2})\b")
-    day = iso(digits(text, pattern, 3), month_number(F.regexp_extract(text, pattern, 2)), digits(text, pattern, 1))
-    whole = ~text.rlike(r"[–—]|\d\s*-\s*\d") & time.isNotNull() & day.isNotNull()
+    time = clock(text, COLON_TIME)
+    day = iso(digits(text, DAY_MONTH_YEAR, 3), month_number(F.regexp_extract(text, DAY_MONTH_YEAR, 2)), digits(text, DAY_MONTH_YEAR, 1))
+    whole = ~text.rlike(SEVERAL_DAYS) & time.isNotNull() & day.isNotNull()
     return F.struct(F.when(whole, day).alias("date"), F.when(whole, time).alias("time"))
 
 
 def day_range(text: Column) -> Column:
     """every day of `30 APR – 10 MAY 2026`; empty if it cannot be read or runs backwards."""
-    pattern = r"(\d{1,2})\s+([A-Za-z]{3,})\s*[–—-]\s*(\d{1,2})\s+([A-Za-z]{3,})\s+(\d{4})"
-    part = lambda k: F.regexp_extract(text, pattern, k)
+    part = lambda k: F.regexp_extract(text, DAYS, k)
     year = part(5).try_cast("int")
     start = iso(year, month_number(part(2)), part(1).try_cast("int")).try_cast("date")
     end = iso(year, month_number(part(4)), part(3).try_cast("int")).try_cast("date")
@@ -71,15 +79,13 @@ def day_range(text: Column) -> Column:
 
 def heading_time(text: Column) -> Column:
     """struct(date, time, duration) of `May 02 2026, Saturday, 15:00 (96')`."""
-    pattern = r"^(\w+)\s+(\d+)\s+(\d{4}),\s*\w+,\s*(\d+:\d+)(?:\s*\((\d+)'?\))?"
-    part = lambda k: F.regexp_extract(text, pattern, k)
+    part = lambda k: F.regexp_extract(text, HEADING, k)
     return F.struct(iso(part(3).try_cast("int"), month_number(part(1)), part(2).try_cast("int")).alias("date"), F.nullif(part(4), F.lit("")).alias("time"), part(5).try_cast("int").alias("duration"))
 
 
 def slashed_date_time(text: Column) -> Column:
     """struct(date, time) of `25/03/2026, 15h30`."""
-    pattern = r"(\d{2})/(\d{2})/(\d{4}),\s*(\d{2})h(\d{2})"
-    part = lambda k: F.regexp_extract(text, pattern, k)
+    part = lambda k: F.regexp_extract(text, SLASHED, k)
     there = part(1) != ""
     return F.struct(F.when(there, F.concat_ws("-", part(3), part(2), part(1))).alias("date"), F.when(there, F.concat_ws(":", part(4), part(5))).alias("time"))
 
@@ -98,8 +104,8 @@ def lisbon_time(utc: Column, civil: bool = False) -> Column:
 
 def minutes(text: Column) -> Column:
     """`2h02` or `95min` in minutes, else null."""
-    hours, rest = digits(text, r"^(\d+)h(\d+)", 1), digits(text, r"^(\d+)h(\d+)", 2)
-    return F.coalesce(hours * 60 + rest, digits(text, r"^(\d+)min", 1))
+    hours, rest = digits(text, LONG_RUNTIME, 1), digits(text, LONG_RUNTIME, 2)
+    return F.coalesce(hours * 60 + rest, digits(text, SHORT_RUNTIME, 1))
 
 
 def leading_int(text: Column, length: int | None = None) -> Column:

@@ -57,7 +57,7 @@ def gather(rows: DataFrame, keys: list[str], heads: list[str], dedupe: bool = Tr
 
 
 def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
-    """src_ord: the movies' places by the order columns, which are total. One venue's listing, so one partition is enough."""
+    """src_ord: the movies' places by the order columns, which are total. One venue's listing, some thousands of movies at most, so one partition is enough."""
     return df.withColumn("src_ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 

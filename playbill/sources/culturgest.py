@@ -19,6 +19,13 @@ LISTING = "/en/whats-on/schedule/events/"
 EVENT_LINK = r'<a href="(/en/whats-on/[^"]+)"'
 MENU = ("full-view", "by-event", "filter", "archive", "pdf-agenda")
 DATE_BLOCK = r'class="event-info-block date"[^>]*>(.*?)</div>'
+# Parts of an event's page, and of a day's page of the festival
+HEADER = r'class="event-detail-header">(.*?)</header>'
+BANNER = r'class="[^"]*highlight-banner[^"]*"[^>]*>(.*?)</div>'
+HEADING, SUBTITLE = r"<h1[^>]*>(.*?)</h1>", r'class="subtitle"[^>]*>(.*?)</'
+POSTER = r'<source\s+srcset="([^"]+)"'
+TOKEN = r'(<h2[^>]*>.*?</h2>|<a href="https://indielisboa\.com/en/screening/[^"]+"[^>]*>.*?</a>)'
+LISTED_DAY = r"caldt=(\d{4}-\d{2}-\d{2})"
 #: Talks and workshops are no films.
 SKIP = r"(?iu)(?:lisbon\s*talk|indietalk|talk\s*#\d|workshop|debate|conversa|lecture)"
 
@@ -44,14 +51,13 @@ def event_pages(landing: DataFrame) -> DataFrame:
 def events(landing: DataFrame, asof: Column) -> DataFrame:
     """Events with one date and time, from today on; a subtitle is the film and the heading its director."""
     page = F.col("body")
-    header = H.inner(page, r'class="event-detail-header">(.*?)</header>')
-    banner = H.inner(page, r'class="[^"]*highlight-banner[^"]*"[^>]*>(.*?)</div>')
+    header, banner = H.inner(page, HEADER), H.inner(page, BANNER)
     found = event_pages(landing).withColumns(
         {
             "at": en_date_time(F.col("block")),
-            "head": _clean(H.inner(header, r"<h1[^>]*>(.*?)</h1>")),
-            "sub": _clean(H.inner(header, r'class="subtitle"[^>]*>(.*?)</')),
-            "poster": absolute_url(H.inner(banner, r'<source\s+srcset="([^"]+)"'), BASE),
+            "head": _clean(H.inner(header, HEADING)),
+            "sub": _clean(H.inner(header, SUBTITLE)),
+            "poster": absolute_url(H.inner(banner, POSTER), BASE),
         }
     )
     found = found.where(F.col("at.date") >= F.date_format(asof, "yyyy-MM-dd")).withColumn("title", first_truthy("sub", "head")).where(truthy("title"))
@@ -69,10 +75,9 @@ def festival_days(landing: DataFrame) -> DataFrame:
 
 def festival(landing: DataFrame, asof: Column, label: str = "INDIE Lisboa") -> DataFrame:
     """The label is followed by the year of the day. G10, D5, D6, F18, C14: headings of date and venue in pairs, each with the nearest link before it."""
-    token = r'(<h2[^>]*>.*?</h2>|<a href="https://indielisboa\.com/en/screening/[^"]+"[^>]*>.*?</a>)'
-    day = F.regexp_extract("url", r"caldt=(\d{4}-\d{2}-\d{2})", 1)
+    day = F.regexp_extract("url", LISTED_DAY, 1)
     dated = pages(landing, CINEMA, "caldt=").withColumn("day", day).join(festival_days(landing), "day")
-    tokens = dated.where(F.col("day") >= F.date_format(asof, "yyyy-MM-dd")).select("day", "place", F.posexplode(H.all_of(F.col("body"), token)).alias("pos", "t"))
+    tokens = dated.where(F.col("day") >= F.date_format(asof, "yyyy-MM-dd")).select("day", "place", F.posexplode(H.all_of(F.col("body"), TOKEN)).alias("pos", "t"))
     tokens = tokens.withColumns({"h2": F.col("t").startswith("<h2"), "text": F.btrim(H.unescape(H.strip_tags(F.col("t")))), "href": H.inner(F.col("t"), r'<a href="([^"]+)"')})
     by_pos = Window.partitionBy("day").orderBy("pos")
     link = F.when(~F.col("h2"), F.struct("text", "href"))

@@ -15,13 +15,22 @@ from .base import as_movies, gather, pages, session
 
 CINEMA = "fernando"
 BASE = "https://cinemafernandolopes.pt"
-_TIME = r"(?<![:/\d])(\d{1,2}h\d{2})(?!\d)"
 _DASH = r"[-–]"
 # Page patterns, and notes that follow a title
+_TIME = r"(?<![:/\d])(\d{1,2}h\d{2})(?!\d)"
+_DAY_HEADING = r"(?U)<b>\s*(\w+,\s*\d{1,2}\s+\w+)\s*</b>"
+_NO_SESSION = "(?i)(?:screenings|newsletter|subscriv)"
+_SPECIAL = rf"(?iu)\s*{_DASH}\s*sess[aã]o\s+especial.*$"
 LINK = r"<a\s[^>]*href=[\"']([^\"'#?][^\"']*)[\"'][^>]*>(.*?)</a>"
 _BOLD_NOTE = r"(?siu)<b>.*?(?:mostra|última\s+sessão|essencial|with\s+english).*?</b>"
 _SMALL = r"(?s)<small>.*?</small>"
 _NOTE = r"(?:mostra\s+essencial|última\s+sessão|with\s+english\s+subtitles)"
+# A film's page: its heading, its facts, which of them are years, lengths and no genres, its director and pictures
+_PAGE_HEADING = r"<h1[^>]*>(.*?)</h1>"
+_FACTS = r"(?i)<small>([^<]{8,}MIN[^<]*)</small>"
+_YEAR, _LENGTH, _NO_GENRE = r"^(19|20)\d{2}$", r"(?i)^\d{2,3}\s*MIN\.?$", r'^M/\d+$|^["“”]|^\d'
+_DIRECTOR = r"(?iu)<h2>\s*<small>\s*REALIZA[ÇC][ÃA]O\s*</small>\s*</h2>\s*<h2>(.*?)</h2>"
+_IMAGE, _IMAGE_SOURCE = r"<img\s([^>]+)>", r'data-src="(https://freight\.cargo\.site[^"]+)"'
 
 
 def bare_title(raw: Column) -> Column:
@@ -41,17 +50,17 @@ def schedule(landing: DataFrame, asof: Column) -> DataFrame:
     start = F.instr("body", ">Programação<")
     body = body.select(F.when(start > 0, F.substr("body", start)).otherwise(F.col("body")).alias("body"))
     lines = body.select(F.posexplode(F.split(F.regexp_replace("body", r"(?i)<br\s*/?>|</h2>", "\n"), "\n")).alias("pos", "raw")).withColumn("line", F.btrim("raw")).where("line <> ''")
-    heading = F.regexp_extract("line", r"(?U)<b>\s*(\w+,\s*\d{1,2}\s+\w+)\s*</b>", 1)
+    heading = F.regexp_extract("line", _DAY_HEADING, 1)
     # one page's lines: a window over them is as long as the page
     dated = carry_forward(lines.withColumn("page", F.lit(1)), pt_date(heading, asof), ["page"], ["pos"], "date")
     clock = F.regexp_extract("line", _TIME, 1)
     rows = dated.where("date is not null").withColumn("time", pt_time(F.nullif(clock, F.lit("")))).where("time is not null")
-    rows = rows.where(~F.col("line").rlike("(?i)(?:screenings|newsletter|subscriv)"))
+    rows = rows.where(~F.col("line").rlike(_NO_SESSION))
     rows = rows.withColumn("rest", F.substr("line", F.instr("line", clock)))
     slugs = F.filter(F.transform(H.all_of(F.col("rest"), LINK, 1), lambda s: F.btrim(s)), lambda s: s != "")
     rows = rows.withColumn("linked", H.unescape_all(F.transform(H.all_of(F.col("rest"), LINK, 2), lambda t: bare_title(t))))
     titles = F.filter(F.transform("linked", lambda t: tidy(t)), lambda t: F.length(t) > 2)
-    plain = F.regexp_replace(F.regexp_replace(H.unescape(H.strip_tags(F.col("rest"))), rf"^\s*\d{{1,2}}h\d{{2}}\s*{_DASH}?\s*", ""), rf"(?iu)\s*{_DASH}\s*sess[aã]o\s+especial.*$", "")
+    plain = F.regexp_replace(F.regexp_replace(H.unescape(H.strip_tags(F.col("rest"))), rf"^\s*\d{{1,2}}h\d{{2}}\s*{_DASH}?\s*", ""), _SPECIAL, "")
     rows = rows.withColumn("title", first_truthy(F.try_element_at(titles, F.lit(1)), tidy(plain))).where(F.length("title") >= 2)
     rows = rows.withColumn("slug", F.coalesce(F.try_element_at(slugs, F.lit(1)), venue_slug(F.col("title"))))
     rows = rows.select("pos", "title", "slug", "date", "time", keyword_labels(F.col("line")).alias("labels"))
@@ -61,20 +70,19 @@ def schedule(landing: DataFrame, asof: Column) -> DataFrame:
 def film_pages(landing: DataFrame) -> DataFrame:
     """(slug, page_title, director, year, duration, genres, poster)."""
     page = F.col("body")
-    heads = F.filter(F.transform(H.unescape_all(F.transform(H.all_of(page, r"<h1[^>]*>(.*?)</h1>"), lambda h: H.strip_tags(h))), lambda h: F.btrim(h)), lambda h: (F.length(h) > 2) & ~h.rlike("[{}]"))
-    parts = F.transform(F.split(H.unescape(H.inner(page, r"(?i)<small>([^<]{8,}MIN[^<]*)</small>")), " / "), lambda p: F.btrim(p))
-    year, length = r"^(19|20)\d{2}$", r"(?i)^\d{2,3}\s*MIN\.?$"
-    genre = lambda p: ~p.rlike(year) & ~p.rlike(length) & ~p.rlike(r'^M/\d+$|^["“”]|^\d') & (F.length(p) > 1)
+    heads = F.filter(F.transform(H.unescape_all(F.transform(H.all_of(page, _PAGE_HEADING), lambda h: H.strip_tags(h))), lambda h: F.btrim(h)), lambda h: (F.length(h) > 2) & ~h.rlike("[{}]"))
+    parts = F.transform(F.split(H.unescape(H.inner(page, _FACTS)), " / "), lambda p: F.btrim(p))
+    genre = lambda p: ~p.rlike(_YEAR) & ~p.rlike(_LENGTH) & ~p.rlike(_NO_GENRE) & (F.length(p) > 1)
     images = F.transform(
-        H.all_of(page, r"<img\s([^>]+)>"),
-        lambda a: F.struct(F.regexp_extract(a, r'width="(\d+)"', 1).try_cast("int").alias("w"), F.regexp_extract(a, r'height="(\d+)"', 1).try_cast("int").alias("h"), F.regexp_extract(a, r'data-src="(https://freight\.cargo\.site[^"]+)"', 1).alias("src")),
+        H.all_of(page, _IMAGE),
+        lambda a: F.struct(F.regexp_extract(a, r'width="(\d+)"', 1).try_cast("int").alias("w"), F.regexp_extract(a, r'height="(\d+)"', 1).try_cast("int").alias("h"), F.regexp_extract(a, _IMAGE_SOURCE, 1).alias("src")),
     )
     films = pages(landing, CINEMA).where("url not like '%Programacao'").select(F.regexp_replace("url", f"^{BASE}/", "").alias("slug"), "body")
     return films.select(
         "slug", F.try_element_at(heads, F.lit(1)).alias("page_title"),
-        F.nullif(F.btrim(H.unescape(H.strip_tags(H.inner(page, r"(?iu)<h2>\s*<small>\s*REALIZA[ÇC][ÃA]O\s*</small>\s*</h2>\s*<h2>(.*?)</h2>")))), F.lit("")).alias("director"),
-        F.try_element_at(F.filter(parts, lambda p: p.rlike(year)), F.lit(-1)).try_cast("int").alias("year"),
-        F.regexp_extract(F.try_element_at(F.filter(parts, lambda p: p.rlike(length)), F.lit(-1)), r"\d+", 0).try_cast("int").alias("duration"),
+        F.nullif(F.btrim(H.unescape(H.strip_tags(H.inner(page, _DIRECTOR)))), F.lit("")).alias("director"),
+        F.try_element_at(F.filter(parts, lambda p: p.rlike(_YEAR)), F.lit(-1)).try_cast("int").alias("year"),
+        F.regexp_extract(F.try_element_at(F.filter(parts, lambda p: p.rlike(_LENGTH)), F.lit(-1)), r"\d+", 0).try_cast("int").alias("duration"),
         F.filter(parts, genre).alias("genres"), F.try_element_at(F.filter(images, lambda i: (i["w"] < i["h"]) & (i["src"] != "")), F.lit(1))["src"].alias("poster"),
     )
 
