@@ -96,3 +96,20 @@ def test_missing_values(spark):
     df = spark.createDataFrame([(None, "", 0, []), ("N/A", "x", 2, ["g"])], "a string, b string, n int, g array<string>")
     got = df.select(truthy("b"), truthy("n", "number"), truthy("g", "array"), first_truthy("a", "b", sentinel="N/A")).collect()
     assert [tuple(r) for r in got] == [(False, False, False, None), (True, True, True, "x")]
+
+
+def test_a_range_of_days_is_worked_out_once(spark):
+    for text, days in (("28 FEB - 2 MAR 2024", ["2024-02-28", "2024-02-29", "2024-03-01", "2024-03-02"]), ("5 MAY–5 June 0001", 32), ("30 FEB – 2 MAR 2026", []), ("1 XXX – 2 MAR 2026", []), ("0 MAY – 2 MAY 2026", []), ("1 MAY – 2 MAY 0000", []), ("x", []), (None, [])):
+        got = one(spark, temporal.day_range(F.col("t")), t=text)
+        assert len(got) == days if isinstance(days, int) else got == days
+    # how often the plan names the text is how often it is made for each row
+    plan = spark.createDataFrame([("x",)], "t string").select(temporal.day_range(F.upper("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
+
+
+def test_day_ranges_are_not_dealt_out_row_by_row(spark):
+    from playbill import registry
+
+    df = registry.QUERIES["q42_day_range"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
