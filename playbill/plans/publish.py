@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..scratch import remove, stored
 
 PREFIX = "window.CINEMA_DATA = "
+#: Where a document that has a line for each entry begins, and what follows its last movie.
+HEAD, AFTER_MOVIES = r'^\s*window\.\w+\s*=\s*\{"generated":"[^"]*","movies":\[', '],"directors":{'
 #: Fields that are always written, null or not; the others only where they are there.
 ALWAYS = ("id", "title", "director", "year", "duration", "poster", "genres", "link", "sessions")
 SOMETIMES = ("festival", "rating", "plot", "country", "director_lbxd_slug")
@@ -71,16 +74,53 @@ def previous(spark: SparkSession, path: str) -> DataFrame:
             continue
     if text is None:
         return spark.createDataFrame([], model.MOVIE)
-    bare = F.regexp_replace(F.regexp_replace(F.btrim("value"), r"^window\.\w+\s*=\s*", ""), r";\s*$", "")
-    movie = ", ".join(f"{k}: {t}" for k, t in _movie_types())
-    rows = text.select(F.from_json(bare, f"movies ARRAY<STRUCT<{movie}>>")["movies"].alias("m")).where("m is not null").select(F.posexplode("m").alias("pos", "m"))
-    out = rows.select("m.*", F.lit(0).alias("src_rank"), F.col("pos").alias("src_ord"))
+    found = _of_lines(spark.read.text(place))
+    if found is None:
+        bare = F.regexp_replace(F.regexp_replace(F.btrim("value"), r"^window\.\w+\s*=\s*", ""), r";\s*$", "")
+        rows = text.select(F.from_json(bare, f"movies {_movie_list()}")["movies"].alias("m")).where("m is not null")
+        found = rows.select(F.posexplode("m").alias("pos", "m"))
+    out = found.select("m.*", F.lit(0).alias("src_rank"), F.col("pos").alias("src_ord"))
     return out.withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
 
 
-def _movie_types() -> list[tuple[str, str]]:
+def _of_lines(lines: DataFrame) -> DataFrame | None:
+    """(pos, m): the movies of a document that has a line for each, as K1 writes it, read by many tasks; None for any other.
+
+    A line's place is its place in its block of the file and the number of movies in the blocks before; only these numbers, one row a
+    block, go to the driver. Lines are parsed once, and written, as blocks may be cut otherwise when a file is read again.
+    """
+    c, spark = F.col, lines.sparkSession
+    if len(lines.inputFiles()) != 1:
+        return None
+    start = lines.where(c("_metadata.file_block_start") == 0).select(c("value").rlike(HEAD).alias("k")).first()
+    if start is None or not start["k"]:
+        return None
+    rest = F.regexp_replace("value", HEAD, "")
+    listed = F.concat(F.lit("["), F.when(c("last"), rest).otherwise(F.concat(F.regexp_replace(rest, r",\s*$", ""), F.lit("]"))))
+    rows = lines.where("trim(value) <> ''").select(c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.withColumns({"entry": c("value").rlike(HEAD) | c("value").startswith("{"), "last": c("value").contains(AFTER_MOVIES), "end": c("value").rlike(r"\};\s*$")})
+    rows = rows.select("block", "at", "entry", "last", "end", F.when(c("entry"), F.json_array_length(listed)).alias("n"), F.when(c("entry"), F.from_json(listed, _movie_list())).alias("m"))
+    rows, scratch = stored(rows, "previous")
+    of_entries = lambda x: F.when(c("entry"), x)
+    blocks = rows.groupBy("block").agg(
+        F.count(of_entries(c("at"))).alias("lines"), F.min(of_entries(c("at"))).alias("first"), F.max(of_entries(c("at"))).alias("latest"), F.count("n").alias("read"), F.coalesce(F.sum("n"), F.lit(0)).alias("movies"),
+        F.collect_list(F.when(c("last"), c("at"))).alias("lasts"), F.max_by("end", "at").alias("end"),
+    ).orderBy("block").collect()
+    held = [b for b in blocks if b["lines"]]
+    lasts = [(b["block"], at) for b in blocks for at in b["lasts"]]
+    one_each = sum(b["lines"] for b in held) in (1, sum(b["movies"] for b in held))
+    if not (one_each and blocks[-1]["end"] and lasts == [(held[-1]["block"], held[-1]["latest"])] and all(b["read"] == b["lines"] == b["latest"] - b["first"] + 1 for b in held)):
+        remove(spark, scratch)
+        return None
+    before = [sum(b["movies"] for b in held[:k]) for k in range(len(held))]
+    starts = spark.createDataFrame([(b["block"], k - b["first"]) for b, k in zip(held, before, strict=True)], "block BIGINT, shift BIGINT")
+    placed = rows.where("entry").join(F.broadcast(starts), "block")
+    return placed.select((c("at") + c("shift")).alias("line"), F.posexplode("m").alias("k", "m")).select((c("line") + c("k")).cast("int").alias("pos"), "m")
+
+
+def _movie_list() -> str:
     flat = model.MOVIE.replace(model.SESSION, "S").split(", ")
-    return [(k, t.replace("<S>", f"<{model.SESSION}>")) for k, t in (x.split(" ", 1) for x in flat) if not k.startswith("src_")]
+    return f"ARRAY<STRUCT<{', '.join(f'{k}: {t}'.replace('<S>', f'<{model.SESSION}>') for k, t in (x.split(' ', 1) for x in flat) if not k.startswith('src_'))}>>"
 
 
 def source_dump(movies: DataFrame, rank: int) -> DataFrame:

@@ -209,6 +209,39 @@ def test_document_in_parts_has_the_same_bytes(spark, tmp_path, n):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["doc", "dump", "one"]
 
 
+def test_a_document_is_read_back_in_parts(spark, tmp_path):
+    path, small = f"file://{tmp_path}/doc", {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "0"}
+    n = 300
+    sink.write_document(*document_tables(spark, n), "2026-03-20T10:00:00Z", path)
+    text = (tmp_path / "doc/document.txt").read_text()
+    whole = json.loads(text.removeprefix(publish.PREFIX).rstrip().removesuffix(";"))
+    want = [(k, m["id"], m["title"], m["sessions"][0]["time"]) for k, m in enumerate(whole["movies"])]
+
+    def read(path=path):
+        back = publish.previous(spark, path)
+        return back, [(r["src_ord"], r["id"], r["title"], r["sessions"][0]["time"]) for r in back.orderBy("src_ord").collect()]
+
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        back, got = read()
+        assert got == want
+        # not one task with the whole of it
+        assert back.rdd.getNumPartitions() > 1
+        # other layouts give the same, a document that breaks off nothing
+        layouts = {"indented": json.dumps(whole, ensure_ascii=False, indent=2), "compact": json.dumps(whole, ensure_ascii=False, separators=(",", ":")), "two": json.dumps(whole, ensure_ascii=False, separators=(",", ":")).replace('},{"id":"m8"', '},\n{"id":"m8"', 1)}
+        for name, body in layouts.items():
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "document.txt").write_text(f"{publish.PREFIX}{body};")
+            assert read(f"file://{tmp_path}/{name}")[1] == want
+        (tmp_path / "cut").mkdir()
+        (tmp_path / "cut/document.txt").write_text(text[: len(text) // 2])
+        assert publish.previous(spark, f"file://{tmp_path}/cut").count() == 0
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
 def test_a_document_that_fails_leaves_the_earlier_one(spark, tmp_path):
     path = f"file://{tmp_path}/doc"
     tables = document_tables(spark, 5)
